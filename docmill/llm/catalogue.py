@@ -1,0 +1,39 @@
+"""Queries of the text problems, by name, and the SQL of those that DuckDB can express."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docmill.llm.chunk import split_oversized
+from docmill.llm.confusable import changed_values
+from docmill.session import read
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every text unit as pieces of at most 1,200 characters, numbered in place of unit_order."""
+    units = read(spark, d, "text_units").groupBy("text_unit_id").agg(F.max(F.struct("loaded_at", "text")).alias("u")).select("text_unit_id", F.col("u.text").alias("text"))
+    return split_oversized(units, "text").select("text_unit_id", F.col("piece_no").alias("unit_order"), F.col("piece").alias("text"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Units that come out as several pieces."""
+    return split_oversized(read(spark, d, "text_units").select("text_unit_id", "text"), "text").where("pieces > 1").select("text_unit_id").distinct()
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Values of entity and evidence that aren't in their consistent form."""
+    return changed_values(read(spark, d, "stage2_result"), "result_id", ["entity", "evidence"]).select("result_id", "field_name").distinct()
+
+
+def p7_values(spark: SparkSession, d: str) -> DataFrame:
+    """The changed values with their consistent form."""
+    return changed_values(read(spark, d, "stage2_result"), "result_id", ["entity", "evidence"])
+
+
+def queries() -> dict:
+    return {f.__name__: f for f in (p5_found, p5_pieces, p7_found, p7_values)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"p5_found": "select distinct text_unit_id from text_units where length(text) > 1200"}
