@@ -5,11 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.llm.canonical import map_to_standards
 from docmill.llm.chunk import split_oversized
 from docmill.llm.confusable import changed_values
 from docmill.session import read
 
 
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    typed = read(spark, d, "stage2_result").where("type = 'TYPE_B'").select("result_id", "entity")
+    return map_to_standards(typed, "entity", read(spark, d, "gb_dict"), "基础编号", "标准名称")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionary code that each Chinese standard means, or NONE."""
+    return _mapped(spark, d).select("result_id", F.coalesce("matched_code", F.lit("NONE")).alias("base_code")).distinct()
+
+
+def p2_misses(spark: SparkSession, d: str) -> DataFrame:
+    """The values without a match, why, and how many rows have them."""
+    return _mapped(spark, d).where("matched_code is null").groupBy("entity", F.col("matched_by").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Every text unit as pieces of at most 1,200 characters, numbered in place of unit_order."""
     units = read(spark, d, "text_units").groupBy("text_unit_id").agg(F.max(F.struct("loaded_at", "text")).alias("u")).select("text_unit_id", F.col("u.text").alias("text"))
@@ -32,7 +48,7 @@ def p7_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_found, p5_pieces, p7_found, p7_values)}
+    return {f.__name__: f for f in (p2_found, p2_misses, p5_found, p5_pieces, p7_found, p7_values)}
 
 
 def oracle_sql() -> dict[str, str]:
