@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docmill.llm.canonical import map_to_standards
 from docmill.llm.chunk import split_oversized
 from docmill.llm.confusable import changed_values
+from docmill.llm.leak import leaked_items
 from docmill.session import read
 
 
@@ -47,8 +48,22 @@ def p7_values(spark: SparkSession, d: str) -> DataFrame:
     return changed_values(read(spark, d, "stage2_result"), "result_id", ["entity", "evidence"])
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with 50 or more consecutive letters or digits of an evaluation item."""
+    return _leaks(spark, d).where("verbatim_run >= 50").select("doc_id", "item_id").distinct()
+
+
+def p8_reworded(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold an item's wording with other figures, units or organisations."""
+    return _leaks(spark, d).where("reworded").drop("verbatim_run", "reworded")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_misses, p5_found, p5_pieces, p7_found, p7_values)}
+    return {f.__name__: f for f in (p2_found, p2_misses, p5_found, p5_pieces, p7_found, p7_values, p8_found, p8_reworded)}
 
 
 def oracle_sql() -> dict[str, str]:
