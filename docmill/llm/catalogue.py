@@ -9,6 +9,8 @@ from docmill.llm.canonical import map_to_standards
 from docmill.llm.chunk import split_oversized
 from docmill.llm.confusable import changed_values
 from docmill.llm.leak import leaked_items
+from docmill.llm.mixing import mix_sources, mixture_shares, token_counts
+from docmill.llm.pii import pii_spans, redacted
 from docmill.session import read
 
 
@@ -62,8 +64,35 @@ def p8_reworded(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).where("reworded").drop("verbatim_run", "reworded")
 
 
+def _mixture(spark: SparkSession, d: str) -> DataFrame:
+    sizes = read(spark, d, "documents").select("doc_id", "source", token_counts(F.col("text")).alias("n_tokens"))
+    return mix_sources(sizes, "doc_id", "source", "n_tokens", read(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mixture with the number of times each is used."""
+    return _mixture(spark, d)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source in the mixture."""
+    return mixture_shares(_mixture(spark, d), "source", "n_tokens", read(spark, d, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Names, e-mail addresses, telephone numbers, identity numbers and street addresses as they stand in the text."""
+    found = pii_spans(read(spark, d, "documents"), "doc_id", "text")
+    return found.select("doc_id", F.col("kind").alias("pii_kind"), F.col("value").alias("pii_value")).distinct()
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with typed placeholders in place of personal values."""
+    documents = read(spark, d, "documents")
+    return redacted(documents, "doc_id", "text", pii_spans(documents, "doc_id", "text")).select("doc_id", "text")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_misses, p5_found, p5_pieces, p7_found, p7_values, p8_found, p8_reworded)}
+    return {f.__name__: f for f in (p2_found, p2_misses, p5_found, p5_pieces, p7_found, p7_values, p8_found, p8_reworded, p9_mix, p9_shares, p10_found, p10_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
