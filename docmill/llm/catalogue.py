@@ -11,9 +11,21 @@ from docmill.llm.confusable import changed_values
 from docmill.llm.leak import leaked_items
 from docmill.llm.mixing import mix_sources, mixture_shares, token_counts
 from docmill.llm.pii import pii_spans, redacted
+from docmill.llm.repetition import repetition
 from docmill.session import read
 
 
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Language, perplexities, band and share of repeated content of every preview."""
+    return repetition(read(spark, d, "recovery_audit"), "audit_id", "raw_response_preview").select("audit_id", "lang", "n_chars", "band", "repeated_share")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Entries under the lower perplexity band of their language, or too short for one, that are mostly repeated text."""
+    measured = repetition(read(spark, d, "recovery_audit"), "audit_id", "raw_response_preview")
+    return measured.where("band in ('low', 'short') and repeated_share > 0.5").select("audit_id").distinct()
+
+
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
     typed = read(spark, d, "stage2_result").where("type = 'TYPE_B'").select("result_id", "entity")
     return map_to_standards(typed, "entity", read(spark, d, "gb_dict"), "基础编号", "标准名称")
@@ -92,7 +104,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_misses, p5_found, p5_pieces, p7_found, p7_values, p8_found, p8_reworded, p9_mix, p9_shares, p10_found, p10_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_misses, p5_found, p5_pieces, p7_found, p7_values, p8_found, p8_reworded, p9_mix, p9_shares, p10_found, p10_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.rolling import code_points, folded, text_of, windows
+from docmill.llm.rolling import code_points, folded, sub_batches, text_of, windows
 from docmill.session import cut
 
 #: Template windows of items that are broadcast as a filter at once (8 bytes each); more are worked through in blocks.
@@ -119,7 +119,7 @@ def leaked_items(documents: DataFrame, doc_id: str, doc_text: str, items: DataFr
     i_type = items.schema[item_id].dataType.simpleString()
 
     def item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (part for batch in batches for part in sub_batches(batch, "it")):
             row, h = _hashes(pdf["it"], window)
             yield pd.DataFrame({"i": pdf["i"].to_numpy()[row], "h": h.view(np.int64)})
 
@@ -151,7 +151,7 @@ def _filter(shared, window: int):
         wanted = shared.value
         bits = np.zeros(1 << 22, dtype=bool)
         bits[(wanted & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        for pdf in batches:
+        for pdf in (part for batch in batches for part in sub_batches(batch, "dt")):
             row, h = _hashes(pdf["dt"], window)
             maybe = np.flatnonzero(bits[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
             row, h = row[maybe], h[maybe]

@@ -73,3 +73,14 @@ def folded(text: str) -> np.ndarray:
     """The letters and digits of a text, without case, width, spaces and punctuation."""
     out = folded_table()[code_points(text)]
     return out[out > 0]
+
+
+def sub_batches(pdf, column: str, chars: int = 1_000_000):
+    """A batch in parts of about so many characters, so that arrays over a part stay small; a longer text is a part of its own."""
+    total = pdf[column].str.len().fillna(0).to_numpy(dtype="int64").cumsum()
+    start = 0
+    while start < len(pdf):
+        before = total[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, before + chars, "right")))
+        yield pdf.iloc[start:stop]
+        start = stop
