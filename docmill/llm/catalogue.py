@@ -12,6 +12,7 @@ from docmill.llm.leak import leaked_items
 from docmill.llm.mixing import mix_sources, mixture_shares, token_counts
 from docmill.llm.pii import pii_spans, redacted
 from docmill.llm.repetition import repetition
+from docmill.llm.scan_noise import repair_scans
 from docmill.session import read
 
 
@@ -41,6 +42,20 @@ def p2_misses(spark: SparkSession, d: str) -> DataFrame:
     return _mapped(spark, d).where("matched_code is null").groupBy("entity", F.col("matched_by").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    return repair_scans(read(spark, d, "text_units"), "text_unit_id", "text", "chapter_title", "company_name", "source_file")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """What noise of scanned pages was found where."""
+    return _repaired(spark, d).select("text_unit_id", "field_name", F.explode("kinds").alias("noise_kind")).distinct()
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired texts and titles."""
+    return _repaired(spark, d).select("text_unit_id", "field_name", "repaired")
+
+
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Every text unit as pieces of at most 1,200 characters, numbered in place of unit_order."""
     units = read(spark, d, "text_units").groupBy("text_unit_id").agg(F.max(F.struct("loaded_at", "text")).alias("u")).select("text_unit_id", F.col("u.text").alias("text"))
@@ -104,7 +119,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_misses, p5_found, p5_pieces, p7_found, p7_values, p8_found, p8_reworded, p9_mix, p9_shares, p10_found, p10_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_misses, p4_found, p4_repaired, p5_found, p5_pieces, p7_found, p7_values, p8_found, p8_reworded, p9_mix, p9_shares, p10_found, p10_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
