@@ -13,7 +13,7 @@ from docmill.llm.mixing import mix_sources, mixture_shares, token_counts
 from docmill.llm.pii import pii_spans, redacted
 from docmill.llm.repetition import repetition
 from docmill.llm.scan_noise import repair_scans
-from docmill.session import read
+from docmill.session import read, spread
 
 
 def p1_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +92,7 @@ def p8_reworded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, d: str) -> DataFrame:
-    sizes = read(spark, d, "documents").select("doc_id", "source", token_counts(F.col("text")).alias("n_tokens"))
+    sizes = spread(read(spark, d, "documents").select("doc_id", "source", "text"), "doc_id").select("doc_id", "source", token_counts(F.col("text")).alias("n_tokens"))
     return mix_sources(sizes, "doc_id", "source", "n_tokens", read(spark, d, "mix_targets"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.rolling import code_points, folded, sub_batches, text_of, windows
-from docmill.session import cut
+from docmill.session import cut, spread
 
 #: Template windows of items that are broadcast as a filter at once (8 bytes each); more are worked through in blocks.
 BLOCK_WINDOWS = 4_000_000
@@ -61,40 +62,63 @@ def _hashes(texts: pd.Series, length: int) -> tuple[np.ndarray, np.ndarray]:
     return row[: len(hashes)][inside], hashes[inside]
 
 
-@lru_cache(maxsize=512)
-def _prepared(text: str, length: int, run: int):
+@dataclass(frozen=True)
+class Shape:
+    """What comparing needs of a text: hashes of template windows by place and sorted with places, slots, hashes of verbatim runs."""
+
+    windows: np.ndarray
+    sorted: np.ndarray
+    places: np.ndarray
+    slots: list[tuple[int, str]]
+    runs: np.ndarray
+    sorted_runs: np.ndarray
+
+
+@lru_cache(maxsize=4096)
+def shape_of(text: str, length: int, run: int) -> Shape:
     stream = folded(text)
-    shape, slots = template_slots(text_of(stream))
-    places: dict[int, int] = {}
-    for i, h in enumerate(windows(code_points(shape), length).tolist()):
-        places.setdefault(h, i)
-    return places, slots, set(windows(stream, run).tolist()), windows(stream, run)
+    form, slots = template_slots(text_of(stream))
+    hashes = windows(code_points(form), length)
+    known, first = np.unique(hashes, return_index=True)
+    runs = windows(stream, run)
+    return Shape(hashes, known, first, slots, runs, np.unique(runs))
+
+
+def _longest(flags: np.ndarray) -> tuple[int, int]:
+    """(length, start) of the longest stretch of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+    if not len(edges):
+        return 0, 0
+    sizes = edges[1::2] - edges[::2]
+    return int(sizes.max()), int(edges[::2][sizes.argmax()])
+
+
+def _found(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(sorted_, wanted), max(len(sorted_) - 1, 0))
+    return at, sorted_[at] == wanted if len(sorted_) else np.zeros(len(wanted), bool)
 
 
 def compare(doc: str, item: str, length: int, run: int) -> tuple[int, int, int, int]:
     """(verbatim, aligned, slots, equal) of a document and an item.
 
-    verbatim: the longest stretch of consecutive letters and digits that they share, 0 if it is under ``run``.
-    aligned: the length of the longest stretch with the same template; slots, equal: its slots, and those with
-    the same value.
+    verbatim: the longest stretch of consecutive letters and digits of the document whose every ``run`` stand in the item, 0 if
+    it is under ``run``. aligned: the length of the longest stretch with the same template; slots, equal: its slots, and
+    those with the same value.
     """
-    d_places, d_slots, _, d_runs = _prepared(doc, length, run)
-    i_places, i_slots, known, _ = _prepared(item, length, run)
-    hit = np.array([h in known for h in d_runs.tolist()], dtype=bool) if len(d_runs) else np.zeros(0, bool)
-    verbatim = 0
-    if hit.any():
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-        verbatim = int((edges[1::2] - edges[::2]).max()) + run - 1
-    shared = sorted((d - i_places[h], d) for h, d in d_places.items() if h in i_places)
-    best = (0, 0, 0)
-    start = 0
-    for k in range(1, len(shared) + 1):
-        if k == len(shared) or shared[k] != (shared[k - 1][0], shared[k - 1][1] + 1):
-            best = max(best, (k - start + length - 1, shared[start][1], shared[start][0]))
-            start = k
-    aligned, at, shift = best
-    mine = {p: v for p, v in d_slots if at <= p < at + aligned}
-    theirs = {p + shift: v for p, v in i_slots if at <= p + shift < at + aligned}
+    a, b = shape_of(doc, length, run), shape_of(item, length, run)
+    most, _ = _longest(_found(b.sorted_runs, a.runs)[1])
+    verbatim = most + run - 1 if most else 0
+    at, hit = _found(b.sorted, a.windows)
+    if not hit.any():
+        return verbatim, 0, 0, 0
+    # Windows in a row belong together while the place in the item moves along.
+    places = np.where(hit, b.places[at], -1)
+    goes_on = np.concatenate([[False], hit[1:] & hit[:-1] & (places[1:] == places[:-1] + 1)])
+    steps, start = _longest(goes_on)
+    start = start - 1 if steps else int(np.flatnonzero(hit)[0])
+    aligned, shift = steps + length, int(places[start]) - start
+    mine = {p: v for p, v in a.slots if start <= p < start + aligned}
+    theirs = {p - shift: v for p, v in b.slots}
     return verbatim, aligned, len(mine), sum(theirs.get(p) == v for p, v in mine.items())
 
 
@@ -115,6 +139,7 @@ def leaked_items(documents: DataFrame, doc_id: str, doc_text: str, items: DataFr
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).alias("d"), F.col(doc_text).alias("dt")).where("dt is not null")
+    docs = spread(docs, "d")
     them = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("it")).where("it is not null")
     i_type = items.schema[item_id].dataType.simpleString()
 
@@ -141,7 +166,12 @@ def leaked_items(documents: DataFrame, doc_id: str, doc_text: str, items: DataFr
         for a, b in batches:
             yield pd.DataFrame([compare(x, y, window, min_run) for x, y in zip(a, b)], columns=["verbatim_run", "template_run", "slots", "slots_equal"])
 
-    scored = pairs.join(texts, "d").join(them, "i").withColumn("s", F.pandas_udf(score, "verbatim_run int, template_run int, slots int, slots_equal int")("dt", "it"))
+    # Not deterministic to the optimiser, which would otherwise score before the pairs are spread.
+    scorer = F.pandas_udf(score, "verbatim_run int, template_run int, slots int, slots_equal int").asNondeterministic()
+    # A document's pairs stand together, so that its text is prepared once.
+    together = pairs.join(texts, "d").join(them, "i")
+    together = together.repartition(2 * spark.sparkContext.defaultParallelism, "d", "dt").sortWithinPartitions("d")
+    scored = together.withColumn("s", scorer("dt", "it"))
     out = scored.select(F.col("d").alias(doc_id), F.col("i").alias(item_id), "s.*")
     return out.withColumn("reworded", (F.col("verbatim_run") == 0) & (F.col("template_run") >= min_run) & (F.col("slots_equal") < F.col("slots")))
 

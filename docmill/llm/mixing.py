@@ -36,7 +36,7 @@ def token_counts(text: Column, tokenizer: str = TOKENIZER) -> Column:
         for s in batches:
             yield pd.Series([len(encoding.encode_ordinary(t)) if t else 0 for t in s], dtype="int64")
 
-    return F.pandas_udf(count, "long")(text)
+    return F.pandas_udf(count, "long").asNondeterministic()(text)  # not to be computed again for every filter
 
 
 def _scale(bins: list[tuple[float, float]], want: float) -> float:
