@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def expose_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where it lies, if they don't get it otherwise (--py-files)."""
+    root = str(Path(__file__).resolve().parent.parent)
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One Parquet table of a data directory."""
+    expose_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -49,3 +60,12 @@ def free_name(wanted: str, *frames: DataFrame) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over at least two partitions a core, for work in Python that is heavy for the bytes it reads.
+
+    A large table's scan has more partitions than that and isn't shuffled; a table of a few files is hashed by key.
+    """
+    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
