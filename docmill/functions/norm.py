@@ -117,7 +117,7 @@ def tolerant_bool(c: Column) -> Column:
 
 def line_preview(c: Column, chars: int = 300) -> Column:
     """The beginning of a text on one line: line ends are written as \\n."""
-    return F.substring(F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), "\n", "\\\\\\\\n"), 1, chars)
+    return F.substring(F.replace(F.regexp_replace(c, "\r\n?", "\n"), F.lit("\n"), F.lit("\\n")), 1, chars)
 
 
 def truncated(c: Column, chars: int = 4000) -> Column:
