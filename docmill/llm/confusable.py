@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 
@@ -101,7 +102,7 @@ def consistent_values(values: DataFrame, column: str) -> DataFrame:
     # Each table has a few thousand rows, whatever the data: it comes from the Unicode database.
     maps = F.broadcast(spark.createDataFrame(mapping_table(), "ch string, to string, kind string"))
     marks = F.broadcast(spark.createDataFrame(mark_table(), "c string, ccc int"))
-    pairs = F.create_map(*[F.lit(x) for p in composition_table() for x in p])
+    pairs = F.from_json(F.lit(json.dumps(dict(composition_table()))), "map<string,string>")  # folded to one literal
     distinct = values.select(F.col(column).alias("value")).where(F.col("value").rlike(SUSPICIOUS)).distinct()
     # Runs of words of another script, to which signs don't belong, are genuine if a letter has no Latin double.
     # Their letters are set to private characters, so that only other places are open to the mapping.
@@ -124,7 +125,7 @@ def consistent_values(values: DataFrame, column: str) -> DataFrame:
         "cs",
         F.struct(F.lit("").alias("done"), F.lit("").alias("starter"), F.expr("cast(array() as array<struct<ccc:int,n:int,c:string>>)").alias("marks")),
         lambda acc, x: F.when(
-            (x["ccc"] > 0) & (acc["starter"] != ""),
+            x["ccc"] > 0,
             F.struct(acc["done"].alias("done"), acc["starter"].alias("starter"), F.array_sort(F.array_append(acc["marks"], F.struct(x["ccc"].alias("ccc"), F.size(acc["marks"]).alias("n"), x["c"].alias("c")))).alias("marks")),
         ).otherwise(F.struct(F.concat(acc["done"], _composed(acc, pairs)).alias("done"), x["c"].alias("starter"), F.expr("cast(array() as array<struct<ccc:int,n:int,c:string>>)").alias("marks"))),
         lambda acc: F.concat(acc["done"], _composed(acc, pairs)),

@@ -192,6 +192,7 @@ def _filter(shared, window: int):
             for r, x in zip(row.tolist(), h.view(np.int64).tolist()):
                 by_row.setdefault(r, set()).add(x)
             keep = sorted(by_row)
-            yield pd.DataFrame({"d": pdf["d"].to_numpy()[keep], "dt": pdf["dt"].to_numpy()[keep], "hs": [sorted(by_row[r]) for r in keep]})
+            if keep:
+                yield pd.DataFrame({"d": pdf["d"].to_numpy()[keep], "dt": pdf["dt"].to_numpy()[keep], "hs": pd.Series([sorted(by_row[r]) for r in keep], dtype=object)})
 
     return run
