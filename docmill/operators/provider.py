@@ -23,6 +23,14 @@ class Provider(Protocol):
     def complete(self, system: str, user: str) -> str: ...
 
 
+class BatchProvider(Protocol):
+    """A model that takes many prompts at once, such as an engine that lives in the worker: replies in the order of the prompts."""
+
+    chunk: int
+
+    def complete_batch(self, system: str, users: list[str]) -> list[str]: ...
+
+
 @dataclass(frozen=True)
 class StubProvider:
     """A deterministic model for tests and dry runs: reply(system, user), or a hash of the input."""
@@ -65,18 +73,30 @@ class Retry:
         return min(self.most, self.least * 2 ** (attempt - 1))
 
 
-def call_model(df: DataFrame, system: str, user: str, provider: Provider, retry: Retry = Retry(), partitions: int | None = None) -> DataFrame:
+def call_model(df: DataFrame, system: str, user: str, provider: Provider | BatchProvider, retry: Retry = Retry(), partitions: int | None = None) -> DataFrame:
     """df with raw (the reply, null if all attempts failed), attempts and call_error.
 
-    ``user`` names the column of prompts. partitions bounds the calls made at once. A recomputed task calls again, so
+    ``user`` names the column of prompts. A batch provider gets chunks of prompts and isn't asked again. partitions bounds the calls made at once. A recomputed task calls again, so
     write the result before using it twice.
     """
     names = df.columns
 
+    def in_chunks(prompts: list[str]) -> list[tuple]:
+        """A chunk that raises, and prompts without a reply, are errors of those rows only; nothing is lost."""
+        rows: list[tuple] = []
+        for i in range(0, len(prompts), provider.chunk):
+            part = prompts[i : i + provider.chunk]
+            try:
+                replies = list(provider.complete_batch(system, part))
+                rows += [(r, 1, None) for r in replies[: len(part)]] + [(None, 1, "no reply")] * (len(part) - len(replies))
+            except Exception as e:  # noqa: BLE001
+                rows += [(None, 1, f"{type(e).__name__}: {e}")] * len(part)
+        return rows
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for prompt in pdf[user]:
+            rows = in_chunks([p or "" for p in pdf[user]]) if hasattr(provider, "complete_batch") else []
+            for prompt in pdf[user] if not rows else ():
                 error = None
                 for attempt in range(1, retry.attempts + 1):
                     try:

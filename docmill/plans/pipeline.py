@@ -102,3 +102,9 @@ def write_run(run: Run, path: str) -> None:
 def read_run(spark: SparkSession, path: str) -> Run:
     """A written run, to resume from or to build variants on."""
     return Run({name: spark.read.parquet(f"{path}/{name}") for name in STAGES})
+
+
+def remove_run(spark: SparkSession, path: str) -> None:
+    """Delete one written run, so that the next one starts afresh; other runs stay."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

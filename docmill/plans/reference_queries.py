@@ -108,11 +108,8 @@ def report_units(spark, d):
 
 
 def noise_audit(spark, d):
-    """A dry run of the clean-up: lengths, share removed, score and previews."""
-    u = _units(spark, d).withColumn("clean", cleaner.clean_text(F.col("text"), F.col("year")))
-    raw, kept = F.coalesce(F.char_length("text"), F.lit(0)), F.char_length("clean")
-    removed = F.when(raw > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - kept / raw))).otherwise(0.0)
-    return u.select("text_unit_id", "company_name", "unit_order", L.has_term(F.col("text"), ANCHOR_TERMS).alias("has_protected_anchor"), raw.alias("raw_text_len"), kept.alias("filtered_text_len"), F.round(removed, 4).alias("removed_ratio"), N.line_preview(F.col("text")).alias("raw_preview"), N.line_preview(F.col("clean")).alias("filtered_preview"))
+    """A dry run of the clean-up."""
+    return cleaner.noise_audit(_units(spark, d))
 
 
 def screening_normalised(spark, d):

@@ -77,6 +77,21 @@ def test_failed_calls_are_kept(spark):
     assert [(r["raw"], r["attempts"], r["call_error"]) for r in got] == [(None, 2, "RuntimeError: down")]
 
 
+class Short:
+    chunk = 2
+
+    def complete_batch(self, system, users):
+        if "boom" in users:
+            raise RuntimeError("engine")
+        return [u.upper() for u in users][:1]
+
+
+def test_batches_lose_no_row(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "boom"), (4, None)], "i int, prompt string").coalesce(1)
+    got = {r["i"]: (r["raw"], r["call_error"]) for r in call_model(df, "", "prompt", Short()).collect()}
+    assert got == {1: ("A", None), 2: (None, "no reply"), 3: (None, "RuntimeError: engine"), 4: (None, "RuntimeError: engine")}
+
+
 def test_routes_and_variants(spark):
     u = spark.createDataFrame([unit(i, "t") for i in range(1, 5)], UNIT)
     ids = [f"000001_2024_{i:05d}" for i in range(1, 5)]
