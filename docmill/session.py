@@ -42,6 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+_CUTS: list[str] = []
+
+
+def drop_cuts(spark: SparkSession) -> int:
+    """Delete the tables that this process has cut, once nothing reads them any more; says how many."""
+    for path in _CUTS:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    n = len(_CUTS)
+    _CUTS.clear()
+    return n
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back.
 
@@ -50,6 +63,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUTS.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

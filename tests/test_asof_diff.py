@@ -67,6 +67,13 @@ def test_diff_equals_brute_force(spark):
     assert sorted(map(str, {tuple(x) for x in got.collect()})) == sorted(map(str, _brute_diff(a, b, ["f", "bucket"])))
 
 
+def test_cuts_can_be_dropped(spark):
+    from docmill.session import cut, drop_cuts
+
+    drop_cuts(spark)
+    assert cut(spark.range(3)).count() == 3 and drop_cuts(spark) == 1 and drop_cuts(spark) == 0
+
+
 def test_diff_of_equal_and_empty_tables(spark):
     schema = "id string, n int, v string"
     full, empty = spark.createDataFrame([("a", 1, "x"), ("a", 1, "x"), ("b", None, None)], schema), spark.createDataFrame([], schema)
