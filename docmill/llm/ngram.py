@@ -110,13 +110,12 @@ def fit(grams: DataFrame, max_entries: int = MAX_ENTRIES) -> dict[str, KneserNey
     for n in range(ORDER - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND(F.lit((1 << (_BITS * n)) - 1))
         orders.insert(0, cut(orders[0].groupBy("lang", suffix.alias("gram")).agg(F.count(F.lit(1)).alias("n"))))
-    langs: set[str] = set()
-    raw = []
+    models: dict[str, KneserNey] = {}
     for n, table in enumerate(orders, 1):
         of_counts = {(r["lang"], r["k"]): r["c"] for r in table.groupBy("lang", F.least("n", F.lit(5)).alias("k")).agg(F.count(F.lit(1)).alias("c")).collect()}
         # Sizes by class of frequency, at most a few hundred rows, say which classes fit.
         level = F.floor(F.log2("n") * 4)
-        room, least = max_entries, None
+        room, least = max_entries, 1 << 30
         for r in sorted(table.groupBy(level.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r["b"]):
             room -= r["c"]
             if room < 0:
@@ -124,29 +123,23 @@ def fit(grams: DataFrame, max_entries: int = MAX_ENTRIES) -> dict[str, KneserNey
             least = r["b"]
         head = F.shiftrightunsigned("gram", _BITS)
         totals = table.groupBy("lang", head.alias("h")).agg(F.sum("n").alias("total"))
-        kept = table.where(level >= (least if least is not None else 1 << 30)).withColumn("h", head)
-        rows = kept.join(totals, ["lang", "h"]).select("lang", "gram", "n", "total").toPandas()
-        raw.append((rows, of_counts))
-        langs |= set(rows["lang"])
-    return {lang: _model(lang, raw) for lang in sorted(langs)}
-
-
-def _model(lang: str, raw: list) -> KneserNey:
-    model = KneserNey([], [], [], [])
-    for n, (rows, of_counts) in enumerate(raw, 1):
-        own = rows[rows["lang"] == lang]
-        keys = own["gram"].to_numpy(dtype=np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        keys, count, total = keys[order], own["n"].to_numpy(dtype=float)[order], own["total"].to_numpy(dtype=float)[order]
-        d = np.array(discounts(*(of_counts.get((lang, k), 0) for k in (1, 2, 3, 4))))
-        main = (count - d[np.clip(count.astype(int), 1, 3) - 1]) / total
-        head = keys >> np.uint64(_BITS)
-        contexts, where = np.unique(head, return_inverse=True)
-        leftovers = np.clip(1 - np.bincount(where, weights=main, minlength=len(contexts)), 1e-6, 1.0)
-        lower = model.probability(keys, n - 1) if n > 1 else np.full(len(keys), 1.0 / max(len(keys) + 1, 1))
-        probs = main + leftovers[where] * lower
-        model.keys.append(keys)
-        model.probs.append(probs.astype(np.float32))
-        model.contexts.append(contexts)
-        model.leftovers.append(leftovers.astype(np.float32))
-    return model
+        kept = cut(table.where(level >= least).withColumn("h", head).join(totals, ["lang", "h"]).select("lang", "gram", "n", "total"))
+        for lang in sorted({k for k, _ in of_counts}):
+            # Three numbers a row, of one language and order at a time, is all that the driver holds beside the models.
+            rows = kept.where(F.col("lang") == lang).select("gram", "n", "total").toPandas()
+            _add_order(models.setdefault(lang, KneserNey([], [], [], [])), n, rows, discounts(*(of_counts.get((lang, k), 0) for k in (1, 2, 3, 4))))
+    return models
+
+
+def _add_order(model: KneserNey, n: int, rows: pd.DataFrame, d: tuple[float, float, float]) -> None:
+    keys = rows["gram"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    keys, count, total = keys[order], rows["n"].to_numpy(dtype=float)[order], rows["total"].to_numpy(dtype=float)[order]
+    main = (count - np.array(d)[np.clip(count.astype(int), 1, 3) - 1]) / total
+    contexts, where = np.unique(keys >> np.uint64(_BITS), return_inverse=True)
+    leftovers = np.clip(1 - np.bincount(where, weights=main, minlength=len(contexts)), 1e-6, 1.0)
+    lower = model.probability(keys, n - 1) if n > 1 else np.full(len(keys), 1.0 / max(len(keys) + 1, 1))
+    model.probs.append((main + leftovers[where] * lower).astype(np.float32))
+    model.keys.append(keys)
+    model.contexts.append(contexts)
+    model.leftovers.append(leftovers.astype(np.float32))
