@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,20 +44,25 @@ def packed(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return row, at, gram
 
 
-def count_grams(df: DataFrame, stream_of, lang: str, text: str) -> DataFrame:
+def count_grams(df: DataFrame, stream_of: Callable, lang: str | None, text: str) -> DataFrame:
     """(lang, gram, n): how often every n-gram of the highest order stands in the texts.
 
-    Each batch counts by itself before anything is shuffled. stream_of makes a text's characters an array.
+    Each batch counts by itself before anything is shuffled. stream_of makes a text's characters an array; without a
+    column of languages it gives the language too.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in (part for batch in batches for part in sub_batches(batch, "text")):
-            for name, group in pdf.groupby("lang", sort=True):
-                _, _, gram = packed([stream_of(t) for t in group["text"]])
+            streams: dict[str, list[np.ndarray]] = {}
+            for name, t in zip(pdf["lang"], pdf["text"]):
+                name, stream = (name, stream_of(t)) if lang else stream_of(t)
+                streams.setdefault(name, []).append(stream)
+            for name in sorted(streams):
+                _, _, gram = packed(streams[name])
                 keys, n = np.unique(gram, return_counts=True)
                 yield pd.DataFrame({"lang": name, "gram": keys.view(np.int64), "n": n.astype("int64")})
 
-    parts = df.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null").mapInPandas(run, "lang string, gram long, n long")
+    parts = df.select((F.col(lang) if lang else F.lit("")).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null").mapInPandas(run, "lang string, gram long, n long")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
