@@ -37,8 +37,8 @@ _ZH_NAMES = (
 _WORD = r"[A-Z][a-zà-ÿ]+(?:[-'’][A-Z][a-zà-ÿ]+)?"
 _EN_NAMES = (
     re.compile(rf"\b(?:Mr|Mrs|Ms|Dr|Miss|Prof)\.? +(?P<v>{_WORD}(?: {_WORD}){{1,2}})"),
-    re.compile(rf"\b(?:[Ww]rite to|[Cc]ontact|[Ww]itness,|[Aa]ttention:?|[Ss]igned by|[Rr]eleased by|[Nn]ame:) +(?!(?:Mr|Mrs|Ms|Dr|Miss|Prof)\b)(?P<v>{_WORD}(?: {_WORD}){{1,2}})(?= at\b|,| \(|\.|;)"),
-    re.compile(rf"\b(?P<v>{_WORD} {_WORD})(?= \(ID|, lives at| \(tel)"),
+    re.compile(rf"\b(?:(?:[Ww]rite to|[Cc]ontact|[Aa]ttention|[Ss]igned by|[Rr]eleased by)[:：]?|[Ww]itness[,:：]|[Nn]ame[:：]) *(?<=[ :：])(?!(?:Mr|Mrs|Ms|Dr|Miss|Prof)\b)(?P<v>{_WORD}(?: {_WORD}){{1,2}})(?= at\b|,| \(|\.|;|[ \r]*(?:\n|$))"),
+    re.compile(rf"\b(?P<v>{_WORD} {_WORD})(?= \(ID|, lives at|(?:,| \() ?(?:[Tt]el|[Pp]hone)\b)"),
 )
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?:@| ?[(\[] ?at ?[)\]] ?| at (?=[a-z0-9.-]+\.(?:example|test|invalid|com|net|org|cn)\b))[A-Za-z0-9](?:[A-Za-z0-9-]|\.(?=[A-Za-z0-9]))*\.[A-Za-z]{2,}(?![A-Za-z0-9])", re.I)
 _PHONE = re.compile(
@@ -49,6 +49,7 @@ _PHONE = re.compile(
     r"|1[3-9]\d(?:[ -]?\d{4}){2}"  # mobile
     r"|0\d{2,3}[ -]\d{7,8}"  # area code and number
     r"|\d{3}[ -]\d{3}[ -]\d{4}|\d{3}-\d{4}"
+    r"|(?:\+\d{1,3}[ .-])?(?:(?:\d{3}\.|\(\d{3}\)[ .]?)\d{3}\.\d{4}|1[3-9]\d\.\d{4}\.\d{4})(?!\.\d)"  # dotted
     r")(?![\d]|[A-Za-z]|-\d)"
 )
 _ID = re.compile(r"(?<![\dA-Za-z.\-])(?:[1-9]\d{5}[ -]?(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[ -]?\d{3}[\dXx]|[1-9]\d{5}[ -]?\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[ -]?\d{3}|\d{3}-\d{2}-\d{4})(?![\dA-Za-z]|-\d)")

@@ -77,3 +77,12 @@ def test_estimation_finds_the_unreliable_labeler():
     good, bad = (1, 1, 1, 1, 0), (1, -1, 0, -1, -1)
     p = pii.estimate({("phone", good): 1000, ("phone", bad): 300})
     assert p["phone", good] > 0.9 and p["phone", bad] < 0.5
+
+
+def test_names_after_a_colon_and_dotted_numbers_are_proposed():
+    proposed = lambda t: {(k, t[a:b]) for k, a, b, _ in pii.label_spans(t)}
+    assert proposed("Contact: Lina Sellick, tel. +1 (555) 010-0192") == {("name", "Lina Sellick"), ("phone", "+1 (555) 010-0192")}
+    assert proposed("Orson Thistleby, tel. 555.010.0171. After") == {("name", "Orson Thistleby"), ("phone", "555.010.0171")}
+    assert proposed("Released by: Alden Pellow\nWitness: Mirel Venn, phone (555) 010.0171") == {("name", "Alden Pellow"), ("name", "Mirel Venn"), ("phone", "(555) 010.0171")}
+    assert proposed("call +1.555.010.0171 or 138.1234.5678") == {("phone", "+1.555.010.0171"), ("phone", "138.1234.5678")}
+    assert proposed("Firmware v9.9.9.9999, address 192.168.001.1234, share 555.010.0171.2 and Contact Lens audit") == set()
