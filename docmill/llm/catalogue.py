@@ -22,9 +22,9 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Entries under the lower perplexity band of their language, or too short for one, that are mostly repeated text."""
+    """Entries that are mostly repeated text, by the exact share, whatever their perplexity band."""
     measured = repetition(read(spark, d, "recovery_audit"), "audit_id", "raw_response_preview")
-    return measured.where("band in ('low', 'short') and repeated_share > 0.5").select("audit_id").distinct()
+    return measured.where("repeated_share > 0.5").select("audit_id").distinct()
 
 
 def _mapped(spark: SparkSession, d: str) -> DataFrame:

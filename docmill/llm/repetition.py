@@ -110,6 +110,33 @@ def memory_probability(streams: list[np.ndarray], row: np.ndarray, at: np.ndarra
     return np.where(known, full / np.maximum(head, 1), 0.0), known
 
 
+def foreseen(contents: list[tuple[np.ndarray, np.ndarray]], row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probability, known) of each character by the memory of its own document, whatever the digits and punctuation (as in share_of).
+
+    Letters are foreseen by the letters before them alone. Digits and punctuation are as far as the letters on both sides of
+    them are, or as far as the characters before them, as they are, foresee them.
+    """
+    streams = [codes for codes, _ in contents]
+    p, known = memory_probability(streams, row, at)
+    kind = np.concatenate([k for _, k in contents]) if len(row) else np.zeros(0, np.int8)
+    letters = np.flatnonzero(kind == 1)
+    if not len(letters):
+        return p, known
+    mine = row[letters]
+    first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+    nth = np.arange(len(letters)) - np.repeat(first, np.diff(np.concatenate([first, [len(letters)]])))
+    p[letters], known[letters] = memory_probability([codes[k == 1] for codes, k in contents], mine, nth)
+    other = np.flatnonzero(kind != 1)
+    after = np.searchsorted(letters, other)
+    between = (after > 0) & (after < len(letters))
+    other, a, b = other[between], letters[after[between] - 1], letters[after[between]]
+    same = (row[a] == row[other]) & (row[b] == row[other]) & known[a] & known[b]
+    other, a, b = other[same], a[same], b[same]
+    p[other] = np.maximum(p[other], np.minimum(p[a], p[b]))
+    known[other] = True
+    return p, known
+
+
 def language(codes: np.ndarray, kind: np.ndarray) -> str:
     """zh if at least three tenths of the letters are ideographs, else latin."""
     letters = codes[kind == 1]
@@ -121,12 +148,14 @@ def repetition(df: DataFrame, row_id: str, text: str, frame: re.Pattern | None =
 
     Spark counts the character n-grams of all texts, and a modified Kneser-Ney model of each language is fitted and
     broadcast in sorted arrays (its size is bounded). ``log_ppl`` is the mean surprise (nats a character) under that model,
-    ``memory_log_ppl`` under its mixture with the n-grams that the same text had before, which a loop makes almost certain.
+    ``memory_log_ppl`` under its mixture with the n-grams that the same text had before, which a loop makes almost certain,
+    whatever its digits and punctuation.
     Bands of each language follow from all its texts, from the surprise of those characters that their own document's
     memory didn't foresee, as loops would pull down the rest: band is ``low`` (loops) if memory_log_ppl is under ``LOWER``
     times the upper quartile, ``high`` (garbage) if log_ppl is over ``UPPER`` times it, ``short`` for texts too short to
     say, else ``ok``.
-    ``repeated_share`` is then measured exactly.
+    ``repeated_share`` is measured exactly and doesn't depend on the band: few copies of a sentence are mostly repeated text
+    too, though the first of them keeps the mean surprise up.
 
     Null and empty texts have the band short and the share 0. Repeated rows come out as often as they stand. An empty table
     gives no rows. Other columns are ignored.
@@ -153,7 +182,7 @@ def repetition(df: DataFrame, row_id: str, text: str, frame: re.Pattern | None =
             for name, model in models.items():
                 mine = (langs == name)[row] if len(row) else np.zeros(0, bool)
                 p[mine] = model.probability(gram[mine])
-            memory, known = memory_probability(streams, row, at)
+            memory, known = foreseen(contents, row, at)
             both = np.where(known, (1 - _MEMORY_WEIGHT) * p + _MEMORY_WEIGHT * memory, p)
             sizes = np.array([len(s) for s in streams])
             mean = lambda x: np.bincount(row, weights=-np.log(x), minlength=len(streams)) / np.maximum(sizes, 1)

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from docmill.llm import ngram, repetition, scan_noise
+from docmill.llm import catalogue, ngram, repetition, scan_noise
 from docmill.llm.rolling import code_points
 
 
@@ -63,6 +63,28 @@ def test_bands_find_loops(spark):
     assert repetition.repetition(df.limit(0), "audit", "p").count() == 0
 
 
+def test_loops_with_changed_marks_and_few_copies_are_found(spark, tmp_path):
+    filler = ["甲乙丙丁戊己庚辛"[i % 8] + "线" + "东南西北中"[i % 5] + "区" for i in range(120)]
+    normal = [(i, _reply(filler[i] + NORMAL[i % 4] + NORMAL[(i + 1 + i // 4 % 3) % 4] + "完成全部整改工作并归档备查，后续安排另行通知。")) for i in range(120)]
+    words = NORMAL[1].rstrip("。").split("，")
+    changed = [(500 + i, _reply("".join(w + "，。；、！：~|·？"[(i + 7 * j + j * j) % 10] for j, w in enumerate(words * 12)))) for i in range(5)]
+    few = [(600 + i, _reply(NORMAL[i] * 3)) for i in range(4)]
+    df = spark.createDataFrame(normal + changed + few, "audit_id long, raw_response_preview string")
+    df.write.parquet(str(tmp_path / "recovery_audit.parquet"))
+    got = {r["audit_id"] for r in catalogue.p1_found(spark, str(tmp_path)).collect()}
+    assert got == {i for i, _ in changed + few}
+    measured = {r["i"]: r["band"] for r in repetition.repetition(df.withColumnRenamed("audit_id", "i"), "i", "raw_response_preview").collect()}
+    assert all(measured[i] == "low" for i, _ in changed)
+
+
+def test_memory_is_the_same_whatever_the_marks():
+    words = NORMAL[1].rstrip("。").split("，")
+    mean = lambda t: np.mean(repetition.foreseen([c := repetition.content(t, None)], np.zeros(len(c[0]), np.int64), np.arange(len(c[0])))[0])
+    plain, changed = "，".join(words * 6), "".join(w + "，。；、！：~|·？"[(7 * j + j * j) % 10] for j, w in enumerate(words * 6))
+    assert mean(changed) > 0.95 * mean(plain) > 0.7 and mean("".join(NORMAL)) < 0.05
+    assert mean(NORMAL[0] + "，" * 500) > 0.9
+
+
 def test_memory_ranks():
     streams = [code_points("abcdefgabcdefg"), code_points("abcdefg")]
     row, at, _ = ngram.packed(streams)
