@@ -27,8 +27,8 @@ CHANNEL = 0.1
 _PENALTY = float(np.log(CHANNEL / (1 - CHANNEL)))
 #: Positions whose odds are worse than this are not given alternatives in the decoder.
 _HOPELESS = -16.0
-#: Words that the vocabulary keeps at most (the most frequent classes), and the longest word it counts.
-MAX_WORDS, LONGEST_WORD = 300_000, 24
+#: The longest word that is counted.
+LONGEST_WORD = 24
 KINDS = ("hyphen_break", "ocr_char", "running_header", "page_number")
 
 _SPACE = " \t　\xa0"
@@ -244,25 +244,22 @@ def word_candidates(word: str) -> set[str]:
     return seen - {word}
 
 
-def correct_words(text: str, words: dict[str, int], memo: dict[str, str | None]) -> list[tuple[int, int, str]]:
-    """(start, end, word) of Latin words and numbers that are misreadings of much more frequent ones."""
+def correct_words(text: str, words: dict[str, int] | None, memo: dict[str, str | None]) -> list[tuple[int, int, str]]:
+    """(start, end, word) of Latin words and numbers that are misreadings of much more frequent ones.
+
+    words has the counts of shapes; without it memo says what each misreading means.
+    """
     out = []
     for m in _LATIN_WORD.finditer(text):
         w = m[0]
         if w.isdigit():
             continue
-        if w not in memo:
-            own = words.get(_shape(w), 0)
-            best, n = None, 0
-            mixed = any(c.isdigit() for c in w)
-            if own < 1000 or mixed:
-                for c in word_candidates(w):
-                    k = words.get(_shape(c), 0)
-                    if k > n and k >= 3 and k * CHANNEL > own * (1 - CHANNEL) and _plausible(w, c):
-                        best, n = c, k
-            memo[w] = best
-        if memo[w]:
-            out.append((*m.span(), memo[w]))
+        if words is not None and w not in memo:
+            own = max(words.get(_shape(w), 0), 1)
+            counts = ((words.get(_shape(c), 0), c) for c in word_candidates(w) if _plausible(w, c))
+            memo[w] = max((x for x in counts if x[0] * CHANNEL > own * (1 - CHANNEL)), default=(0, None))[1]
+        if to := memo.get(w):
+            out.append((*m.span(), to))
     return out
 
 
@@ -275,20 +272,29 @@ def _plausible(word: str, to: str) -> bool:
     return False
 
 
-def _vocabulary(bodies: DataFrame) -> dict[str, int]:
-    """Frequent Latin words and shapes of numbers, with their counts over all texts."""
-    token = F.explode(F.expr(f"regexp_extract_all(body, '(?<![A-Za-z0-9])[A-Za-z0-9]{{2,{LONGEST_WORD}}}(?![A-Za-z0-9])', 0)"))
-    counted = cut(bodies.where("body is not null").select(token.alias("w")).groupBy(F.regexp_replace("w", "[0-9]", "0").alias("w")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3"))
-    level = F.floor(F.log2("n") * 4)
-    room, least = MAX_WORDS, None
-    for r in sorted(counted.groupBy(level.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r["b"]):
-        room -= r["c"]
-        if room < 0:
-            break
-        least = r["b"]
-    if least is None:
-        return {}
-    return dict(zip(*(list(c) for c in counted.where(level >= least).toPandas()[["w", "n"]].T.to_numpy())))
+def _misread_words(pages: DataFrame) -> DataFrame:
+    """(i, field, meant): of rows that have misread Latin words or numbers a map from each to the word it stands for.
+
+    A word is misread if a candidate is more frequent by the odds of the channel, as in correct_words. Words are compared by
+    their true counts over all texts, rare ones too, and by joins, so no vocabulary has to fit anywhere.
+    """
+    digits, shape = F.col("w").rlike("^[0-9]+$"), F.regexp_replace("w", "[0-9]", "0")
+    found = F.expr(f"regexp_extract_all(body, '(?<![A-Za-z0-9])[A-Za-z0-9]{{2,{LONGEST_WORD}}}(?![A-Za-z0-9])', 0)")
+    filled = pages.where("body is not null")
+    counted = cut(filled.select(F.explode(found).alias("w")).groupBy(F.when(digits, shape).otherwise(F.col("w")).alias("w")).agg(F.count(F.lit(1)).alias("n")))
+    shapes = counted.groupBy(shape.alias("shape")).agg(F.sum("n").alias("n"))
+
+    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), 1000):
+                rows = [(w, _shape(w), c, _shape(c)) for w in pdf["w"].iloc[k : k + 1000] for c in word_candidates(w) if _plausible(w, c)]
+                yield pd.DataFrame(rows, columns=["w", "shape", "c", "c_shape"])
+
+    pairs = counted.where(~digits).select("w").mapInPandas(candidates, "w string, shape string, c string, c_shape string")
+    pairs = pairs.join(shapes.select(F.col("shape").alias("c_shape"), F.col("n").alias("k")), "c_shape").join(shapes, "shape")
+    best = cut(pairs.where(F.col("k") * CHANNEL > F.col("n") * (1 - CHANNEL)).groupBy("w").agg(F.max(F.struct("k", "c"))["c"].alias("c")))
+    words = filled.select("i", "field", F.explode(F.array_distinct(found)).alias("w")).where(~digits)
+    return words.join(best, "w").groupBy("i", "field").agg(F.map_from_entries(F.collect_set(F.struct("w", "c"))).alias("meant"))
 
 
 def repair_scans(df: DataFrame, row_id: str, text: str, title: str, company: str, source_file: str) -> DataFrame:
@@ -296,7 +302,7 @@ def repair_scans(df: DataFrame, row_id: str, text: str, title: str, company: str
 
     First the structure of the page is undone: lines that are page numbers or running headers are dropped, words divided over
     two lines are rejoined, and the lines of a paragraph made continuous. From what is left Spark counts character n-grams
-    (a modified Kneser-Ney model of texts and one of titles) and words. Misread characters are then corrected by the noisy
+    (a modified Kneser-Ney model of texts and one of titles) and all Latin words. Misread characters are then corrected by the noisy
     channel: the probability of the misreading times the likelihood of the text, decoded by Viterbi over the candidates of a
     line; Latin words and numbers are chosen among candidate words by their frequency.
 
@@ -323,27 +329,25 @@ def repair_scans(df: DataFrame, row_id: str, text: str, title: str, company: str
 
     pages = cut(plain.mapInPandas(structure, f"i {id_type}, field string, body string, kinds array<string>"))
     models = spark.sparkContext.broadcast(fit(count_grams(pages, lambda t: stream(t)[0], "field", "body")))
-    words = spark.sparkContext.broadcast(_vocabulary(pages))
+    words = _misread_words(pages).withColumnsRenamed({"i": "w_i", "field": "w_field"})
+    pages = pages.join(words, F.col("i").eqNullSafe(F.col("w_i")) & (F.col("field") == F.col("w_field")), "left").drop("w_i", "w_field")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, str | None] = {}
         for batch in batches:
             for pdf in sub_batches(batch, "body", 300_000):
-                bodies, kinds = list(pdf["body"]), [set(k) for k in pdf["kinds"]]
+                bodies, kinds, meant = list(pdf["body"]), [set(k) for k in pdf["kinds"]], [dict(m) if m is not None else {} for m in pdf["meant"]]
                 for field in ("text", "chapter_title"):
                     mine = [k for k, f in enumerate(pdf["field"]) if f == field and bodies[k]]
                     if not mine or field not in models.value:
                         continue
                     for k, changes in zip(mine, correct_characters(models.value[field], [bodies[k] for k in mine])):
                         b = bodies[k]
-                        edits = [(a, a + 1, c) for a, c in changes.items()] + correct_words(b, words.value, memo)
+                        edits = [(a, a + 1, c) for a, c in changes.items()] + correct_words(b, None, meant[k])
                         if edits:
                             kinds[k].add("ocr_char")
                             for a, z, c in sorted(edits, reverse=True):
                                 b = b[:a] + c + b[z:]
                             bodies[k] = b
-                if len(memo) > 500_000:
-                    memo.clear()
                 yield pd.DataFrame({"i": pdf["i"], "field_name": pdf["field"], "repaired": bodies, "kinds": [sorted(k) for k in kinds]})
 
     out = pages.mapInPandas(decode, f"i {id_type}, field_name string, repaired string, kinds array<string>")

@@ -131,3 +131,11 @@ def test_word_candidates():
     assert scan_noise.correct_words("clear", {"clear": 50, "dear": 60}, {}) == []
 
 
+def test_words_are_compared_by_their_true_counts_alone(spark):
+    assert scan_noise.correct_words("tbe", {"tbe": 1500, "the": 20000}, {}) == [(0, 3, "the")]
+    assert scan_noise.correct_words("tbe", {"tbe": 1500, "the": 13000}, {}) == []
+    rows = [(f"a{i}", "the " * 100) for i in range(120)] + [(f"b{i}", "tbe " * 55) for i in range(20)] + [(f"c{i}", "head word") for i in range(15)] + [("d", "bead bead"), (None, "tbe"), ("b0", "tbe 7")]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "u string, text string, h string, c string, f string")
+    got = [(r["u"], r["repaired"], r["kinds"]) for r in scan_noise.repair_scans(df, "u", "text", "h", "c", "f").collect() if r["field_name"] == "text"]
+    assert len(got) == len(rows) and {u for u, _, k in got if k} == {f"b{i}" for i in range(20)} | {None}
+    assert not any("tbe" in t for _, t, _ in got) and ("d", "bead bead", []) in got and ("b0", "the 7", ["ocr_char"]) in got
