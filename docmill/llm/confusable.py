@@ -25,16 +25,37 @@ INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u180b\u180c\u180d\u180e\u200b\u200c\
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Full-width forms that become ASCII: letters, digits, slash, hyphen and their like, but not Chinese punctuation.
 WIDE_KEPT = "！＂＇（），：；？［］｛｝～．"
+# Radicals of the supplement and the ideographs drawn like them, as most have no decomposition.
+RADICALS = {
+    "⺀": "冫", "⺁": "厂", "⺂": "乛", "⺃": "乚", "⺄": "乙", "⺅": "亻", "⺆": "冂", "⺇": "𠘨", "⺈": "刀", "⺉": "刂", "⺊": "卜", "⺋": "㔾", "⺌": "小", "⺍": "小", "⺎": "兀", "⺏": "尣", "⺐": "尢", "⺑": "𡯂", "⺒": "巳", "⺓": "幺", "⺔": "彑", "⺕": "𫜹", "⺖": "忄", "⺗": "㣺", "⺘": "扌", "⺙": "攵", "⺛": "旡", "⺜": "日", "⺝": "月", "⺞": "歺", "⺟": "母", "⺠": "民", "⺡": "氵", "⺢": "氺", "⺣": "灬", "⺤": "爫", "⺥": "爫", "⺦": "丬", "⺧": "牛", "⺨": "犭", "⺩": "王", "⺪": "𤴔", "⺫": "罒", "⺬": "示", "⺭": "礻", "⺮": "𥫗", "⺯": "糹", "⺰": "纟", "⺱": "罓", "⺲": "罒", "⺳": "㓁", "⺴": "冗", "⺵": "𦉫", "⺶": "羊", "⺷": "𦍌", "⺸": "𦍋", "⺹": "耂", "⺺": "肀", "⺻": "聿", "⺼": "月", "⺽": "𦥑", "⺾": "艹", "⺿": "艹", "⻀": "艹", "⻁": "虎", "⻂": "衤", "⻃": "覀", "⻄": "西", "⻅": "见", "⻆": "角", "⻇": "𧢲", "⻈": "讠", "⻉": "贝", "⻊": "𧾷", "⻋": "车", "⻌": "辶", "⻍": "辶", "⻎": "辶", "⻏": "邑", "⻐": "钅", "⻑": "長", "⻒": "镸", "⻓": "长", "⻔": "门", "⻕": "𨸏", "⻖": "阝", "⻗": "雨", "⻘": "青", "⻙": "韦", "⻚": "页", "⻛": "风", "⻜": "飞", "⻝": "食", "⻞": "𩙿", "⻟": "飠", "⻠": "饣", "⻡": "𩠐", "⻢": "马", "⻣": "骨", "⻤": "鬼", "⻥": "鱼", "⻦": "鸟", "⻧": "卤", "⻨": "麦", "⻩": "黄", "⻪": "黾", "⻫": "斉", "⻬": "齐", "⻭": "歯", "⻮": "齿", "⻯": "竜", "⻰": "龙", "⻱": "龜", "⻲": "亀",
+}
 #: Letters of another script are only replaced in words that no letter proves to be of that script (see below).
 _OTHER = "Ͱ-ϿЀ-ԯ"
 _SIGNS = "μΩ"
 
+
+
+def _compatibility_letters() -> dict[str, str]:
+    """Latin letters of another kind by the Unicode database: mathematical (with digits), circled and squared ones, ligatures.
+
+    Circled digits, superscripts, Roman numerals, ℓ and ℹ are ordinary signs and stay.
+    """
+    found = {}
+    for code in range(0x80, sys.maxunicode + 1):
+        kind, to = unicodedata.decomposition(chr(code)).partition(" ")[0], unicodedata.normalize("NFKC", chr(code))
+        if kind in ("<font>", "<circle>", "<square>") and len(to) == 1 and to.isascii() and (to.isalpha() or kind == "<font>" and to.isdigit()) or 0xFB00 <= code <= 0xFB06:
+            found[chr(code)] = to
+    return {c: to for c, to in found.items() if c not in "ℓℹ"}
+
+
+COMPATIBILITY_LETTERS = _compatibility_letters()
+
 #: Private characters that stand for the letters of LOOK_ALIKES where these are genuine.
 _GUARDS = [chr(0xF0000 + i) for i in range(len(LOOK_ALIKES))]
 
 
 def mapping_table() -> list[tuple[str, str, str]]:
-    """(character, replacement, kind) by rule from the Unicode database; a few thousand rows, whatever the data.
+    """(character, replacement, kind) by rule from the Unicode database and fixed values; a few thousand rows, whatever the data.
 
     kind is ``space``, ``invisible``, ``hyphen``, ``wide``, ``ideograph``, ``compose`` (canonical decompositions of
     letters, undone by the recomposition), ``look``, or ``guard`` (a genuine letter that isn't to be replaced).
@@ -53,11 +74,10 @@ def mapping_table() -> list[tuple[str, str, str]]:
             table[c] = (unicodedata.normalize("NFKC", c), "ideograph")
         elif not kind.startswith("<") and c not in _SIGNS and len(full := unicodedata.normalize("NFD", c)) > 1:
             table[c] = (full, "compose")
-    # Radicals of the supplement have no decomposition; their names end in the simplified forms.
-    for c, to in zip("⺅⺼⻄⻅⻆⻉⻋⻓⻔⻘⻚⻛⻜⻝⻢⻥⻦⻨⻩⻬⻮⻰⺠⺟⻁", "亻月西见角贝车长门青页风飞食马鱼鸟麦黄齐齿龙民母虎"):
+    for c, to in RADICALS.items():
         table.setdefault(c, (to, "ideograph"))
     table |= {c: (" ", "space") for c in SPACES} | {c: ("", "invisible") for c in INVISIBLE} | {c: ("-", "hyphen") for c in HYPHENS}
-    table |= {c: (to, "look") for c, to in LOOK_ALIKES.items()} | {g: (c, "guard") for g, c in zip(_GUARDS, LOOK_ALIKES)}
+    table |= {c: (to, "look") for c, to in (COMPATIBILITY_LETTERS | LOOK_ALIKES).items()} | {g: (c, "guard") for g, c in zip(_GUARDS, LOOK_ALIKES)}
     return sorted((c, to, kind) for c, (to, kind) in table.items())
 
 
@@ -81,15 +101,23 @@ def _class(chars: str) -> str:
     return "".join(f"\\x{{{ord(c):x}}}" for c in chars)
 
 
+def _ranges(chars) -> str:
+    """A character class of many characters as few ranges."""
+    codes = sorted(map(ord, chars))
+    starts = [c for c, before in zip(codes, [-1, *codes]) if c != before + 1]
+    stops = [c for c, after in zip(codes, [*codes[1:], -1]) if after != c + 1]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, stops))
+
+
 #: Finds values that can change at all: any character of the mapping, or a combining mark.
-SUSPICIOUS = f"[{_class(SPACES + INVISIBLE + HYPHENS)}\\x{{ff01}}-\\x{{ff5e}}\\x{{2e80}}-\\x{{2fdf}}\\x{{f900}}-\\x{{faff}}\\x{{2f800}}-\\x{{2fa1f}}{_OTHER}ıɡɑⅼ\\p{{M}}]"
+SUSPICIOUS = f"[{_class(SPACES + INVISIBLE + HYPHENS)}\\x{{ff01}}-\\x{{ff5e}}\\x{{2e80}}-\\x{{2fdf}}\\x{{f900}}-\\x{{faff}}\\x{{2f800}}-\\x{{2fa1f}}{_OTHER}ıɡɑⅼ{_ranges(COMPATIBILITY_LETTERS)}\\p{{M}}]"
 
 
 def consistent_values(values: DataFrame, column: str) -> DataFrame:
     """``(value, form)`` of each distinct value of the column whose consistent form differs from it.
 
     The value is exploded to positioned characters; a broadcast join gives decompositions, plain forms of
-    full-width letters, digits, slashes and hyphens, unified ideographs for radicals and compatibility forms, plain
+    full-width letters, digits, slashes and hyphens and of mathematical and circled letters, unified ideographs for radicals and compatibility forms, plain
     spaces, and nothing for invisible characters. Combining marks are ordered by class behind their letter
     and recomposed. Greek and Cyrillic letters drawn like Latin ones are replaced unless the words in another script that
     stand together (as in ГОСТ Р) hold a letter that Latin has no double of, as such words are of that script

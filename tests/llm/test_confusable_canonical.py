@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm import canonical
 from docmill.llm.canonical import DeleteIndex, StandardIndex, decide, edit_distance, map_to_standards, standard_parts
-from docmill.llm.confusable import changed_values, composition_table, mapping_table, with_consistent
+from docmill.llm.confusable import RADICALS, changed_values, composition_table, mapping_table, with_consistent
 
 CASES = {
     "ＧＢ／Ｔ １２": "GB/T 12", "GB  1": "GB  1", "a​b⁠c﻿": "abc", "GВ/Т 1": "GB/T 1", "ІSO": "ISO", "ΙSΟ 9": "ISO 9", "éä": "éä", "Qualite­́": "Qualité",
@@ -45,6 +45,17 @@ def test_tables_follow_the_database():
     assert all(unicodedata.normalize("NFC", a) == b for a, b in composition_table())
 
 
+def test_every_radical_and_compatibility_letter_is_mapped(spark):
+    single = {c: to for c, to, kind in mapping_table() if kind not in ("guard", "compose")}
+    assert {chr(c) for c in range(0x2E80, 0x2EF4) if unicodedata.name(chr(c), "")} <= set(single) and "".join(single[c] for c in "\u2ed9\u2ee7\u2eea\u2ef2") == "韦卤黾亀"
+    assert all(unicodedata.name(to).startswith("CJK UNIFIED") for to in RADICALS.values())
+    want = {"𝐆𝐁/𝖳 𝟏𝟐": "GB/T 12", "ⒼⒷ": "GB", "ℬ🄰ﬁ": "BAfi", "\u2ed9\u2ee7": "韦卤"} | {f"x{c}": f"x{to}" for c, to in single.items()}
+    same = ["①m²Ⅱ№5ℓ℃™", "H₂O"]
+    df = spark.createDataFrame(list(enumerate([*want, *same])), "id long, v string")
+    got = {r["value"]: r["form"] for r in changed_values(df, "id", ["v"]).collect()}
+    assert got == want
+
+
 ROWS = [("GB/T12345", "光纤跳线盒 术语和定义", 2), ("GB12354", "光纤跳线盒 检验规则", 1), ("GB/T4895.4", "起重系列规范 第4部分 验收", 1), ("GB/T4895.3", "起重系列规范 第3部分 验收", 1), ("YY/T70163", "矿用照明灯 密封耐久试验方法", 1)]
 WANT = {
     "GB/T 12345": "GB/T12345", "gbt12345-2010": "GB/T12345", "GB/T 12345《光纤跳线盒 术语和定义》": "GB/T12345", "国标12354": "GB12354", "No.70163": "YY/T70163", "YY/T 7O163-2019": "YY/T70163", "YY/T七〇一六三": "YY/T70163", "Y Y / T 7 0 1 6 3": "YY/T70163",
