@@ -102,8 +102,8 @@ def packed_units(spark, d):
 
 
 def report_units(spark, d):
-    """Documents as reports: chapters, cleaning and text units."""
-    reports = read(spark, d, "documents").where("stock_code is not null").select("stock_code", F.col("source").alias("company_name"), F.year("published_at").cast("string").alias("year"), F.col("doc_id").cast("string").alias("source_file"), "text")
+    """All documents as reports: chapters, cleaning and text units; those without a stock_code have ids that begin with NA."""
+    reports = read(spark, d, "documents").select("stock_code", F.col("source").alias("company_name"), F.year("published_at").cast("string").alias("year"), F.col("doc_id").cast("string").alias("source_file"), "text")
     return cleaner.text_units(reports)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docmill.operators import cleaner, keywords
 from docmill.operators.cleaner import ChapterSettings, UnitSettings
+from docmill.plans import reference_queries
 
 ANCHORS = cleaner.Anchors(["ISO"])
 
@@ -64,6 +65,13 @@ def test_report_units(spark):
     assert sum(len(r["text"].replace("\n", "")) for r in got) == 1000
 
 
+def test_documents_without_a_code_give_units(spark, tmp_path):
+    df = spark.createDataFrame([(1, "000001", "a", "2024-01-01", "治理良好。" * 200), (2, None, "b", "2024-01-01", "治理良好。" * 200)], "doc_id long, stock_code string, source string, published_at string, text string")
+    df.withColumn("published_at", F.col("published_at").cast("timestamp")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = reference_queries.report_units(spark, str(tmp_path)).where("unit_order = 1").collect()
+    assert {(r["source_file"], r["text_unit_id"], r["stock_code"]) for r in got} == {("1", "000001_2024_00001", "000001"), ("2", "NA_2024_00001", None)}
+
+
 def test_clean_text_of_nulls(spark):
     df = spark.createDataFrame([(None, None), ("正文。", "x")], "t string, y string")
     assert [r["c"] for r in df.select(cleaner.clean_text(F.col("t"), F.col("y")).alias("c")).collect()] == ["", "正文。"]
