@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docmill.operators import asof
@@ -7,6 +9,10 @@ from docmill.operators.asof import asof_valid
 from docmill.operators.diff import table_diff
 
 
+#: Nanoseconds of a day in 2024, beyond what a float holds exactly.
+BASE = 1_706_000_000_123_456_789
+
+
 def _brute(events, changes):
     out = set()
     for key, e, at in events:
@@ -24,13 +30,33 @@ def _run(spark, events, changes):
     return {tuple(r) for r in asof_valid(e, c, "entity", "event_id", "at", "change_id", "f", "t", "k", ["v"]).collect()}
 
 
-def test_asof_equals_brute_force_with_a_hot_key_and_salts(spark, monkeypatch):
-    monkeypatch.setattr(asof, "EVENTS_PER_GROUP", 20)
-    r = random.Random(1)
-    maybe = lambda x: None if r.random() < 0.15 else x
-    events = [(maybe("hot" if r.random() < 0.4 else f"k{r.randrange(12)}"), i, maybe(r.randrange(40))) for i in range(500)]
-    changes = [(maybe("hot" if r.random() < 0.2 else f"k{r.randrange(12)}"), i, maybe(r.randrange(40)), maybe(r.randrange(60)), maybe(r.randrange(40)), maybe(r.randrange(3))) for i in range(150)]
-    assert _run(spark, events, changes) == _brute(events, changes)
+@pytest.mark.parametrize("ends", ["mixed", "never", "contiguous"])
+def test_asof_equals_brute_force_with_hot_keys_in_ranges(spark, monkeypatch, ends):
+    monkeypatch.setattr(asof, "ROWS_PER_GROUP", 25)
+    r = random.Random(len(ends))
+    maybe = lambda x: None if r.random() < 0.1 else x
+    events = [(maybe("hot" if r.random() < 0.5 else f"k{r.randrange(12)}"), i, maybe(BASE + (7 if r.random() < 0.2 else r.randrange(60)))) for i in range(500)]
+    changes = []
+    for i in range(200):
+        f = r.randrange(60)
+        t = {"mixed": maybe(BASE + r.randrange(80)), "never": None, "contiguous": BASE + f + r.randrange(1, 3)}[ends]
+        changes.append((maybe("hot" if r.random() < 0.5 else f"k{r.randrange(12)}"), i, maybe(BASE + f), t, maybe(BASE + r.randrange(60)) if ends == "mixed" else None, maybe(r.randrange(3))))
+    assert _run(spark, events, changes + changes[:5]) == _brute(events, changes)
+
+
+def test_many_ended_versions_cost_no_pass_each():
+    n = 1_000_000
+    f = np.arange(n, dtype=np.int64) + BASE
+    t = f + 1
+    t[0] = asof.NEVER  # only the oldest version is still in force
+    zero = np.zeros(n, dtype=np.int64)
+    got = asof.latest_valid(zero[:3], np.array([BASE + 2 * n, BASE + 5, BASE - 1]), zero, f, t, np.full(n, asof.EARLIEST))
+    assert got.tolist() == [0, 5, -1]
+
+
+def test_nanoseconds_stay_exact(spark):
+    changes = [("a", 1, BASE, BASE + 1001, None, None), ("a", 2, BASE - 5, None, None, None)]
+    assert _run(spark, [("a", 10, BASE + 1000), ("a", 11, BASE + 1001)], changes) == {(10, 1), (11, 2)}
 
 
 def test_asof_never_uses_later_knowledge(spark):
