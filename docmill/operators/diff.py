@@ -10,69 +10,76 @@ from pyspark.sql import functions as F
 
 from docmill.session import cut
 
-#: Bounds of the number of key buckets. The upper one bounds what is broadcast: one row of two longs a bucket.
-MIN_BUCKETS, MAX_BUCKETS, ROWS_PER_BUCKET = 1 << 10, 1 << 20, 16
+#: Key buckets of the matrix, and so its rows, whatever the tables' size. Within unequal buckets keys are told apart by their own hashes.
+BUCKETS = 1 << 12
+#: Unequal keys that are broadcast (up to 8 + 16 a field bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 _LOW = 0xFFFFFFFF
 
 
+def _q(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _value(name: str) -> Column:
     """The value compared: as string, without leading and trailing U+0020, null as the empty string."""
-    return F.coalesce(F.trim(F.col(name).cast("string")), F.lit(""))
+    return F.coalesce(F.trim(_q(name).cast("string")), F.lit(""))
 
 
-def _q(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+def _identity(keys: Sequence[str]) -> list[Column]:
+    """96 bits that stand for the key; a null is hashed as a marker of its own, since hashes skip nulls."""
+    parts = [c for k in keys for c in (_q(k), F.isnull(_q(k)))]
+    return [F.xxhash64(*parts).alias("id"), F.hash(*parts).alias("id2")]
 
 
-def _shaped(df: DataFrame, keys: Sequence[str], fields: Sequence[str], latest: str | None) -> DataFrame:
-    """Only what is compared, under names that no input column can clash with."""
-    return df.select(
-        *[_q(k).alias(f"k{i}") for i, k in enumerate(keys)],
-        *[_value("`" + f.replace("`", "``") + "`").alias(f"f{i}") for i, f in enumerate(fields)],
-        (_q(latest) if latest else F.lit(0)).alias("at"),
-    )
+def row_hashes(df: DataFrame, keys: Sequence[str], fields: Sequence[str], latest: str | None = None, unique_keys: bool = False) -> DataFrame:
+    """(id, id2, at, h0, h1, ...): one row a key with a 64-bit hash of each field's value; no text is shuffled.
+
+    Of a key's rows the latest stands, of equal times the one with the greatest hashes. Repeated rows combine before
+    the shuffle, so a key with many costs one row a task. With unique_keys nothing is shuffled at all.
+    """
+    hashes = [F.xxhash64(F.lit(i), _value(f)).alias(f"h{i}") for i, f in enumerate(fields)]
+    narrow = df.select(*_identity(keys), (_q(latest) if latest else F.lit(0)).alias("at"), *hashes)
+    if unique_keys:
+        return narrow
+    one = narrow.groupBy("id", "id2").agg(F.max(F.struct("at", *[f"h{i}" for i in range(len(fields))])).alias("row"))
+    return one.select("id", "id2", "row.*")
 
 
-def _bucket(n_keys: int, buckets: int) -> Column:
-    # A null key column is hashed as a marker of its own, since xxhash64 skips nulls.
-    parts = [c for i in range(n_keys) for c in (F.col(f"k{i}"), F.isnull(f"k{i}"))]
-    return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
+def _bucket(buckets: int) -> Column:
+    return F.pmod("id", F.lit(buckets)).cast("int")
 
 
-def checksum_matrix(df: DataFrame, n_keys: int, n_fields: int, buckets: int) -> DataFrame:
-    """One row a bucket: the number of keys, and for each field four additive sums (two 64-bit hashes in halves).
+def checksum_matrix(hashed: DataFrame, n_fields: int, buckets: int) -> DataFrame:
+    """One row a bucket: the number of keys and their checksums, and for each field two additive sums of key-dependent hashes.
 
-    Repeated rows of a key are first reduced to one on hashes alone, so no text is shuffled. Halves of
-    32 bits can be added for 2^31 keys a bucket before a long wraps, and wrapping would still be additive.
+    Halves of 32 bits can be added for 2^31 keys a bucket before a long wraps.
     """
-    keys = [F.col(f"k{i}") for i in range(n_keys)]
-    marks = [F.isnull(k) for k in keys]
-    hashes = [c for i in range(n_fields) for c in (F.xxhash64(*keys, *marks, f"f{i}", F.lit(i)).alias(f"a{i}"), F.xxhash64(F.lit(7919 + i), f"f{i}", *keys, *marks).alias(f"b{i}"))]
-    narrow = df.select(
-        _bucket(n_keys, buckets).alias("bucket"),
-        F.xxhash64(*keys, *marks).alias("id1"),
-        F.xxhash64(F.lit(104729), *keys, *marks).alias("id2"),
-        F.struct("at", _tie(n_fields), F.struct(*hashes).alias("h")).alias("row"),
-    )
-    one = narrow.groupBy("bucket", "id1", "id2").agg(F.max("row").alias("row"))
     sums = []
     for i in range(n_fields):
-        for side in "ab":
-            h = F.col(f"row.h.{side}{i}")
-            sums += [F.sum(h.bitwiseAND(F.lit(_LOW))).alias(f"{side}{i}l"), F.sum(F.shiftright(h, 32)).alias(f"{side}{i}h")]
-    return one.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("id1").alias("s1"), F.bit_xor("id2").alias("s2"), *sums)
+        h = F.xxhash64("id", "id2", f"h{i}")
+        sums += [F.sum(h.bitwiseAND(F.lit(_LOW))).alias(f"a{i}"), F.sum(F.shiftrightunsigned(h, 32)).alias(f"b{i}")]
+    return hashed.groupBy(_bucket(buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor("id").alias("s1"), F.sum(F.col("id2").cast("long")).alias("s2"), *sums)
 
 
-def _tie(n_fields: int) -> Column:
-    """Which of a key's rows with equal times stands; the same one for the matrix and for the rows."""
-    return F.xxhash64(*[F.col(f"f{i}") for i in range(n_fields)]).alias("tie")
+def unequal_cells(left: DataFrame, right: DataFrame, n_fields: int) -> DataFrame:
+    """(bucket, mask) of the buckets with an unequal cell: a bit for each unequal field, and the next one for the keys."""
+    both = left.alias("l").join(right.alias("r"), "bucket", "full_outer")
+    unequal = lambda names: reduce(lambda x, y: x | y, [~F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names])
+    bits = [F.when(unequal([f"a{i}", f"b{i}"]), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(n_fields)]
+    bits.append(F.when(unequal(["n", "s1", "s2"]), F.lit(1 << n_fields)).otherwise(F.lit(0)))
+    return both.select("bucket", reduce(lambda x, y: x.bitwiseOR(y), bits).cast("long").alias("mask")).where("mask <> 0")
 
 
-def _rows(df: DataFrame, n_keys: int, n_fields: int, fields: Sequence[int]) -> DataFrame:
-    """One row a key: the latest, of equal times the one with the greatest hash."""
-    keys = [f"k{i}" for i in range(n_keys)]
-    best = F.max(F.struct("at", _tie(n_fields), F.struct(F.lit(0).alias("z"), *[F.col(f"f{i}") for i in fields]).alias("v"))).alias("best")
-    return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"best.v.f{i}").alias(f"f{i}") for i in fields], F.lit(True).alias("here"))
+def _unequal_keys(a: DataFrame, b: DataFrame, n: int, buckets: int) -> DataFrame:
+    """Keys that one side lacks, or whose hashes differ in a field unequal in their bucket: id, id2, in_main, in_copy, mask, and both sides' hashes."""
+    found = F.broadcast(unequal_cells(checksum_matrix(a, n, buckets), checksum_matrix(b, n, buckets), n))  # at most `buckets` rows
+    side = lambda df, s: df.withColumn("bucket", _bucket(buckets)).join(found, "bucket").select("id", "id2", F.col("mask").alias(f"{s}_cells"), *[F.col(f"h{i}").alias(f"{s}{i}") for i in range(n)])
+    both = side(a, "m").join(side(b, "c"), ["id", "id2"], "full_outer")
+    in_main, in_copy = F.col("m_cells").isNotNull(), F.col("c_cells").isNotNull()
+    differs = lambda i: in_main & in_copy & (F.col("m_cells").bitwiseAND(F.lit(1 << i)) != 0) & (F.col(f"m{i}") != F.col(f"c{i}"))
+    mask = reduce(lambda x, y: x + y, [F.when(differs(i), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(n)])
+    return both.select("id", "id2", in_main.alias("in_main"), in_copy.alias("in_copy"), mask.cast("long").alias("mask"), *[f"{s}{i}" for s in "mc" for i in range(n)]).where("not in_main or not in_copy or mask <> 0")
 
 
 def table_diff(
@@ -82,49 +89,48 @@ def table_diff(
     fields: Sequence[str],
     main_latest: str | None = None,
     copy_latest: str | None = None,
-    buckets: int | None = None,
+    buckets: int = BUCKETS,
+    unique_keys: bool = False,
 ) -> DataFrame:
-    """Rows that one side lacks and fields that differ: keys and ``diff``.
+    """Rows that one side lacks and fields that differ: keys, ``diff``, ``main_value`` and ``copy_value``.
 
-    diff is ``only_main``, ``only_copy`` or the name of the differing field, one row for each. Both sides are
-    reduced to a matrix of additive checksums by key bucket and field; only buckets with an unequal
-    cell are read again, only the fields unequal somewhere, and joined by key.
+    diff is ``only_main``, ``only_copy`` (both values null) or the name of the differing field, one row for each. Both sides are
+    reduced to a matrix of additive checksums by key bucket and field. Within buckets that have an unequal cell the hashes of
+    single keys are compared, for the unequal fields only; then the keys that differ, and of the fields only those that
+    differ somewhere, are read again and joined. The matrix has the same bounded size whatever the tables'.
 
     Null keys are keys of their own (null equals null). A null value equals the empty string, and leading and
     trailing spaces (U+0020) are ignored. Repeated rows of a key count once: the one with the greatest
-    ``*_latest``, among equal times the one with the greatest hash. Empty
-    tables give the other side's rows; two empty tables give none. Other columns are ignored.
+    ``*_latest``, among equal times the one with the greatest hashes. Where keys are known to be unique,
+    ``unique_keys`` spares the shuffle of the row hashes for the matrix. Empty tables give the other side's rows; two empty tables
+    give none. Other columns are ignored. At most 62 fields.
     """
-    a, b = _shaped(main, keys, fields, main_latest), _shaped(copy, keys, fields, copy_latest)
-    n = len(keys)
-    if buckets is None:
-        rows = max(main.count(), copy.count())
-        buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, 1 << (rows // ROWS_PER_BUCKET).bit_length()))
-    left, right = (checksum_matrix(x, n, len(fields), buckets) for x in (a, b))
-    cells = [c for c in left.columns if c != "bucket"]
-    both = left.alias("l").join(right.alias("r"), "bucket", "full_outer")
-    unequal = lambda names: reduce(lambda x, y: x | y, [~F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names])
-    mask = reduce(lambda x, y: x.bitwiseOR(y), [F.when(unequal([c for c in cells if c[0] in "ab" and c[1:-1] == str(i)]), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(fields))])
-    keyed = F.when(unequal(["n", "s1", "s2"]), F.lit(1 << len(fields))).otherwise(F.lit(0))
-    found = cut(both.select("bucket", mask.bitwiseOR(keyed).cast("long").alias("mask")).where("mask <> 0"))
-    # The buckets are at most MAX_BUCKETS, the answer here is one row.
-    any_mask = found.agg(F.coalesce(F.bit_or("mask"), F.lit(0))).head()[0]
-    used = [i for i in range(len(fields)) if any_mask >> i & 1]
-    chosen = F.broadcast(found.select("bucket"))
-
-    def again(df: DataFrame) -> DataFrame:
-        part = df.withColumn("bucket", _bucket(n, buckets)).join(chosen, "bucket", "left_semi")
-        return _rows(part, n, len(fields), used)
-
-    x, y = again(a).alias("x"), again(b).alias("y")
-    same_key = reduce(lambda p, q: p & q, [F.col(f"x.k{i}").eqNullSafe(F.col(f"y.k{i}")) for i in range(n)])
-    on_both = F.col("x.here") & F.col("y.here")
-    kinds = F.array_compact(
-        F.array(
-            F.when(F.col("y.here").isNull(), F.lit("only_main")),
-            F.when(F.col("x.here").isNull(), F.lit("only_copy")),
-            *[F.when(on_both & (F.col(f"x.f{i}") != F.col(f"y.f{i}")), F.lit(fields[i])) for i in used],
-        )
-    )
-    key = [F.when(F.col("x.here"), F.col(f"x.k{i}")).otherwise(F.col(f"y.k{i}")).alias(keys[i]) for i in range(n)]
-    return x.join(y, same_key, "full_outer").select(*key, F.explode(kinds).alias("diff"))
+    n = len(fields)
+    a, b = row_hashes(main, keys, fields, main_latest, unique_keys), row_hashes(copy, keys, fields, copy_latest, unique_keys)
+    unequal = cut(_unequal_keys(a, b, n, buckets))
+    count, any_mask = unequal.agg(F.count(F.lit(1)), F.coalesce(F.bit_or("mask"), F.lit(0))).head()
+    used = [i for i in range(n) if any_mask >> i & 1]
+    wanted = unequal.select("id", "id2", "in_main", "in_copy", "mask", *[f"{s}{i}" for s in "mc" for i in used])
+
+    def again(df: DataFrame, s: str) -> DataFrame:
+        """The rows that stand for the unequal keys, by their hashes; a row of another time with the same values is as good."""
+        rows = df.select(*_identity(keys), *[_q(k).alias(f"k{i}") for i, k in enumerate(keys)], *[_value(fields[i]).alias(f"f{i}") for i in used])
+        hit = rows.join(F.broadcast(wanted) if count <= BROADCAST_KEYS else wanted, ["id", "id2"])
+        same = [F.xxhash64(F.lit(i), F.col(f"f{i}")) == F.col(f"{s}{i}") for i in used]
+        hit = hit.where(reduce(lambda x, y: x & y, same, F.col("in_main" if s == "m" else "in_copy")))
+        return hit.select("id", "id2", "in_main", "in_copy", F.struct(*[f"k{i}" for i in range(len(keys))]).alias("k"), F.struct(F.lit(0).alias("z"), *[f"f{i}" for i in used]).alias("v"), F.lit(s).alias("side"))
+
+    rows = again(main, "m").unionByName(again(copy, "c"))
+    of = lambda s: F.max(F.when(F.col("side") == s, F.col("v"))).alias(s)
+    joined = rows.groupBy("id", "id2", "in_main", "in_copy").agg(F.max("k").alias("k"), of("m"), of("c"))
+    text = lambda c: c.cast("string")
+    entry = lambda kind, x, y: F.struct(F.lit(kind).alias("diff"), text(x).alias("x"), text(y).alias("y"))
+    null = F.lit(None)
+    kinds = F.array_compact(F.array(F.when(~F.col("in_copy"), entry("only_main", null, null)), F.when(~F.col("in_main"), entry("only_copy", null, null)), *[F.when(F.col("in_main") & F.col("in_copy") & (F.col(f"m.f{i}") != F.col(f"c.f{i}")), entry(fields[i], F.col(f"m.f{i}"), F.col(f"c.f{i}"))) for i in used]))
+    out = joined.select("k", F.explode(kinds).alias("d"))
+    new = {}
+    for name in ("diff", "main_value", "copy_value"):
+        new[name] = name
+        while new[name].lower() in {k.lower() for k in keys}:
+            new[name] = "_" + new[name]
+    return out.select(*[F.col(f"k.k{i}").alias(k) for i, k in enumerate(keys)], F.col("d.diff").alias(new["diff"]), F.col("d.x").alias(new["main_value"]), F.col("d.y").alias(new["copy_value"]))

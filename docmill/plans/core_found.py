@@ -54,7 +54,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows that only one of the two copies has, and fields that differ."""
     main, copy = read(spark, d, "stage2_result"), read(spark, d, "stage2_result_copy")
-    return table_diff(main, copy, ["text_unit_id", "item_no"], DIFF_FIELDS, "extracted_at", "synced_at")
+    return table_diff(main, copy, ["text_unit_id", "item_no"], DIFF_FIELDS, "extracted_at", "synced_at").select("text_unit_id", "item_no", "diff")
 
 
 def queries() -> dict:

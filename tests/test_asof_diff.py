@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docmill.operators import asof
+from docmill.operators import asof, diff
 from docmill.operators.asof import asof_valid
 from docmill.operators.diff import table_diff
 
@@ -90,7 +90,31 @@ def test_diff_equals_brute_force(spark):
     a, b = rows(0), rows(1000)
     schema = "id string, at long, f string, bucket string"
     got = table_diff(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), ["id"], ["f", "bucket"], "at", "at", buckets=16)
-    assert sorted(map(str, {tuple(x) for x in got.collect()})) == sorted(map(str, _brute_diff(a, b, ["f", "bucket"])))
+    assert sorted(map(str, {tuple(x)[:2] for x in got.collect()})) == sorted(map(str, _brute_diff(a, b, ["f", "bucket"])))
+    assert all((x["main_value"] is None) == x["diff"].startswith("only_") and (x["main_value"] is None or x["main_value"] != x["copy_value"]) for x in got.collect())
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_unique_keys_and_many_unequal_keys(spark, monkeypatch, many):
+    if many:
+        monkeypatch.setattr(diff, "BROADCAST_KEYS", 1)
+    a = [(f"k{i}", i, "x", str(i), "same") for i in range(100)]
+    b = [(f"k{i}", i, "x" if i % 7 else "y", str(i), "same") for i in range(5, 103)]
+    schema = "diff string, n int, f string, g string, h string"
+    got = table_diff(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), ["diff", "n"], ["f", "g", "h"], unique_keys=True, buckets=32)
+    want = {(f"k{i}", "only_main") for i in range(5)} | {(f"k{i}", "only_copy") for i in range(100, 103)} | {(f"k{i}", "f") for i in range(5, 100) if i % 7 == 0}
+    assert {(x["diff"], x["_diff"]) for x in got.collect()} == want and got.count() == len(want)
+
+
+def test_second_read_has_only_keys_and_unequal_fields(spark, tmp_path):
+    a = spark.range(200).select(F.col("id").alias("k"), F.lit("x").alias("same"), F.col("id").cast("string").alias("other"), F.lit("long text").alias("z"))
+    a.write.parquet(str(tmp_path / "a"))
+    a.withColumn("other", F.when(F.col("k") == 7, "changed").otherwise(F.col("other"))).write.parquet(str(tmp_path / "b"))
+    got = table_diff(spark.read.parquet(str(tmp_path / "a")), spark.read.parquet(str(tmp_path / "b")), ["k"], ["same", "other"])
+    assert [tuple(x) for x in got.collect()] == [(7, "other", "7", "changed")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    schemas = [x.split("ReadSchema: ")[1].split("\n")[0] for x in plan.split("FileScan")[1:] if "other:" in x.split("ReadSchema: ")[1].split("\n")[0]]
+    assert schemas and all("same" not in x and "z:" not in x for x in schemas)
 
 
 def test_cuts_can_be_dropped(spark):
