@@ -64,8 +64,10 @@ def _brute(docs, items, run):
     return out
 
 
-def test_leaks_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(leak, "BLOCK_WINDOWS", 300)  # more than one block
+@pytest.mark.parametrize("small", [False, True])
+def test_leaks_equal_brute_force(spark, monkeypatch, small):
+    if small:  # the index is joined by a shuffle
+        monkeypatch.setattr(leak, "BROADCAST_ROWS", 1)
     r = random.Random(3)
     words = ["压接模具", "某风电整机厂", "尺寸漂移", "降至37例", "Quality", "复核", "21.4个", "盲样", "并说明", "等级"]
     text = lambda n: "，".join(r.choice(words) for _ in range(n))
@@ -80,8 +82,13 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
         docs.append((d, t))
     docs += [(100, None), (101, ""), (102, items[0][1]), (103, items[0][1])]
     run = lambda d, i: leak.leaked_items(spark.createDataFrame(d, "doc long, text string").withColumn("h", F.lit(1)), "doc", "text", spark.createDataFrame(i, "item long, text string"), "item", "text")
+    figures = "".join(str(r.randrange(10)) for _ in range(70))
+    lists = "、".join(str(r.randrange(100, 9999)) for _ in range(40))
+    firms = "".join(f"某{r.choice('东西南北')}{r.choice('山川河海')}电子厂" for _ in range(20))
+    items += [(200, "前文" + figures + "后文"), (201, lists), (202, firms), (203, "一" * 80)]
+    docs += [(300, "数据" + figures), (301, "表：" + lists[20:]), (302, "名单" + firms[3:70]), (303, "另" + firms[40:]), (304, "一" * 300), (305, figures[:49])]
     got = {(x["doc"], x["item"]) for x in run(docs, items).where("verbatim_run >= 50").collect()}
-    assert got == _brute(docs, items, 50)
+    assert got == _brute(docs, items, 50) and {(300, 200), (301, 201), (302, 202), (304, 203)} <= got
     assert run(docs[:0], items).count() == 0 and run(docs, items[:0]).count() == 0
 
 
@@ -90,3 +97,20 @@ def test_reworded_items_are_told_apart(spark):
     docs = spark.createDataFrame([(1, item), (2, item.replace("77", "81").replace("50", "3"))], "doc long, text string")
     got = {r["doc"]: r for r in leak.leaked_items(docs, "doc", "text", spark.createDataFrame([(5, item)], "item long, text string"), "item", "text").collect()}
     assert not got[1]["reworded"] and got[2]["reworded"] and got[2]["slots_equal"] < got[2]["slots"]
+
+
+def test_slots_must_be_consistent():
+    item = "某电子厂去年生产了77台设备，今年计划仍为77台，产量的合格率为90，返修率为50，问该厂两年合计生产多少台合格设备，并说明返修的原因和改进的措施"
+    same = item.replace("77", "12")
+    mixed = item.replace("77", "12", 1)
+    assert leak.compare(same, item, [0], 50)[2:] [0] == leak.compare(mixed, item, [0], 50)[2]
+    assert leak.compare(same, item, [0], 50)[4] and not leak.compare(mixed, item, [0], 50)[4]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="某电厂公司12三百万个李明abc风力", min_size=50, max_size=120), st.text(alphabet="某电厂公司12三百万个李明abc风力", max_size=30), st.text(alphabet="某电厂公司12三百万个李明abc风力", max_size=30), st.integers(0, 70))
+def test_every_passage_has_a_common_window(passage, before, after, at):
+    part = passage[min(at, len(passage) - 50) :][:50]
+    known = {h for hashes in leak.item_hashes(passage, 50) for h in hashes.tolist()}
+    looked_up = {h for _, hashes in leak.document_hashes(before + part + after, 50) for h in hashes.tolist()}
+    assert known & looked_up
