@@ -10,7 +10,7 @@ from docmill.llm.confusable import RADICALS, changed_values, composition_table,
 
 CASES = {
     "ＧＢ／Ｔ １２": "GB/T 12", "GB  1": "GB  1", "a​b⁠c﻿": "abc", "GВ/Т 1": "GB/T 1", "ІSO": "ISO", "ΙSΟ 9": "ISO 9", "éä": "éä", "Qualite­́": "Qualité",
-    "电⼦⼊": "电子入", "不行": "不行", "GB‑1－2": "GB-1-2", "ГОСТ　Р ８": "ГОСТ Р 8", "ГОСТ Р СР-1": "ГОСТ Р СР-1", "​": "", "q̣̇": "q̣̇", "ạ̇": "ạ̇", "е": "e",
+    "电⼦⼊": "电子入", "不行": "不行", "GB‑1－2": "GB-1-2", "ГОСТ　Р ８": "ГОСТ Р 8", "ГОСТ Р СР-1": "ГОСТ Р СР-1", "​": "", "q̣̇": "q̣̇", "ạ̇": "ạ̇", "е": "e", "\u212a\u212b": "KÅ", "ꓖꓐ Օn": "GB On", "ГОСТи\u0306 Р": "ГОСТй Р",
 }
 SAME = ["ГОСТ Р 80154", "5μm，60MΩ。", "Señal Verde", "（2016版）：；！", "普通文字 GB/T 1", "", "a\nb\tc", "—–…"]
 
@@ -40,13 +40,36 @@ def test_marks_are_ordered_and_composed_as_in_nfc(spark, texts):
     assert got == {i: unicodedata.normalize("NFC", t) for i, t in enumerate(texts)}
 
 
+def test_work_is_linear_in_the_length(spark):
+    import time
+
+    def took(n):
+        v = "甲" * n + "Ａe\u0301Т" * (n // 4) + "。" + "и\u0306" * (n // 4)
+        df = spark.createDataFrame([(1, v)], "id long, v string")
+        start = time.perf_counter()
+        form = changed_values(df, "id", ["v"]).head()["form"]
+        assert form == "甲" * n + "AéT" * (n // 4) + "。" + "й" * (n // 4)
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(160_000) < 8 * took(40_000) + 5
+
+
+def test_a_value_of_many_rows_is_salted(spark, monkeypatch):
+    from docmill.llm import confusable
+
+    monkeypatch.setattr(confusable, "HOT_ROWS", 10)
+    df = spark.range(100).select("id", F.when(F.col("id") < 95, "ＡＢ").otherwise("ok").alias("v"), F.lit(1).alias("salt"), F.lit(1).alias("form"))
+    assert {r["v"] for r in with_consistent(df, ["v"]).where("id < 95").collect()} == {"AB"} and with_consistent(df, ["v"]).count() == 100
+
+
 def test_tables_follow_the_database():
     assert len({c for c, _, _ in mapping_table()}) == len(mapping_table()) < 10_000
     assert all(unicodedata.normalize("NFC", a) == b for a, b in composition_table())
 
 
 def test_every_radical_and_compatibility_letter_is_mapped(spark):
-    single = {c: to for c, to, kind in mapping_table() if kind not in ("guard", "compose")}
+    single = {c: to for c, to, kind in mapping_table() if kind != "compose"}
     assert {chr(c) for c in range(0x2E80, 0x2EF4) if unicodedata.name(chr(c), "")} <= set(single) and "".join(single[c] for c in "\u2ed9\u2ee7\u2eea\u2ef2") == "韦卤黾亀"
     assert all(unicodedata.name(to).startswith("CJK UNIFIED") for to in RADICALS.values())
     want = {"𝐆𝐁/𝖳 𝟏𝟐": "GB/T 12", "ⒼⒷ": "GB", "ℬ🄰ﬁ": "BAfi", "\u2ed9\u2ee7": "韦卤"} | {f"x{c}": f"x{to}" for c, to in single.items()}
