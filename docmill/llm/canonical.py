@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from docmill.llm.confusable import HYPHENS, INVISIBLE, LOOK_ALIKES, SPACES
 from docmill.session import cut, free_name
 
-#: Entries of a reference list that are indexed and broadcast at once (about 100 bytes a delete key, at most some 120
-#: keys an entry). A longer list is worked through in blocks of this size.
-BLOCK = 20_000
+#: Delete keys of a reference list that are indexed and broadcast (about 100 bytes each). They are counted by length before anything
+#: is collected; a list with more is joined by its keys instead.
+BROADCAST_KEYS = 1_000_000
 
 _PLAIN = str.maketrans({**LOOK_ALIKES, **{c: "-" for c in HYPHENS}, **{c: " " for c in SPACES}, **{c: None for c in INVISIBLE}})
 # Digits as Chinese numerals, and letters that are typed or read for digits.
@@ -121,104 +121,167 @@ def standard_parts(value: str) -> tuple[str, list[str]]:
     return number, variants
 
 
-@dataclass
-class StandardIndex:
-    """Finds standards by number (one error of any kind) and by name (up to two characters missing)."""
+def best_of(candidates: list[tuple[int, float, int, str]], only: bool = False) -> str | None:
+    """The code of the candidate with the least weight, then the greatest frequency; null if two codes tie, or if ``only``
+    asks for a single code and there are several."""
+    codes = {c[3] for c in candidates}
+    if not codes or only and len(codes) > 1:
+        return next(iter(codes)) if len(codes) == 1 else None
+    ranked = sorted({(w, f, code) for _, w, f, code in candidates})
+    tied = {code for w, f, code in ranked if (w, f) == ranked[0][:2]}
+    return ranked[0][2] if len(tied) == 1 else None
 
-    numbers: DeleteIndex
-    names: DeleteIndex
 
-    @classmethod
-    def of(cls, rows: list[tuple[str, str, int]]) -> StandardIndex:
-        """rows: (base code, name, frequency)."""
-        numbers, names = {}, {}
-        for base, name, n in rows:
-            if m := re.search(r"\d.*$", plain(base)):
-                numbers[m[0], base] = max(n, numbers.get((m[0], base), 0))
-            if key := re.sub(r"[^一-鿿0-9A-Z]", "", plain(name or "")):
-                names[key, base] = max(n, names.get((key, base), 0))
-        pack = lambda d: sorted((term, base, n) for (term, base), n in d.items())
-        return cls(DeleteIndex.of(pack(numbers), 1, 1), DeleteIndex.of(pack(names), 2, 0))
-
-    def candidates(self, value: str) -> list[tuple[str, int, float, int, str]]:
-        """(by, edits, weight, -frequency, code) for one value."""
-        number, names = standard_parts(value)
-        found = [("number", *x) for x in self.numbers.find(number)]
-        found += [("name", *x) for x in sorted({x for v in names for x in self.names.find(v)})]
-        return found
-
-
-def decide(candidates: list[tuple[str, int, float, int, str]]) -> tuple[str | None, int | None, str]:
-    """(code, edits, how): the exact number, else the only number within reach, else the name.
-
-    Several numbers within reach are told apart by the name if there is one. Of names the nearest counts, if it
-    is the only one at that distance. ``how`` is number, name, ambiguous or none.
+def decide(candidates: list[tuple[str, int, float, int, str]], only: bool = False) -> tuple[str | None, int | None, str]:
+    """(code, edits, how): the exact number, else the best number within reach, else the best name.
+
+    Several numbers within reach are told apart by the nearest name if there is one, then by weight and frequency (see
+    best_of); with ``only`` they are ambiguous instead. ``how`` is number, name, ambiguous or none.
     """
-    numbers, names = ([c for c in candidates if c[0] == by] for by in ("number", "name"))
-    nearest = {c[4] for c in names if c[1] == min(x[1] for x in names)} if names else set()
+    numbers, names = ([c[1:] for c in candidates if c[0] == by] for by in ("number", "name"))
+    nearest = [c for c in names if c[0] == min(x[0] for x in names)]
+    named = {c[3] for c in nearest}
     for reach in (0, 1):
-        codes = {c[4] for c in numbers if c[1] <= reach}
-        if len(codes) > 1:
-            codes = codes & nearest or codes
-        if len(codes) == 1:
-            return codes.pop(), reach, "number"
-    if len(nearest) == 1:
-        return next(iter(nearest)), min(c[1] for c in names), "name"
+        near = [c for c in numbers if c[0] <= reach]
+        both = [c for c in near if c[3] in named]
+        if (code := best_of(both or near, only)) is not None:
+            return code, reach, "number"
+    if (code := best_of(nearest, only)) is not None:
+        return code, nearest[0][0], "name"
     return None, None, "ambiguous" if numbers or nearest else "none"
 
 
-def map_to_standards(df: DataFrame, value: str, reference: DataFrame, code: str, name: str, block: int = BLOCK) -> DataFrame:
-    """df with ``matched_code``, ``matched_edits`` and ``matched_by`` (number, name, ambiguous, none).
+def decide_entry(candidates: list[tuple[str, int, float, int, str]], only: bool = False) -> tuple[str | None, int | None, str]:
+    """(entry, edits, how) for an ordinary list: the entry with the least weight, then the most frequent one."""
+    near = [c[1:] for c in candidates]
+    code = best_of(near, only)
+    if code is None:
+        return None, None, "ambiguous" if near else "none"
+    edits = min(c[0] for c in near if c[3] == code)
+    return code, edits, "exact" if edits == 0 else "near"
 
-    The reference list is indexed by symmetric deletes and broadcast: distinct terms are counted first, and a list of
-    more than ``block`` terms is worked through in blocks, whose candidates are brought together by value.
-    Each batch looks up its distinct values once, so no row is shuffled for a list of one block.
 
-    A null or empty value, an empty list, and a value farther away than one edit of a number or two missing characters
-    of a name give a null code. Reference rows without a code are left out; repeated ones count as frequency, which
-    ranks candidates of equal distance. All columns of df are kept; clashing ones give the new columns a leading underscore.
-    """
-    out = [free_name(n, df) for n in ("matched_code", "matched_edits", "matched_by")]
-    terms = reference.where(F.col(code).isNotNull()).groupBy(F.col(code).alias("code"), F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    terms = cut(terms)
-    blocks = -(-terms.count() // block) or 1
-    spark = df.sparkSession
+def entry_key(value: str) -> str:
+    """The letters and digits of an entry in one form of width, look-alikes and case."""
+    return re.sub(r"[^\w]|_", "", plain(value))
+
+
+@dataclass(frozen=True)
+class Field:
+    """One way to find an entry: its kind, edits allowed, and whether the query may only lack characters."""
+
+    by: str
+    most: int
+    lacking: bool = False
 
-    def index(i: int):
-        part = terms if blocks == 1 else terms.where(F.pmod(F.xxhash64("code"), F.lit(blocks)) == i)
-        return spark.sparkContext.broadcast(StandardIndex.of([(r["code"], r["name"], r["n"]) for r in part.collect()]))
 
+STANDARD_FIELDS, ENTRY_FIELDS = (Field("number", 1), Field("name", 2, True)), (Field("entry", 2),)
+
+
+def standard_queries(value: str) -> list[tuple[str, str]]:
+    number, names = standard_parts(value)
+    return ([("number", number)] if number else []) + [("name", n) for n in names]
+
+
+def standard_terms(code: str, name: str | None) -> list[tuple[str, str]]:
+    found = [("number", m[0])] if (m := re.search(r"\d.*$", plain(code))) else []
+    key = re.sub(r"[^一-鿿0-9A-Z]", "", plain(name or ""))
+    return found + ([("name", key)] if key else [])
+
+
+def entry_terms(code: str, _: str | None) -> list[tuple[str, str]]:
+    return [("entry", key)] if (key := entry_key(code)) else []
+
+
+def entry_queries(value: str) -> list[tuple[str, str]]:
+    return entry_terms(value, None)
+
+
+def _mapped(df: DataFrame, value: str, terms: DataFrame, fields: tuple[Field, ...], terms_of: Callable, queries_of: Callable, settle: Callable, out: list[str], most_keys: int) -> DataFrame:
+    """df with the three columns ``out``; terms: code, name, n (frequency)."""
+    spark = df.sparkSession
     schema = "`{}` string, `{}` int, `{}` string".format(*out)
-    if blocks == 1:
-        shared = index(0)
+
+    def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(by, term, c, n) for c, name, n in pdf[["code", "name", "n"]].itertuples(index=False) for by, term in terms_of(c, name)], columns=["f", "term", "code", "n"])
+
+    listed = cut(terms.mapInPandas(spelled, "f string, term string, code string, n long").groupBy("f", "term", "code").agg(F.sum("n").alias("n")))
+    size, most = F.char_length("term"), F.when(F.col("f") == fields[0].by, fields[0].most).otherwise(fields[-1].most)
+    n_keys = listed.agg(F.coalesce(F.sum(1 + size + F.when(most > 1, size * (size - 1) / 2).otherwise(0)), F.lit(0))).head()[0]
+    if n_keys <= most_keys:
+        rows: dict[str, list] = defaultdict(list)
+        for r in listed.collect():
+            rows[r["f"]].append((r["term"], r["code"], r["n"]))
+        shared = spark.sparkContext.broadcast({f.by: DeleteIndex.of(sorted(rows[f.by]), f.most, 0 if f.lacking else f.most) for f in fields})
 
         def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for s in batches:
-                known = {v: decide(shared.value.candidates(v)) if v else (None, None, "none") for v in s.dropna().unique()}
+                find = lambda v: sorted({(by, *x) for by, q in queries_of(v) for x in shared.value[by].find(q)})
+                known = {v: settle(find(v)) for v in s.dropna().unique() if v}
                 yield pd.DataFrame([known.get(v, (None, None, "none")) for v in s], columns=out).astype({out[1]: "Int32"})
 
         found = free_name("found", df)
         return df.withColumn(found, F.pandas_udf(look_up, schema)(F.col(value))).select(*df.columns, *[F.col(f"{found}.{c}").alias(c) for c in out])
 
-    distinct = cut(df.select(F.col(value).alias("v")).where("v is not null").distinct())
-    partial = None
-    for i in range(blocks):
-        part = distinct.mapInPandas(_candidates(index(i)), "v string, c array<struct<a:string,e:int,w:double,f:int,code:string>>")
-        partial = part if partial is None else partial.unionByName(part)
+    rule = {f.by: f for f in fields}
 
-    def settle(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def keyed_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), 200):
+                yield pd.DataFrame([(f, key, term, c, n) for f, term, c, n in pdf.iloc[k : k + 200][["f", "term", "code", "n"]].itertuples(index=False) for key in deletes(term, rule[f].most)], columns=["f", "k", "term", "code", "n"])
+
+    def keyed_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), 500):
+                yield pd.DataFrame([(f, key, v, q) for v in pdf["v"].iloc[k : k + 500] for f, q in queries_of(v) for key in deletes(q, 0 if rule[f].lacking else rule[f].most)], columns=["f", "k", "v", "q"])
+
+    def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            scored = [(v, f, *(edit_distance(q, term) if not rule[f].lacking else (len(term) - len(q), 0.9 * (len(term) - len(q)))), -n, c) for f, v, q, term, c, n in pdf[["f", "v", "q", "term", "code", "n"]].itertuples(index=False)]
+            yield pd.DataFrame([x for x in scored if x[2] <= rule[x[1]].most], columns=["v", "f", "e", "w", "n", "code"])
+
+    distinct = cut(df.select(F.col(value).alias("v")).where("v is not null and v <> ''").distinct())
+    pairs = distinct.mapInPandas(keyed_values, "f string, k string, v string, q string").join(listed.mapInPandas(keyed_terms, "f string, k string, term string, code string, n long"), ["f", "k"])
+    near = pairs.select("f", "v", "q", "term", "code", "n").distinct().mapInPandas(distances, "v string, f string, e int, w double, n long, code string")
+
+    def settle_all(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.DataFrame([decide([(x["a"], x["e"], x["w"], x["f"], x["code"]) for x in c]) for c in s], columns=out).astype({out[1]: "Int32"})
+            yield pd.DataFrame([settle(sorted({(x["f"], x["e"], x["w"], x["n"], x["code"]) for x in c})) for c in s], columns=out).astype({out[1]: "Int32"})
 
-    settled = partial.groupBy("v").agg(F.flatten(F.collect_list("c")).alias("c")).select("v", F.pandas_udf(settle, schema)("c").alias("m"))
+    settled = near.groupBy("v").agg(F.collect_list(F.struct("f", "e", "w", "n", "code")).alias("c")).select("v", F.pandas_udf(settle_all, schema)("c").alias("m"))
     v = free_name("v", df)
     return df.join(settled.select(F.col("v").alias(v), *[F.col(f"m.{c}").alias(c) for c in out]), F.col(value) == F.col(v), "left").drop(v).fillna("none", [out[2]])
 
 
-def _candidates(shared) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [[dict(zip("aewf", c[:4])) | {"code": c[4]} for c in shared.value.candidates(v)] for v in pdf["v"]]
-            yield pd.DataFrame({"v": pdf["v"], "c": rows})
+def _counted(reference: DataFrame, code: str, name: str | None) -> DataFrame:
+    return reference.where(F.col(code).isNotNull()).groupBy(F.col(code).alias("code"), (F.col(name) if name else F.lit(None).cast("string")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
 
-    return run
+
+def map_to_list(df: DataFrame, value: str, reference: DataFrame, entry: str, only: bool = False, most_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """df with ``matched_entry``, ``matched_edits`` and ``matched_by`` (exact, near, ambiguous, none) from a list of cities, brands, titles or the like.
+
+    Letters and digits are compared in one form of width, case and look-alikes, with at most two edits (neighbours swapped count as
+    one). Of several entries within reach the one with the least weighted distance is taken, then the one that the reference
+    list has most often; entries equal in both are ambiguous, and with ``only`` any two are. Null and empty values, and values
+    farther away, give a null entry; nulls in the list are left out. All columns of df are kept; clashing ones
+    give the new columns a leading underscore. A list too long to be broadcast is joined by its delete keys.
+    """
+    out = [free_name(n, df) for n in ("matched_entry", "matched_edits", "matched_by")]
+    return _mapped(df, value, _counted(reference, entry, None), ENTRY_FIELDS, entry_terms, entry_queries, lambda c: decide_entry(c, only), out, most_keys)
+
+
+def map_to_standards(df: DataFrame, value: str, reference: DataFrame, code: str, name: str, only: bool = True, most_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """df with ``matched_code``, ``matched_edits`` and ``matched_by`` (number, name, ambiguous, none).
+
+    The reference list is indexed by symmetric deletes and broadcast if its keys, counted before, are few enough; each batch then
+    looks up its distinct values once, and no row is shuffled. Otherwise distinct values and terms are joined by their
+    delete keys. Candidates are ranked by weighted distance, then by how often the list has them; with ``only`` a
+    number or a name within reach must leave one entry, and is ambiguous otherwise.
+
+    A null or empty value, an empty list, and a value farther away than one edit of a number or two missing characters
+    of a name give a null code. Reference rows without a code are left out; repeated ones count as frequency. All columns of df
+    are kept; clashing ones give the new columns a leading underscore.
+    """
+    out = [free_name(n, df) for n in ("matched_code", "matched_edits", "matched_by")]
+    return _mapped(df, value, _counted(reference, code, name), STANDARD_FIELDS, standard_terms, standard_queries, lambda c: decide(c, only), out, most_keys)

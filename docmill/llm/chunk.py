@@ -84,14 +84,15 @@ def split_oversized(df: DataFrame, text: str, limit: int = 1200, overlap: int =
     number, count, piece = (free_name(n, df) for n in ("piece_no", "pieces", "piece"))
     long = F.coalesce(F.char_length(F.col(text)) > limit, F.lit(False))
     names = df.columns
-    parts = free_name("parts", df)
+    parts, at = free_name("parts", df), free_name("at", df)
 
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(lambda t: split_text(t, limit, overlap))
 
-    cut_udf = F.pandas_udf(cut, "array<string>")
+    # Not deterministic to the optimiser, which would otherwise cut twice: for the size and for the pieces.
+    cut_udf = F.pandas_udf(cut, "array<string>").asNondeterministic()
     whole = df.where(~long).select(*names, F.lit(1).alias(number), F.lit(1).alias(count), F.col(text).alias(piece))
     split = df.where(long).withColumn(parts, cut_udf(F.col(text)))
-    split = split.select(*names, F.size(parts).alias(count), F.posexplode(parts).alias("_at", piece))
-    return whole.unionByName(split.select(*names, (F.col("_at") + 1).alias(number), count, piece))
+    split = split.select(*names, F.size(parts).alias(count), F.posexplode(parts).alias(at, piece))
+    return whole.unionByName(split.select(*names, (F.col(at) + 1).alias(number), count, piece))

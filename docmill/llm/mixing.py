@@ -13,26 +13,31 @@ from pyspark.sql import functions as F
 
 from docmill.session import cut
 
+#: Where the vocabulary lies for the driver, which reads it and sends it to the workers (about 1 MB).
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+# Fixed value: how the public byte-level vocabularies split text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Documents that one task puts in order where the sample of a source ends; a class of more is divided again.
+EDGE_ROWS = 100_000
 #: Classes of document size and of rank a source has in the histograms; they bound what the driver or a broadcast sees.
 SIZE_BINS, RANK_BINS = 512, 8192
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str):
-    import public_tokenizers
+def _encoding(vocabulary: bytes, pattern: str):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(text: Column, tokenizer: str = TOKENIZER) -> Column:
-    """Tokens of each whole text by a public byte-level BPE vocabulary (a .tiktoken file); 0 for null and empty texts."""
+def token_counts(text: Column, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> Column:
+    """Tokens of each whole text by a public byte-level BPE vocabulary (a .tiktoken file that the driver can read); 0 for null and empty texts."""
+    with open(tokenizer, "rb") as f:
+        vocabulary = f.read()
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoding = _encoding(tokenizer)
+        encoding = _encoding(vocabulary, pattern)
         for s in batches:
             yield pd.Series([len(encoding.encode_ordinary(t)) if t else 0 for t in s], dtype="int64")
 
@@ -51,6 +56,37 @@ def _scale(bins: list[tuple[float, float]], want: float) -> float:
     return hi
 
 
+def _edges(ranked: DataFrame, rests: dict[str, float]) -> list[tuple[str, float, float, float]]:
+    """(source, lowest rank, highest rank, size still wanted) of the class of ranks in which each source's sample ends.
+
+    A histogram of RANK_BINS classes finds it; a class of more than EDGE_ROWS documents is divided into as many again. One
+    row a source comes to the driver each time. A source that needs no sample ends before its first document.
+    """
+    spark = ranked.sparkSession
+    done = {s: (s, -1e300, -1e300, 0.0) for s, rest in rests.items() if rest <= 0}
+    open_ = {s: (s, -20.0, 20.0, rest) for s, rest in rests.items() if rest > 0}
+    first = True
+    while open_:
+        part = ranked.join(F.broadcast(spark.createDataFrame(list(open_.values()), "s string, lo double, hi double, want double")), "s")
+        part = part if first else part.where("rank >= lo and rank <= hi")
+        place = F.floor((F.col("rank") - F.col("lo")) / (F.col("hi") - F.col("lo")) * RANK_BINS)
+        per = part.groupBy("s", F.greatest(F.lit(0), F.least(F.lit(RANK_BINS - 1), place)).alias("bin")).agg(F.sum("z").alias("t"), F.count(F.lit(1)).alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.first("want").alias("want"))
+        summed = per.withColumn("before", F.sum("t").over(W.partitionBy("s").orderBy("bin")) - F.col("t")).where("before < want")
+        rows = summed.groupBy("s").agg(F.max_by(F.struct("lo", "hi", "n", (F.col("want") - F.col("before")).alias("left")), "bin").alias("e")).select("s", "e.*").collect()
+        found = {r["s"]: r for r in rows}
+        following = {}
+        for s in open_:
+            r = found.get(s)
+            if r is None:
+                done[s] = (s, -1e300, -1e300, 0.0)
+            elif r["n"] <= EDGE_ROWS or r["lo"] == r["hi"]:
+                done[s] = (s, r["lo"], r["hi"], r["left"])
+            else:
+                following[s] = (s, r["lo"], r["hi"], r["left"])
+        open_, first = following, False
+    return list(done.values())
+
+
 def mix_sources(sizes: DataFrame, doc_id: str, source: str, size: str, targets: DataFrame, total: float | None = None, seed: int = 42) -> DataFrame:
     """The documents of the mixture: doc_id, source, copies (1 or more) and size.
 
@@ -63,8 +99,8 @@ def mix_sources(sizes: DataFrame, doc_id: str, source: str, size: str, targets:
 
     Documents of null size, of size 0, with a null source or a source without target are left out, as are null or non-positive
     shares. Repeated rows of one id share a random number, but are documents of their own. Empty tables give an empty mixture.
-    No source is ever sorted as a whole: histograms of ranks find the class in which the sample ends, and only that class is
-    put in order.
+    No source is ever sorted as a whole: histograms of ranks find the class in which the sample ends, divided until it is small, and only
+    that class is put in order.
     """
     spark = sizes.sparkSession
     goal = targets.where("target_share > 0 and max_repeats > 0 and source is not null").groupBy(F.col("source").alias("s")).agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("most"))
@@ -92,15 +128,12 @@ def mix_sources(sizes: DataFrame, doc_id: str, source: str, size: str, targets:
     odds = F.least(F.col("scale") * F.col("z"), F.lit(1.0))
     # log((u / (1 - u)) / (p / (1 - p))); certain documents rank first, impossible ones last.
     rank = F.when(odds >= 1, F.lit(-1e9)).when(odds <= 0, F.lit(1e9)).otherwise(F.log(F.col("u") / (1 - F.col("u"))) - F.log(odds / (1 - odds)))
-    ranked = planned.withColumn("rank", rank).withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(RANK_BINS - 1), F.floor((F.col("rank") + 20) * (RANK_BINS / 40)))).cast("int"))
-    # At most RANK_BINS rows a source.
-    per = ranked.groupBy("s", "bin").agg(F.sum("z").alias("t"), F.first("rest").alias("rest"))
-    up_to = W.partitionBy("s").orderBy("bin")
-    edge = per.withColumn("sum", F.sum("t").over(up_to)).withColumn("left", F.col("rest") - (F.col("sum") - F.col("t"))).where("left > 0").groupBy("s").agg(F.max_by(F.struct("bin", "left"), "bin").alias("e")).select("s", F.col("e.bin").alias("edge"), F.col("e.left").alias("left"))
-    near = ranked.join(F.broadcast(edge), "s", "left").withColumn("inside", F.coalesce(F.col("bin") < F.col("edge"), F.lit(False)))
-    sure = near.where("coalesce(bin <> edge, true)").withColumn("taken", F.col("inside"))
+    ranked = planned.withColumn("rank", rank)
+    edges = _edges(ranked, {s: rest for s, _, rest, _ in plan})
+    near = ranked.join(F.broadcast(spark.createDataFrame(edges, "s string, lo double, hi double, left double")), "s")
+    sure = near.where("rank < lo or rank > hi").withColumn("taken", F.col("rank") < F.col("lo"))
     inner = W.partitionBy("s").orderBy("rank", "d", "z0").rowsBetween(W.unboundedPreceding, 0)
-    last = near.where("bin = edge").withColumn("taken", F.sum("z").over(inner) - F.col("z") / 2 <= F.col("left"))
+    last = near.where("rank >= lo and rank <= hi").withColumn("taken", F.sum("z").over(inner) - F.col("z") / 2 <= F.col("left"))
     both = sure.unionByName(last).withColumn("copies", F.col("whole") + F.col("taken").cast("int"))
     return both.where("copies > 0").select(F.col("d").alias(doc_id), F.col("s").alias(source), "copies", F.col("z0").alias(size))
 

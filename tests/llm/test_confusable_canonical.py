@@ -4,8 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docmill.llm import canonical
-from docmill.llm.canonical import DeleteIndex, StandardIndex, decide, edit_distance, map_to_standards, standard_parts
+from docmill.llm.canonical import DeleteIndex, best_of, decide, edit_distance, map_to_list, map_to_standards, standard_parts
 from docmill.llm.confusable import RADICALS, changed_values, composition_table, mapping_table, with_consistent
 
 CASES = {
@@ -87,21 +86,38 @@ WANT = {
 }
 
 
-def test_standards():
-    index = StandardIndex.of(ROWS)
-    got = {v: decide(index.candidates(v))[0] if v else None for v in WANT}
-    assert got == WANT
+def test_parts_of_a_standard():
     assert standard_parts("GB/T 12345-2010《名称在此标准》")[0] == "12345"
 
 
-def test_map_in_one_block_and_in_many(spark):
+def test_map_by_broadcast_and_by_join(spark):
     ref = spark.createDataFrame([(a, b) for a, b, n in ROWS for _ in range(n)] + [(None, "无码")], "code string, name string")
     df = spark.createDataFrame([(i, v) for i, v in enumerate([*WANT, "GB/T 12345"])] + [(99, None)], "id long, e string").withColumn("matched_code", F.lit("clash")).withColumn("v", F.lit(1))
-    for block in (1000, 2):
-        got = {r["id"]: r["_matched_code"] for r in map_to_standards(df, "e", ref, "code", "name", block).collect()}
-        assert got == {i: WANT[v] for i, v in enumerate([*WANT, "GB/T 12345"])} | {99: None}, block
-    assert map_to_standards(df, "e", ref.limit(0), "code", "name").where("_matched_code is not null").count() == 0
-    assert map_to_standards(df.limit(0), "e", ref, "code", "name").count() == 0
+    for most in (10**6, 0):
+        got = {r["id"]: r["_matched_code"] for r in map_to_standards(df, "e", ref, "code", "name", most_keys=most).collect()}
+        assert got == {i: WANT[v] for i, v in enumerate([*WANT, "GB/T 12345"])} | {99: None}, most
+        assert map_to_standards(df, "e", ref.limit(0), "code", "name", most_keys=most).where("_matched_code is not null").count() == 0
+        assert map_to_standards(df.limit(0), "e", ref, "code", "name", most_keys=most).count() == 0
+
+
+def test_ranking_by_weight_then_frequency():
+    assert best_of([(1, 0.6, -1, "a"), (1, 1.0, -1000, "b")]) == "a" and best_of([(1, 1.0, -1, "a"), (1, 1.0, -9, "b")]) == "b"
+    assert best_of([(1, 1.0, -9, "a"), (1, 1.0, -9, "b")]) is None and best_of([(1, 0.6, -1, "a"), (1, 1.0, -1, "b")], only=True) is None and best_of([]) is None
+    two = [("number", 1, 0.6, -1, "x"), ("number", 1, 1.0, -1000, "y")]
+    assert decide(two) == ("x", 1, "number") and decide(two, only=True)[2] == "ambiguous"
+
+
+CITIES = ["Springfield"] * 5 + ["Springfeld", "Lyon", "Lyons", "São Paulo", "München", "New York", "Newark", "北京", "上海"]
+TYPED = {"springfield": "Springfield", "Sprnigfield": "Springfield", "Springfild": "Springfield", "ＬＹＯＮ": "Lyon", "new-york": "New York", "NewYrok": "New York", "Munchen": "München", "北京": "北京", "Tokyo": None, "": None, " ": None, "Lyоn": "Lyon"}
+
+
+def test_an_ordinary_list(spark):
+    ref = spark.createDataFrame([(c,) for c in CITIES] + [(None,)], "city string")
+    df = spark.createDataFrame([(v, 1) for v in [*TYPED, None, "Lyon"]], "typed string, matched_by int")
+    for most in (10**6, 0):
+        got = map_to_list(df, "typed", ref, "city", most_keys=most).collect()
+        assert len(got) == len(TYPED) + 2
+        assert {r["typed"]: r["matched_entry"] for r in got if r["typed"] is not None} == TYPED | {"Lyon": "Lyon"}
 
 
 def _osa(a, b):
@@ -120,7 +136,3 @@ def test_symmetric_deletes_find_all_within_one_edit(a, b):
     assert edit_distance(a, b)[0] == _osa(a, b)
     if a and b:
         assert bool(DeleteIndex.of([(b, "x", 1)], 1, 1).find(a)) == (_osa(a, b) <= 1)
-
-
-def test_blocks_are_documented():
-    assert canonical.BLOCK > 0

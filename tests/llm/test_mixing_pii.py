@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docmill.llm import pii
+from docmill.llm import mixing, pii
 from docmill.llm.mixing import mix_sources, mixture_shares, token_counts
 
 TARGETS = [("a", 0.5, 2), ("b", 0.3, 3), ("c", 0.2, 4)]
@@ -27,6 +27,15 @@ def test_the_sample_is_the_same_whatever_the_partitions(spark):
     assert draw(1) == draw(5)
 
 
+def test_a_crowded_class_is_divided_again(spark, monkeypatch):
+    t = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
+    draw = lambda: sorted(tuple(r) for r in mix_sources(_sizes(spark), "id", "source", "n", t, total=100_000).collect())
+    plain = draw()
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 1)
+    monkeypatch.setattr(mixing, "RANK_BINS", 4)
+    assert draw() == plain
+
+
 def test_mixing_corner_cases(spark):
     t = spark.createDataFrame([("a", 0.5, 2), ("none", 0.5, 2), (None, 0.1, 1), ("z", None, 3)], "source string, target_share double, max_repeats int")
     df = spark.createDataFrame([(1, "a", 10), (1, "a", 10), (2, None, 5), (3, "other", 5), (4, "a", None), (5, "a", 0)], "id long, source string, n long")
