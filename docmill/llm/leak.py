@@ -32,7 +32,7 @@ _ORGANISATION = r"某[一-鿿]{1,8}?(?:公司|集团|企业|机构|工厂|厂|
 _PERSON = "[王李张刘陈杨赵黄周吴]某某?|某[甲乙丙丁]|小[明红华刚丽强芳军]"
 _NUMERALS = "〇零一二三四五六七八九十百千万亿两"
 _UNIT = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
-_SLOT = re.compile(rf"(?P<o>{_ORGANISATION}|{_PERSON})|(?P<n>\d+[百千万亿]*|[{_NUMERALS}]{{2,}})(?P<u>{_UNIT})?")
+_SLOT = re.compile(rf"({_ORGANISATION}|{_PERSON})|(\d+[百千万亿]*|[{_NUMERALS}]{{2,}})({_UNIT})?")
 _ENDS = re.compile("公司|集团|企业|机构|厂|学校|医院|银行|商")
 #: Letters that a unit, or the name of an organisation, can reach over an edge.
 _UNIT_REACH, _NAME_REACH = 8, 11
@@ -43,20 +43,29 @@ def template(stream: str) -> tuple[str, np.ndarray, list[tuple[int, str]]]:
 
     starts has the place in the stream of every template character, and the stream's length; slots are (place in the template, value).
     """
-    out, starts, slots, at, size = [], [], [], 0, 0
+    out, slots, at, size = [], [], 0, 0
+    begins = np.ones(len(stream) + 1, dtype=bool)
     for m in _SLOT.finditer(stream):
-        out.append(stream[at : m.start()])
-        starts.append(np.arange(at, m.start()))
-        size += m.start() - at
-        for group, mark in (("o", NAME), ("n", NUMBER), ("u", UNIT)):
-            if m[group]:
-                slots.append((size, m[group]))
-                out.append(mark)
-                starts.append(np.array([m.start(group)]))
-                size += 1
-        at = m.end()
-    starts.append(np.arange(at, len(stream) + 1))
-    return "".join([*out, stream[at:]]), np.concatenate(starts), slots
+        a, z = m.span()
+        out.append(stream[at:a])
+        size += a - at
+        at = z
+        value, number, unit = m.groups()
+        if value:
+            slots.append((size, value))
+            out.append(NAME)
+        else:
+            slots.append((size, number))
+            out.append(NUMBER)
+        begins[a + 1 : z] = False
+        size += 1
+        if unit:
+            slots.append((size, unit))
+            out.append(UNIT)
+            begins[z - len(unit)] = True
+            size += 1
+    out.append(stream[at:])
+    return "".join(out), np.flatnonzero(begins), slots
 
 
 def _short_of_template(stream: str, starts: np.ndarray, run: int) -> np.ndarray:
