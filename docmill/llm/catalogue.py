@@ -22,9 +22,14 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Entries that are mostly repeated text, by the exact share, whatever their perplexity band."""
+    """Entries that a perplexity band of their language rejects and that are mostly repeated text by the exact share."""
     measured = repetition(read(spark, d, "recovery_audit"), "audit_id", "raw_response_preview")
-    return measured.where("repeated_share > 0.5").select("audit_id").distinct()
+    return measured.where("band in ('low', 'high') and repeated_share > 0.5").select("audit_id").distinct()
+
+
+def p1_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """Entries that the lower or the upper band of their language rejects."""
+    return repetition(read(spark, d, "recovery_audit"), "audit_id", "raw_response_preview").where("band in ('low', 'high')").select("audit_id", "lang", "band")
 
 
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +124,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_misses, p4_found, p4_repaired, p5_found, p5_pieces, p7_found, p7_values, p8_found, p8_reworded, p9_mix, p9_shares, p10_found, p10_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_shares, p1_rejected, p2_found, p2_misses, p4_found, p4_repaired, p5_found, p5_pieces, p7_found, p7_values, p8_found, p8_reworded, p9_mix, p9_shares, p10_found, p10_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,4 +1,4 @@
-"""A modified Kneser-Ney model of characters, counted by Spark and kept in sorted arrays."""
+"""A modified Kneser-Ney model of characters, counted and fitted by Spark, and kept in sorted arrays of packed n-grams."""
 
 from __future__ import annotations
 
@@ -14,11 +14,10 @@ from docmill.llm.rolling import sub_batches
 from docmill.session import cut
 
 ORDER = 4
-#: Entries of one order that the model keeps, of all languages together: the most frequent ones. Rarer n-grams back off.
-#: At 8 bytes a key and 4 a probability the broadcast model has at most about 60 MB.
-MAX_ENTRIES = 1_000_000
+#: Entries of sorted arrays that are broadcast (about 16 bytes each). It bounds memory only: what isn't in the arrays is looked up by a join.
+BROADCAST_ENTRIES = 4_000_000
 _BITS = 16
-_FLOOR = 1e-6
+FLOOR = 1e-6
 
 
 def unit_codes(stream: np.ndarray) -> np.ndarray:
@@ -84,7 +83,7 @@ class KneserNey:
 
     def probability(self, gram: np.ndarray, upto: int = ORDER) -> np.ndarray:
         """Of the last character of each n-gram after the ones before it, using n-grams of at most ``upto``."""
-        p = np.full(len(gram), _FLOOR)
+        p = np.full(len(gram), FLOOR)
         for n in range(1, upto + 1):
             g = gram & np.uint64((1 << (_BITS * n)) - 1) if n < 4 else gram
             at, hit = self._find(self.keys[n - 1], g)
@@ -104,47 +103,84 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(ds, 1))  # type: ignore[return-value]
 
 
-def fit(grams: DataFrame, max_entries: int = MAX_ENTRIES) -> dict[str, KneserNey]:
-    """A model for each language from the counts of the highest order.
+def fit(grams: DataFrame) -> list[DataFrame]:
+    """(lang, gram, n, p, left) of every n-gram of each order from the counts of the highest one: its probability, and the leftover of its context.
 
-    Lower orders count in how many contexts an n-gram stands. All counts, counts of counts and context totals are
-    made by Spark from all n-grams; then the most frequent entries of each order are collected, up to max_entries. What the
-    others would have got goes to the leftover of their context, so probabilities still add up.
+    Lower orders count in how many contexts an n-gram stands. Counts, counts of counts, context totals and probabilities are all made
+    by Spark from all n-grams, and none is left out. No key of a join stands in more rows than there are characters.
     """
     orders = [cut(grams)]
     for n in range(ORDER - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND(F.lit((1 << (_BITS * n)) - 1))
         orders.insert(0, cut(orders[0].groupBy("lang", suffix.alias("gram")).agg(F.count(F.lit(1)).alias("n"))))
-    models: dict[str, KneserNey] = {}
+    tables: list[DataFrame] = []
     for n, table in enumerate(orders, 1):
-        of_counts = {(r["lang"], r["k"]): r["c"] for r in table.groupBy("lang", F.least("n", F.lit(5)).alias("k")).agg(F.count(F.lit(1)).alias("c")).collect()}
-        # Sizes by class of frequency, at most a few hundred rows, say which classes fit.
-        level = F.floor(F.log2("n") * 4)
-        room, least = max_entries, 1 << 30
-        for r in sorted(table.groupBy(level.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r["b"]):
-            room -= r["c"]
-            if room < 0:
-                break
-            least = r["b"]
-        head = F.shiftrightunsigned("gram", _BITS)
-        totals = table.groupBy("lang", head.alias("h")).agg(F.sum("n").alias("total"))
-        kept = cut(table.where(level >= least).withColumn("h", head).join(totals, ["lang", "h"]).select("lang", "gram", "n", "total"))
-        for lang in sorted({k for k, _ in of_counts}):
-            # Three numbers a row, of one language and order at a time, is all that the driver holds beside the models.
-            rows = kept.where(F.col("lang") == lang).select("gram", "n", "total").toPandas()
-            _add_order(models.setdefault(lang, KneserNey([], [], [], [])), n, rows, discounts(*(of_counts.get((lang, k), 0) for k in (1, 2, 3, 4))))
+        # At most five rows a language.
+        of_counts: dict[str, dict[int, int]] = {}
+        for r in table.groupBy("lang", F.least("n", F.lit(5)).alias("k")).agg(F.count(F.lit(1)).alias("c")).collect():
+            of_counts.setdefault(r["lang"], {})[r["k"]] = r["c"]
+        rows = [(lang, *discounts(*(c.get(k, 0) for k in (1, 2, 3, 4))), 1.0 / (sum(c.values()) + 1)) for lang, c in sorted(of_counts.items())]
+        steps = F.broadcast(table.sparkSession.createDataFrame(rows, "lang string, d1 double, d2 double, d3 double, even double"))
+        own = table.join(steps, "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))).withColumn("h", F.shiftrightunsigned("gram", _BITS))
+        totals = own.groupBy("lang", "h").agg(F.sum("n").alias("total"), F.sum("d").alias("lost"))
+        own = own.join(totals, ["lang", "h"]).withColumn("left", F.col("lost") / F.col("total")).withColumn("main", (F.col("n") - F.col("d")) / F.col("total"))
+        if n == 1:
+            own = own.withColumn("lower", F.col("even"))
+        else:
+            own = own.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << (_BITS * (n - 1))) - 1))).join(tables[-1].select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower")), ["lang", "suffix"])
+        tables.append(cut(own.select("lang", "gram", "n", (F.col("main") + F.col("left") * F.col("lower")).alias("p"), "left")))
+    return tables
+
+
+def arrays(tables: list[DataFrame], most: int | None = None) -> dict[str, KneserNey] | None:
+    """The model of each language in sorted arrays, or null if it has too many entries to be broadcast."""
+    if sum(t.count() for t in tables) > (BROADCAST_ENTRIES if most is None else most):
+        return None
+    models: dict[str, KneserNey] = {}
+    for table in tables:
+        for lang in sorted(r["lang"] for r in table.select("lang").distinct().collect()):
+            # One language and order at a time is all that the driver holds beside the models.
+            rows = table.where(F.col("lang") == lang).select("gram", F.col("p").cast("float"), F.col("left").cast("float")).toPandas()
+            keys = rows["gram"].to_numpy(dtype=np.int64).view(np.uint64)
+            order = np.argsort(keys)
+            keys = keys[order]
+            contexts, first = np.unique(keys >> np.uint64(_BITS), return_index=True)
+            model = models.setdefault(lang, KneserNey([], [], [], []))
+            model.keys.append(keys)
+            model.probs.append(rows["p"].to_numpy()[order])
+            model.contexts.append(contexts)
+            model.leftovers.append(rows["left"].to_numpy()[order][first])
     return models
 
 
-def _add_order(model: KneserNey, n: int, rows: pd.DataFrame, d: tuple[float, float, float]) -> None:
-    keys = rows["gram"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    keys, count, total = keys[order], rows["n"].to_numpy(dtype=float)[order], rows["total"].to_numpy(dtype=float)[order]
-    main = (count - np.array(d)[np.clip(count.astype(int), 1, 3) - 1]) / total
-    contexts, where = np.unique(keys >> np.uint64(_BITS), return_inverse=True)
-    leftovers = np.clip(1 - np.bincount(where, weights=main, minlength=len(contexts)), 1e-6, 1.0)
-    lower = model.probability(keys, n - 1) if n > 1 else np.full(len(keys), 1.0 / max(len(keys) + 1, 1))
-    model.probs.append((main + leftovers[where] * lower).astype(np.float32))
-    model.keys.append(keys)
-    model.contexts.append(contexts)
-    model.leftovers.append(leftovers.astype(np.float32))
+def frequent(table: DataFrame, most: int | None = None) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], bool]:
+    """(sorted n-grams and probabilities of each language, whether these are all): the most frequent of one order that can be broadcast."""
+    most = BROADCAST_ENTRIES if most is None else most
+    level = F.floor(F.log2("n") * 4)
+    room, least, complete = most, 1 << 30, True
+    # Sizes by class of frequency, at most a few hundred rows, say which classes fit.
+    for r in sorted(table.groupBy(level.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r["b"]):
+        room -= r["c"]
+        if room < 0:
+            complete = False
+            break
+        least = r["b"]
+    rows = table.where(level >= least).select("lang", "gram", F.col("p").cast("float")).toPandas()
+    found = {}
+    for lang, part in rows.groupby("lang"):
+        keys = part["gram"].to_numpy(dtype=np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        found[lang] = (keys[order], part["p"].to_numpy()[order])
+    return found, complete
+
+
+def look_up(asked: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """(lang, gram, p) of every distinct (lang, gram) asked for, by joins with all orders; the same as KneserNey.probability."""
+    out = asked.select("lang", "gram").distinct().withColumn("p", F.lit(FLOOR))
+    for n, table in enumerate(tables, 1):
+        g = F.col("gram").bitwiseAND(F.lit((1 << (_BITS * n)) - 1)) if n < ORDER else F.col("gram")
+        out = out.withColumn("g", g).withColumn("h", F.shiftrightunsigned("g", _BITS))
+        out = out.join(table.select("lang", F.col("gram").alias("g"), F.col("p").alias("stored")), ["lang", "g"], "left")
+        out = out.join(table.select("lang", F.shiftrightunsigned("gram", _BITS).alias("h"), "left").distinct(), ["lang", "h"], "left")
+        out = out.select("lang", "gram", F.coalesce("stored", F.coalesce("left", F.lit(1.0)) * F.col("p")).alias("p"))
+    return out.withColumn("p", F.greatest("p", F.lit(1e-12)))

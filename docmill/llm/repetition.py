@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.ngram import count_grams, fit, packed
+from docmill.llm.ngram import FLOOR, count_grams, fit, frequent, packed
 from docmill.llm.rolling import code_points, folded_table, mix, sub_batches, windows
 from docmill.session import cut, spread
 
@@ -22,15 +23,23 @@ FRAME = re.compile(
 SPAN = 12
 #: Characters of the document's own text that its memory looks back on.
 MEMORY = 6
-#: A band is a share, and a multiple, of the upper quartile of the surprise (nats a character) that new text of the language has.
-LOWER, UPPER = 0.8, 2.5
+#: The bands lie at these multiples of the upper quartile of the surprise (nats a character) that new text of the language has.
+#: A text of which more than half repeats has at most some 0.65 times the surprise of its new part, so that it is under the lower
+#: band unless its new part is over the upper one.
+LOWER, UPPER = 0.9, 1.2
 _MEMORY_WEIGHT = 0.95
-#: Texts shorter than this (in characters of content) have no meaningful perplexity and are measured exactly in any case.
-SHORT = 60
+# Frequent words that tell languages of the Latin script apart.
+FUNCTION_WORDS = {
+    "en": "the of and to in is that for with was on as by from which this are".split(), "de": "der die das und ist nicht mit von den dem ein eine zu auf für werden".split(),
+    "fr": "le la les des et est une dans pour par sur que qui du au avec".split(), "es": "el los las y es una en por para que del con se su como".split(),
+    "pt": "o os as e é uma em por para que do da com não no na".split(), "it": "il lo gli e è una in per che di del della con non sono".split(), "nl": "de het een en is van voor met niet op te dat zijn door aan".split(),
+}
+# Scripts by range of letters and the language they stand for.
+SCRIPTS = ((0x3040, 0x30FF, "ja"), (0xAC00, 0xD7A3, "ko"), (0x0400, 0x052F, "ru"), (0x0370, 0x03FF, "el"), (0x0590, 0x05FF, "he"), (0x0600, 0x06FF, "ar"), (0x0900, 0x097F, "hi"), (0x0E00, 0x0E7F, "th"), (0x3400, 0x9FFF, "zh"))
 
 
 def content(text: str, frame: re.Pattern | None = FRAME) -> tuple[np.ndarray, np.ndarray]:
-    """(characters, kind) of a text without its frame and without spaces: letters folded, a run of digits as one 0.
+    """(characters, kind) of a text without its frame and without spaces: letters folded, each digit as 0.
 
     kind is 1 for letters and 0 for digits and punctuation.
     """
@@ -41,7 +50,6 @@ def content(text: str, frame: re.Pattern | None = FRAME) -> tuple[np.ndarray, np
     shown = np.where(table > 0, table, codes)
     space = (codes <= 32) | (codes == 0x3000) | (codes == 0xA0)
     keep = ~space
-    keep[1:] &= ~(digit[1:] & digit[:-1])
     shown = np.where(digit, 48, shown)
     return shown[keep].astype(np.uint32), letter[keep].astype(np.int8)
 
@@ -137,62 +145,89 @@ def foreseen(contents: list[tuple[np.ndarray, np.ndarray]], row: np.ndarray, at:
     return p, known
 
 
-def language(codes: np.ndarray, kind: np.ndarray) -> str:
-    """zh if at least three tenths of the letters are ideographs, else latin."""
-    letters = codes[kind == 1]
-    return "zh" if len(letters) and (letters >= 0x3400).mean() >= 0.3 else "latin"
+def language(text: str) -> str:
+    """The language of a text: by its script, and by frequent words for the Latin script (``latin`` if it has none)."""
+    codes = code_points(text)
+    letters = codes[folded_table()[codes] >= 0x41]
+    if not len(letters):
+        return "none"
+    shares = {name: float(((letters >= lo) & (letters <= hi)).mean()) for lo, hi, name in SCRIPTS}
+    if shares["ja"] >= 0.1:
+        return "ja"
+    best = max(shares, key=lambda k: shares[k])
+    if shares[best] >= 0.3:
+        return best
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    counts = Counter(words)
+    found = {name: sum(counts[w] for w in known) for name, known in FUNCTION_WORDS.items()}
+    top = max(found, key=lambda k: found[k])
+    return top if found[top] else "latin"
 
 
 def repetition(df: DataFrame, row_id: str, text: str, frame: re.Pattern | None = FRAME) -> DataFrame:
     """(row_id, lang, n_chars, log_ppl, memory_log_ppl, lower, upper, band, repeated_share) of every text.
 
-    Spark counts the character n-grams of all texts, and a modified Kneser-Ney model of each language is fitted and
-    broadcast in sorted arrays (its size is bounded). ``log_ppl`` is the mean surprise (nats a character) under that model,
-    ``memory_log_ppl`` under its mixture with the n-grams that the same text had before, which a loop makes almost certain,
-    whatever its digits and punctuation.
+    Spark counts the character n-grams of all texts and fits a modified Kneser-Ney model of each language. The most frequent n-grams
+    are broadcast in sorted arrays; the others, if there are any, are joined, so that none is left out. ``log_ppl`` is the mean
+    surprise (nats a character) under that model, ``memory_log_ppl`` under its mixture with the n-grams that the same text had
+    before, which a loop makes almost certain, whatever its digits and punctuation.
     Bands of each language follow from all its texts, from the surprise of those characters that their own document's
     memory didn't foresee, as loops would pull down the rest: band is ``low`` (loops) if memory_log_ppl is under ``LOWER``
-    times the upper quartile, ``high`` (garbage) if log_ppl is over ``UPPER`` times it, ``short`` for texts too short to
-    say, else ``ok``.
-    ``repeated_share`` is measured exactly and doesn't depend on the band: few copies of a sentence are mostly repeated text
-    too, though the first of them keeps the mean surprise up.
+    times the upper quartile, ``high`` (garbage) if log_ppl is over ``UPPER`` times it, else ``ok``.
+    ``repeated_share`` is measured exactly on every text, of any length.
 
-    Null and empty texts have the band short and the share 0. Repeated rows come out as often as they stand. An empty table
-    gives no rows. Other columns are ignored.
+    Null and empty texts, and texts without content, have the band ok and the share 0. Repeated rows come out as often as they
+    stand. An empty table gives no rows. Other columns are ignored.
     """
     spark = df.sparkSession
     id_type = df.schema[row_id].dataType.simpleString()
     plain = spread(df.select(F.col(row_id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")), "i")
 
     def language_and_stream(t: str) -> tuple[str, np.ndarray]:
-        codes, kind = content(t, frame)
-        return language(codes, kind), codes
+        return language(frame.sub(" ", t) if frame else t), content(t, frame)[0]
 
-    counted = count_grams(plain.where("t <> ''"), language_and_stream, None, "t")
-    shared = spark.sparkContext.broadcast(fit(counted))
+    table = fit(count_grams(plain.where("t <> ''"), language_and_stream, None, "t"))[-1]
+    known_grams, complete = frequent(table)
+    shared = spark.sparkContext.broadcast(known_grams)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models = shared.value
         for pdf in (part for batch in batches for part in sub_batches(batch, "t")):
             contents = [content(t, frame) for t in pdf["t"]]
-            langs = np.array([language(*c) for c in contents], dtype=object)
+            langs = np.array([language(frame.sub(" ", t) if frame else t) for t in pdf["t"]], dtype=object)
             streams = [codes for codes, _ in contents]
             row, at, gram = packed(streams)
-            p = np.full(len(gram), 1e-6)
-            for name, model in models.items():
-                mine = (langs == name)[row] if len(row) else np.zeros(0, bool)
-                p[mine] = model.probability(gram[mine])
+            p, found = np.full(len(gram), FLOOR), np.zeros(len(gram), dtype=bool)
+            for name, (keys, probs) in shared.value.items():
+                mine = np.flatnonzero((langs == name)[row]) if len(row) else np.zeros(0, np.int64)
+                place = np.minimum(np.searchsorted(keys, gram[mine]), len(keys) - 1)
+                hit = keys[place] == gram[mine]
+                p[mine[hit]], found[mine[hit]] = probs[place[hit]], True
             memory, known = foreseen(contents, row, at)
-            both = np.where(known, (1 - _MEMORY_WEIGHT) * p + _MEMORY_WEIGHT * memory, p)
-            sizes = np.array([len(s) for s in streams])
-            mean = lambda x: np.bincount(row, weights=-np.log(x), minlength=len(streams)) / np.maximum(sizes, 1)
+            mixed = np.where(known, (1 - _MEMORY_WEIGHT) * p + _MEMORY_WEIGHT * memory, p)
+            told = np.ones(len(gram), dtype=bool) if complete else found
             fresh = memory < 0.5  # what the document's memory didn't foresee
-            n_fresh = np.bincount(row[fresh], minlength=len(streams))
-            new = np.bincount(row[fresh], weights=-np.log(p[fresh]), minlength=len(streams)) / np.maximum(n_fresh, 1)
-            yield pd.DataFrame({"i": pdf["i"], "lang": langs, "n_chars": sizes.astype("int32"), "log_ppl": mean(p), "memory_log_ppl": mean(both), "new_log_ppl": new, "repeated_share": [share_of(*c) for c in contents]})
-
-    scored = cut(plain.mapInPandas(score, f"i {id_type}, lang string, n_chars int, log_ppl double, memory_log_ppl double, new_log_ppl double, repeated_share double"))
+            total = lambda x, where: np.bincount(row[where], weights=-np.log(x[where]), minlength=len(streams))
+            opens: list[list[dict]] = [[] for _ in streams]
+            for k in np.flatnonzero(~told):
+                opens[row[k]].append({"gram": int(gram[k].view(np.int64)), "memory": float(memory[k]) if known[k] else -1.0})
+            yield pd.DataFrame({
+                "i": pdf["i"], "k": pdf["k"], "lang": langs, "n_chars": np.array([len(s) for s in streams], dtype=np.int32), "n_fresh": np.bincount(row[fresh], minlength=len(streams)), "plain": total(p, told), "mixed": total(mixed, told),
+                "fresh": total(p, told & fresh), "repeated_share": [share_of(*c) for c in contents], "opens": opens,
+            })
+
+    schema = f"i {id_type}, k long, lang string, n_chars int, n_fresh long, plain double, mixed double, fresh double, repeated_share double, opens array<struct<gram:long,memory:double>>"
+    scored = cut(plain.select("i", "t", F.xxhash64("t").alias("k")).mapInPandas(score, schema))
+    if not complete:
+        asked = scored.dropDuplicates(["k"]).select("k", "lang", F.explode("opens").alias("o")).select("k", "lang", "o.gram", "o.memory").join(table.select("lang", "gram", "p"), ["lang", "gram"])
+        known = F.col("memory") >= 0
+        both = F.when(known, (1 - _MEMORY_WEIGHT) * F.col("p") + _MEMORY_WEIGHT * F.col("memory")).otherwise(F.col("p"))
+        rest = asked.groupBy("k").agg(F.sum(-F.log("p")).alias("plain2"), F.sum(-F.log(both)).alias("mixed2"), F.sum(F.when(F.greatest("memory", F.lit(0.0)) < 0.5, -F.log("p")).otherwise(0.0)).alias("fresh2"))
+        scored = scored.join(rest, "k", "left").na.fill(0.0, ["plain2", "mixed2", "fresh2"])
+        scored = scored.select(*[c for c in scored.columns if c not in ("plain", "mixed", "fresh", "plain2", "mixed2", "fresh2")], *[(F.col(c) + F.col(f"{c}2")).alias(c) for c in ("plain", "mixed", "fresh")])
+    n = F.greatest("n_chars", F.lit(1))
+    scored = scored.withColumns({"log_ppl": F.col("plain") / n, "memory_log_ppl": F.col("mixed") / n, "new": F.col("fresh") / F.greatest("n_fresh", F.lit(1))})
     # One row a language.
-    bands = scored.where(F.col("n_chars") >= SHORT).groupBy("lang").agg((F.percentile_approx("new_log_ppl", 0.75, 1000) * LOWER).alias("lower"), (F.percentile_approx("new_log_ppl", 0.75, 1000) * UPPER).alias("upper"))
-    band = F.when((F.col("n_chars") < SHORT) | F.col("lower").isNull(), "short").when(F.col("memory_log_ppl") < F.col("lower"), "low").when(F.col("log_ppl") > F.col("upper"), "high").otherwise("ok")
+    quartile = F.percentile_approx("new", 0.75, 1000)
+    bands = scored.where("n_fresh > 0").groupBy("lang").agg((quartile * LOWER).alias("lower"), (quartile * UPPER).alias("upper"))
+    band = F.when((F.col("n_chars") == 0) | F.col("lower").isNull(), "ok").when(F.col("memory_log_ppl") < F.col("lower"), "low").when(F.col("log_ppl") > F.col("upper"), "high").otherwise("ok")
     return scored.join(F.broadcast(bands), "lang", "left").select(F.col("i").alias(row_id), "lang", "n_chars", "log_ppl", "memory_log_ppl", "lower", "upper", band.alias("band"), "repeated_share")

@@ -11,24 +11,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.ngram import ORDER, KneserNey, count_grams, fit, packed
+from docmill.llm.ngram import ORDER, KneserNey, arrays, count_grams, fit, look_up, packed
 from docmill.llm.rolling import code_points, sub_batches
 from docmill.session import cut, spread
 
-# Character read -> characters that it may stand for.
+# Character read -> characters that it may stand for; others are found in the corpus itself (see learned_confusions).
 MISREAD = {
     "可": "司", "严": "产", "己": "已", "没": "设", "尸": "户", "菅": "管", "淮": "准", "埋": "理", "最": "量", "巿": "市", "侧": "测", "吿": "告", "末": "未", "牧": "收", "人": "入", "必": "心", "此": "比", "竟": "境", "诋": "证", "休": "体", "厍": "序库", "节": "书", "顷": "项", "亊": "事", "沦": "论", "贡": "责",
     "入": "人", "未": "末", "土": "士", "士": "土", "干": "千", "千": "干", "日": "曰", "曰": "日", "大": "太", "太": "大", "天": "夭", "夭": "天", "戍": "戌", "冶": "治", "治": "冶", "住": "佳往", "佳": "住", "晴": "睛", "睛": "晴", "拔": "拨", "拨": "拔", "析": "折", "折": "析", "侯": "候", "候": "侯", "亨": "享", "享": "亨", "徒": "徙", "楝": "栋", "汆": "氽", "兔": "免", "免": "兔", "刺": "剌", "帅": "师", "鸟": "乌", "乌": "鸟", "王": "玉", "玉": "王", "丸": "九", "问": "间", "间": "问", "闩": "门", "囗": "口", "旳": "的", "员": "贝", "贝": "见", "园": "圆", "氷": "水", "永": "水", "夲": "本", "木": "本", "禾": "木", "杋": "机", "朾": "打", "枝": "技", "技": "枝", "抜": "拔", "诮": "消", "沽": "活", "话": "活", "洁": "活", "侍": "待", "持": "特", "恃": "持", "准": "淮", "卖": "买", "买": "卖", "弟": "第", "笫": "第", "亍": "于", "丁": "于", "与": "写",
 }
-# Latin letters and digits read -> what they may stand for.
-MISREAD_LATIN = (("rn", "m"), ("c", "e"), ("l", "i"), ("1", "l"), ("1", "i"), ("0", "o"), ("b", "h"), ("vv", "w"), ("cl", "d"), ("I", "l"), ("5", "s"), ("8", "B"), ("6", "b"), ("O", "0"), ("o", "0"), ("l", "1"), ("I", "1"), ("Z", "2"), ("S", "5"), ("B", "8"))
-#: The prior probability that a character that can be misread has been, in a place that speaks for it.
+# Characters that are read for one another at the ends of names and titles, which are compared in one form.
+SAME_SHAPE = str.maketrans({"可": "司", "严": "产", "己": "已", "没": "设", "尸": "户", "菅": "管", "淮": "准", "埋": "理", "最": "量", "巿": "市", "侧": "测", "吿": "告", "末": "未", "牧": "收", "必": "心", "此": "比", "竟": "境", "诋": "证", "休": "体", "厍": "库", "节": "书", "顷": "项", "亊": "事", "沦": "论", "贡": "责"})
+#: Expected misreadings and readings of a pair before any were counted, and the least probability a pair is given.
+PRIOR_WRONG, PRIOR_RIGHT, LEAST_CHANNEL = 2.0, 200.0, 1e-4
+#: The odds that a Latin word or number that can be misread has been.
 CHANNEL = 0.1
-_PENALTY = float(np.log(CHANNEL / (1 - CHANNEL)))
-#: Positions whose odds are worse than this are not given alternatives in the decoder.
-_HOPELESS = -16.0
-#: The longest word that is counted.
-LONGEST_WORD = 24
+#: A pair that no table lists is taken up if so much of what is read as the first character stands where the second one is usual,
+#: at least ODDS times as often, in so many contexts, and the second is that much commoner.
+EXPLAINED, CONTEXTS, ODDS = 0.6, 3, 9
 KINDS = ("hyphen_break", "ocr_char", "running_header", "page_number")
 
 _SPACE = " \t　\xa0"
@@ -41,12 +41,12 @@ _MARKER = re.compile(r"^第[一二三四五六七八九十百\d]+[章节]")
 _TABLE = re.compile(r"\S[ \t]{2,}[-\d,.]+[ \t]{2,}|^单位：|□|√")
 _ENDS = re.compile(r"[。！？；!?;：:.][”’」』）)\"']*$")
 _HEADING = re.compile(r"^(?:[（(][一二三四五六七八九十\d]+[)）]|[一二三四五六七八九十\d]+[、.．]|[-•·] |第.{1,4}[章节])")
-_TRUE = str.maketrans({o: c[0] for o, c in list(MISREAD.items())[:26]})
-_LATIN_WORD = re.compile(rf"(?<![A-Za-z0-9])[A-Za-z0-9]{{2,{LONGEST_WORD}}}(?![A-Za-z0-9])")
+_VALUE = re.compile(rf"^[{_SPACE}]*[-+]?\d[\d,./]*[%％]?[{_SPACE}]*$")
+_LATIN_WORD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{2,}(?![A-Za-z0-9])")
 
 
 def _squeezed(s: str) -> str:
-    return re.sub(r"\s+", "", s).translate(_TRUE)
+    return re.sub(r"\s+", "", s).translate(SAME_SHAPE)
 
 
 def company_names(company: str | None, source_file: str | None) -> list[str]:
@@ -97,14 +97,14 @@ def clean_title(title: str | None, names: list[str]) -> tuple[str, set[str]]:
             kinds.add("page_number")
             s = s[: m.start()].rstrip(_SPACE + ".…·")
     for _ in range(2):
-        flat = s.translate(_TRUE)
+        flat = s.translate(SAME_SHAPE)
         for n in sorted(names, key=len, reverse=True):
             loose = re.compile(r"\s*".join(map(re.escape, n)))
             if (m := loose.search(flat)) and len(s) - (m.end() - m.start()) >= 2:
                 kinds.add("running_header")
                 s = (s[: m.start()] + " " + s[m.end() :]).strip()
                 break
-        flat = s.translate(_TRUE)
+        flat = s.translate(SAME_SHAPE)
         if (m := re.search(r"(?:(?:19|20)\d{2})?\s*年?\s*(?:半?年度报告|年报)(?:全文|摘要|正文)?", flat)) and len(s) - (m.end() - m.start()) >= 2:
             kinds.add("running_header")
             s = (s[: m.start()] + " " + s[m.end() :]).strip()
@@ -113,14 +113,29 @@ def clean_title(title: str | None, names: list[str]) -> tuple[str, set[str]]:
     return s.strip(_SPACE + "·|-—_"), kinds
 
 
+def is_page_number(lines: list[str], at: int) -> bool:
+    """A page number on a line of its own. A bare figure or fraction isn't one in a column of bare values, nor is a year."""
+    line = lines[at]
+    if not _PAGE.match(line):
+        return False
+    s = line.strip(_SPACE)
+    if not re.fullmatch(r"\d{1,4}|\d{1,4}\s*/\s*\d{1,4}", s):
+        return True
+    if re.fullmatch(r"(?:19|20)\d\d", s):
+        return False
+    before = next((x for x in reversed(lines[:at]) if x.strip(_SPACE)), "")
+    after = next((x for x in lines[at + 1 :] if x.strip(_SPACE)), "")
+    return not _VALUE.match(before) and not _VALUE.match(after)
+
+
 def page_structure(text: str, names: list[str], chapter: str) -> tuple[str, set[str]]:
     """The text without page numbers and running headers, words rejoined, lines of a paragraph continuous."""
     kinds, kept = set(), []
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    for line in lines:
+    for at, line in enumerate(lines):
         if not line.strip(_SPACE):
             kept.append("")
-        elif _PAGE.match(line):
+        elif is_page_number(lines, at):
             kinds.add("page_number")
         elif is_running_header(line, kept[-1] if kept else "", names, chapter):
             kinds.add("running_header")
@@ -150,161 +165,187 @@ def stream(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.where(digit, 48, codes)[keep].astype(np.uint32), np.flatnonzero(keep)
 
 
-def _gains(model: KneserNey, grams: np.ndarray, row: np.ndarray, places: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """By how much the text around each place is likelier (log) if the place holds ``code`` instead."""
-    gain = np.zeros(len(places))
-    old = grams[places] & np.uint64(0xFFFF)
-    for shift in range(ORDER):
-        at = places + shift
-        ok = at < len(grams)
-        ok[ok] &= row[at[ok]] == row[places[ok]]
-        g = grams[at[ok]]
-        step = np.uint64(16 * shift)
-        changed = g ^ ((old[ok] ^ code[ok]) << step)
-        gain[ok] += np.log(model.probability(changed)) - np.log(model.probability(g))
-    return gain
+def learned_confusions(grams: DataFrame) -> tuple[dict[str, dict[str, float]], DataFrame]:
+    """(read -> meant -> probability that a character meant was read so, n-grams without those that misreading explains), by
+    expectation-maximisation over the corpus.
+
+    grams: (lang, gram, n). A context is an n-gram with one character left open. Where one character is at least ODDS times
+    as frequent in a context as another one, the other may be a misreading of it. Candidates are the pairs of the table,
+    and pairs for which most of what is read as the first character stands in such contexts of one second character. For each
+    kept pair the expected number of misreadings, weighed by the chance that the character was meant as read, gives its
+    probability again, until it stays. N-grams in which a kept pair stands in such a context would make their own errors likely, so the
+    model is fitted without them. The counts are made by Spark from all n-grams; a row a pair, of which the characters
+    of a script bound the number, comes to the driver.
+    """
+    at = F.col("pos") * 16
+    opened = grams.select("lang", "gram", "n", F.explode(F.sequence(F.lit(0), F.lit(ORDER - 1))).alias("pos"))
+    opened = opened.select("lang", "gram", "n", "pos", F.call_function("shiftrightunsigned", "gram", at).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("x"), F.col("gram").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(0xFFFF).cast("long"), at))).alias("ctx")).where(F.col("x").between(0x3400, 0x9FFF))
+    totals = opened.groupBy("x").agg(F.sum("n").alias("total"))
+    top = opened.groupBy("lang", "pos", "ctx").agg(F.max(F.struct("n", "x")).alias("top"), F.min("n").alias("least"))
+    top = top.where(F.col("least") * ODDS <= F.col("top.n")).select("lang", "pos", "ctx", F.col("top.x").alias("y"), F.col("top.n").alias("ny"))
+    pairs = cut(opened.join(top, ["lang", "pos", "ctx"]).where((F.col("x") != F.col("y")) & (F.col("n") * ODDS <= F.col("ny"))).select("lang", "gram", "x", "y", "n"))
+    found = pairs.groupBy("x", "y").agg(F.sum("n").alias("wrong"), F.count(F.lit(1)).alias("contexts"))
+    found = found.join(totals.withColumnsRenamed({"total": "nx"}), "x").join(totals.withColumnsRenamed({"x": "y", "total": "n_y"}), "y")
+    listed = {(ord(x), ord(y)) for x, ys in MISREAD.items() for y in ys}
+    new = (F.col("wrong") >= EXPLAINED * F.col("nx")) & (F.col("contexts") >= CONTEXTS) & (F.col("nx") * ODDS <= F.col("n_y"))
+    in_table = (F.col("x").cast("long") * 0x10000 + F.col("y")).isin([x * 0x10000 + y for x, y in sorted(listed)]) if listed else F.lit(False)
+    evidence = {(r["x"], r["y"]): r for r in found.where(new | in_table).collect()}
+    everything = totals.agg(F.coalesce(F.sum("total"), F.lit(1))).head()[0]
+    channel: dict[str, dict[str, float]] = {}
+    for x, y in sorted(listed | set(evidence)):
+        r = evidence.get((x, y))
+        wrong, nx, ny = (r["wrong"], r["nx"], r["n_y"]) if r else (0, 0, 1)
+        c, share = PRIOR_WRONG / (PRIOR_WRONG + PRIOR_RIGHT), 0.0
+        for _ in range(20):
+            # In these contexts a character is either meant as read, as often as anywhere else, or a misreading of the usual one.
+            share = c / (c + max(nx - wrong, 0) / everything)
+            c = (wrong * share + PRIOR_WRONG) / (ny + PRIOR_WRONG + PRIOR_RIGHT)
+        channel.setdefault(chr(x), {})[chr(y)] = max(c, LEAST_CHANNEL)
+    if evidence:
+        explained = pairs.join(F.broadcast(grams.sparkSession.createDataFrame(sorted(evidence), "x int, y int")), ["x", "y"]).select("lang", "gram").distinct()
+        grams = grams.join(explained, ["lang", "gram"], "left_anti")
+    return channel, grams
+
+
+class Scorer:
+    """Log probabilities of n-grams, from sorted arrays or from a dictionary of those asked for."""
+
+    def __init__(self, model: KneserNey | None = None, known: dict[int, float] | None = None) -> None:
+        self.model, self.known, self.asked = model, known, set()
+
+    def log(self, grams: np.ndarray) -> np.ndarray:
+        if self.model is not None:
+            return np.log(self.model.probability(grams))
+        keys = grams.view(np.int64).tolist()
+        if self.known is None:
+            self.asked.update(keys)
+            return np.zeros(len(keys))
+        return np.log(np.array([self.known[k] for k in keys], dtype=float))
+
+
+def _clusters(places: list[int], row: np.ndarray) -> list[list[int]]:
+    """Places that share an n-gram, of one text, stand together."""
+    out: list[list[int]] = []
+    for p in places:
+        if out and row[out[-1][-1]] == row[p] and p - out[-1][-1] < ORDER:
+            out[-1].append(p)
+        else:
+            out.append([p])
+    return out
 
 
-def viterbi(model: KneserNey, codes: np.ndarray, options: dict[int, list[int]], start: int, stop: int) -> list[int]:
-    """The likeliest characters at start..stop-1 given candidates (the first of each list is what was read)."""
+def viterbi(scorer: Scorer, codes: np.ndarray, options: dict[int, list[tuple[int, float]]], start: int, stop: int) -> list[int]:
+    """The likeliest characters at start..stop-1 given candidates, each with the log odds of its misreading (the first was read)."""
     history = [0] * max(0, ORDER - 1 - start) + codes[max(0, start - ORDER + 1) : start].tolist()
     states: dict[tuple[int, ...], tuple[float, list[int]]] = {tuple(history[-(ORDER - 1) :]): (0.0, [])}
     for i in range(start, stop):
-        choices = options.get(i, [int(codes[i])])
-        steps = list(product(states.items(), range(len(choices))))
-        grams = np.array([(h[0] << 48) | (h[1] << 32) | (h[2] << 16) | choices[k] for (h, _), k in steps], dtype=np.uint64)
-        logs = np.log(model.probability(grams))
+        choices = options.get(i, [(int(codes[i]), 0.0)])
+        steps = list(product(states.items(), choices))
+        grams = np.array([(h[0] << 48) | (h[1] << 32) | (h[2] << 16) | c for (h, _), (c, _) in steps], dtype=np.uint64)
         following: dict[tuple[int, ...], tuple[float, list[int]]] = {}
-        for ((h, (score, path)), k), lp in zip(steps, logs):
-            total = score + float(lp) + (_PENALTY if k else 0.0)
-            key = (*h[1:], choices[k])
+        for ((h, (score, path)), (c, odds)), lp in zip(steps, scorer.log(grams)):
+            total, key = score + float(lp) + odds, (*h[1:], c)
             if key not in following or total > following[key][0]:
-                following[key] = (total, [*path, choices[k]])
+                following[key] = (total, [*path, c])
         states = following
     return max(states.values(), key=lambda x: x[0])[1]
 
 
-def correct_characters(model: KneserNey, texts: list[str]) -> list[dict[int, str]]:
-    """For each text the offsets to change and the characters to put there."""
+def correct_characters(scorer: Scorer, texts: list[str], channel: dict[str, dict[str, float]]) -> list[dict[int, str]]:
+    """For each text the offsets to change and the characters to put there.
+
+    Candidates of a line that share no n-gram are independent, so each cluster of them is decoded alone. A cluster is left out
+    only if no reading can win: if its n-grams as they stand are likelier together than the least unlikely misreading.
+    """
     pairs = [stream(t) for t in texts]
-    row, at, grams = packed([s for s, _ in pairs])
+    row, _, grams = packed([s for s, _ in pairs])
     found: list[dict[int, str]] = [{} for _ in texts]
     if not len(grams):
         return found
     last = (grams & np.uint64(0xFFFF)).astype(np.uint32)
-    hopeful: dict[int, list[int]] = {}
-    best: dict[int, float] = {}
-    for read, meant in MISREAD.items():
-        places = np.flatnonzero(last == ord(read))
-        for m in meant if len(places) else ():
-            gain = _gains(model, grams, row, places, np.full(len(places), ord(m), dtype=np.uint64)) + _PENALTY
-            for p, g in zip(places[gain > _HOPELESS].tolist(), gain[gain > _HOPELESS].tolist()):
-                hopeful.setdefault(p, [ord(read)]).append(ord(m))
-                best[p] = max(best.get(p, -1e9), g)
-    # Lines (stretches of characters close to one another) in which something may win are decoded; in others nothing can.
-    places = sorted(hopeful)
+    places = np.flatnonzero(np.isin(last, np.array([ord(c) for c in channel], dtype=np.uint32)))
+    clusters = _clusters(places.tolist(), row)
+    if not clusters:
+        return found
     starts = np.cumsum([0, *(len(s) for s, _ in pairs)])
-    group: list[int] = []
-    for p in [*places, None]:
-        if group and (p is None or row[p] != row[group[-1]] or p - group[-1] > 2 * ORDER):
-            # Two errors side by side can only win together.
-            if any(best[q] > -3.0 for q in group) or any(b - a < ORDER for a, b in zip(group, group[1:])):
-                r = int(row[group[0]])
-                base = int(starts[r])
-                codes, offsets = pairs[r]
-                unit = last[base : base + len(codes)]
-                a, b = group[0] - base, min(group[-1] - base + ORDER, len(codes))
-                path = viterbi(model, unit, {q - base: hopeful[q] for q in group}, a, b)
-                for i, c in zip(range(a, b), path):
-                    if c != unit[i]:
-                        found[r][int(offsets[i])] = chr(c)
-            group = []
-        if p is not None:
-            group.append(p)
+    lo = np.array([c[0] for c in clusters])
+    hi = np.minimum(np.array([c[-1] for c in clusters]) + ORDER, starts[row[lo] + 1])
+    if scorer.known is not None or scorer.model is not None:
+        touched = np.zeros(len(grams) + 1, dtype=np.int64)
+        np.add.at(touched, lo, 1)
+        np.add.at(touched, hi, -1)
+        inside = np.flatnonzero(np.cumsum(touched)[:-1] > 0)
+        surprise = np.zeros(len(grams) + 1)
+        surprise[inside + 1] = -scorer.log(grams[inside])
+        sums = np.cumsum(surprise)
+        least = {ord(c): min(-np.log(p / (1 - p)) for p in to.values()) for c, to in channel.items()}
+        needed = np.array([min(least[int(last[p])] for p in c) for c in clusters])
+        live = np.flatnonzero(sums[hi] - sums[lo] > needed)
+    else:
+        live = np.arange(len(clusters))
+        scorer.log(grams[np.unique(np.concatenate([np.arange(a, z) for a, z in zip(lo, hi)]))])
+    for k in live.tolist():
+        r = int(row[lo[k]])
+        base = int(starts[r])
+        unit = last[base : starts[r + 1]]
+        options = {p - base: [(int(last[p]), 0.0), *((ord(m), float(np.log(c / (1 - c)))) for m, c in channel[chr(last[p])].items())] for p in clusters[k]}
+        a, z = int(lo[k]) - base, int(hi[k]) - base
+        for i, c in zip(range(a, z), viterbi(scorer, unit, options, a, z)):
+            if c != unit[i]:
+                found[r][int(pairs[r][1][i])] = chr(c)
     return found
 
 
-def _shape(word: str) -> str:
-    return re.sub(r"\d", "0", word)
-
-
-def word_candidates(word: str) -> set[str]:
-    """Words that the word may be a misreading of, with one or two errors."""
-    reach, seen = {word}, {word}
-    for _ in range(2):
-        new = set()
-        for w in reach:
-            for read, meant in MISREAD_LATIN:
-                i = w.find(read)
-                while i >= 0:
-                    new.add(w[:i] + meant + w[i + len(read) :])
-                    i = w.find(read, i + 1)
-        reach = new - seen
-        seen |= new
-    return seen - {word}
-
-
-def correct_words(text: str, words: dict[str, int] | None, memo: dict[str, str | None]) -> list[tuple[int, int, str]]:
-    """(start, end, word) of Latin words and numbers that are misreadings of much more frequent ones.
-
-    words has the counts of shapes; without it memo says what each misreading means.
-    """
-    out = []
-    for m in _LATIN_WORD.finditer(text):
-        w = m[0]
-        if w.isdigit():
-            continue
-        if words is not None and w not in memo:
-            own = max(words.get(_shape(w), 0), 1)
-            counts = ((words.get(_shape(c), 0), c) for c in word_candidates(w) if _plausible(w, c))
-            memo[w] = max((x for x in counts if x[0] * CHANNEL > own * (1 - CHANNEL)), default=(0, None))[1]
-        if to := memo.get(w):
-            out.append((*m.span(), to))
-    return out
-
-
-def _plausible(word: str, to: str) -> bool:
-    """A letter among digits becomes a digit, a digit among letters a letter, and a number stays a number otherwise."""
-    if to.isdigit():
-        return len(to) >= 3 and sum(c.isdigit() for c in word) * 2 >= len(word)
-    if to.isalpha():
-        return len(to) >= 3 and sum(c.isalpha() for c in word) * 2 > len(word)
-    return False
+def _skeleton(word):
+    """A word with characters and pairs of them that are misread for one another in one form (as a Column)."""
+    s = word
+    for read, meant in (("cl", "d"), ("rn", "m"), ("vv", "w")):
+        s = F.replace(s, F.lit(read), F.lit(meant))
+    return F.translate(s, "ei1I0h658", "clllobbsB")
 
 
 def _misread_words(pages: DataFrame) -> DataFrame:
     """(i, field, meant): of rows that have misread Latin words or numbers a map from each to the word it stands for.
 
-    A word is misread if a candidate is more frequent by the odds of the channel, as in correct_words. Words are compared by
-    their true counts over all texts, rare ones too, and by joins, so no vocabulary has to fit anywhere.
+    Words with one skeleton are candidates for one another, so no word is expanded and none is too long. The most frequent one
+    of a skeleton is meant by the others that it outweighs by the odds of the channel, unless they are too far apart; a word mostly of
+    digits means a number if numbers of its form outweigh it. Words are compared by their true counts over all texts, rare ones too, and by joins,
+    so no vocabulary has to fit anywhere.
     """
-    digits, shape = F.col("w").rlike("^[0-9]+$"), F.regexp_replace("w", "[0-9]", "0")
-    found = F.expr(f"regexp_extract_all(body, '(?<![A-Za-z0-9])[A-Za-z0-9]{{2,{LONGEST_WORD}}}(?![A-Za-z0-9])', 0)")
+    digits, alpha = F.col("w").rlike("^[0-9]+$"), F.col("w").rlike("^[A-Za-z]{3,}$")
+    shape = lambda c: F.regexp_replace(c, "[0-9]", "0")
+    found = F.regexp_extract_all("body", F.lit("((?<![A-Za-z0-9])[A-Za-z0-9]{2,}(?![A-Za-z0-9]))"), F.lit(1))
     filled = pages.where("body is not null")
-    counted = cut(filled.select(F.explode(found).alias("w")).groupBy(F.when(digits, shape).otherwise(F.col("w")).alias("w")).agg(F.count(F.lit(1)).alias("n")))
-    shapes = counted.groupBy(shape.alias("shape")).agg(F.sum("n").alias("n"))
-
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k in range(0, len(pdf), 1000):
-                rows = [(w, _shape(w), c, _shape(c)) for w in pdf["w"].iloc[k : k + 1000] for c in word_candidates(w) if _plausible(w, c)]
-                yield pd.DataFrame(rows, columns=["w", "shape", "c", "c_shape"])
-
-    pairs = counted.where(~digits).select("w").mapInPandas(candidates, "w string, shape string, c string, c_shape string")
-    pairs = pairs.join(shapes.select(F.col("shape").alias("c_shape"), F.col("n").alias("k")), "c_shape").join(shapes, "shape")
-    best = cut(pairs.where(F.col("k") * CHANNEL > F.col("n") * (1 - CHANNEL)).groupBy("w").agg(F.max(F.struct("k", "c"))["c"].alias("c")))
-    words = filled.select("i", "field", F.explode(F.array_distinct(found)).alias("w")).where(~digits)
-    return words.join(best, "w").groupBy("i", "field").agg(F.map_from_entries(F.collect_set(F.struct("w", "c"))).alias("meant"))
-
-
-def repair_scans(df: DataFrame, row_id: str, text: str, title: str, company: str, source_file: str) -> DataFrame:
+    counted = cut(filled.select(F.explode(found).alias("w")).groupBy(F.when(digits, shape(F.col("w"))).otherwise(F.col("w")).alias("w")).agg(F.count(F.lit(1)).alias("n")))
+    n_digits = F.char_length(F.regexp_replace("w", "[^0-9]", ""))
+    mixed = F.col("w").rlike("[A-Za-z]")
+    shapes = counted.groupBy(shape(F.col("w")).alias("shape")).agg(F.sum("n").alias("n"))
+    own = counted.where(mixed).withColumn("shape", shape(F.col("w"))).join(shapes.withColumnRenamed("n", "own"), "shape").select("w", "own", n_digits.alias("d"))
+    outweighs = F.col("k") * CHANNEL > F.col("own") * (1 - CHANNEL)
+    size = F.char_length("w")
+    best = counted.where(alpha).groupBy(_skeleton(F.col("w")).alias("bones")).agg(F.max(F.struct("n", "w")).alias("top")).select("bones", F.col("top.w").alias("c"), F.col("top.n").alias("k"))
+    words = own.where(F.col("d") * 2 < size).withColumn("bones", _skeleton(F.col("w"))).join(best, "bones").where((F.col("w") != F.col("c")) & outweighs).where(F.levenshtein("w", "c", 4) >= 0).select("w", "c")
+    number = F.translate("w", "OolIZSB", "0011258")
+    figures = own.where(F.col("d") * 2 >= size).withColumn("c", number).where(F.col("c").rlike("^[0-9]{3,}$")).withColumn("shape", shape(F.col("c"))).join(shapes.withColumnRenamed("n", "k"), "shape").where(outweighs).select("w", "c")
+    meant = cut(words.unionByName(figures))
+    rows = filled.select("i", "field", F.explode(F.array_distinct(found)).alias("w")).where(mixed)
+    return rows.join(meant, "w").groupBy("i", "field").agg(F.map_from_entries(F.collect_set(F.struct("w", "c"))).alias("meant"))
+
+
+def replaced_words(text: str, meant: dict[str, str]) -> list[tuple[int, int, str]]:
+    """(start, end, word) of the words of a text that mean another one."""
+    return [(*m.span(), meant[m[0]]) for m in _LATIN_WORD.finditer(text) if m[0] in meant] if meant else []
+
+
+def repair_scans(df: DataFrame, row_id: str, text: str, title: str, company: str, source_file: str, most_entries: int | None = None) -> DataFrame:
     """(row_id, field_name, repaired, kinds): for every row its ``text`` and ``chapter_title`` repaired, and the noise found.
 
     First the structure of the page is undone: lines that are page numbers or running headers are dropped, words divided over
-    two lines are rejoined, and the lines of a paragraph made continuous. From what is left Spark counts character n-grams
-    (a modified Kneser-Ney model of texts and one of titles) and all Latin words. Misread characters are then corrected by the noisy
-    channel: the probability of the misreading times the likelihood of the text, decoded by Viterbi over the candidates of a
-    line; Latin words and numbers are chosen among candidate words by their frequency.
+    two lines are rejoined, and the lines of a paragraph made continuous. From what is left Spark counts character n-grams, fits
+    a modified Kneser-Ney model of texts and one of titles, estimates the probability of each confusion of two characters, and counts all Latin words.
+    Misread characters are then corrected by the noisy channel: the probability of the misreading times the likelihood of the text,
+    decoded by Viterbi over the candidates of a line; Latin words and numbers are chosen among words of the same skeleton by their
+    frequency. A model of more than ``most_entries`` n-grams (BROADCAST_ENTRIES by default) isn't broadcast; the n-grams needed are joined instead, with the same result.
 
     Null texts and titles come out as null and without noise, empty ones empty. Repeated rows come out as often as they stand.
     A null company or file name leaves the other, or general forms of names. An empty table gives no rows. Other columns are
@@ -328,27 +369,61 @@ def repair_scans(df: DataFrame, row_id: str, text: str, title: str, company: str
             yield pd.DataFrame(rows, columns=["i", "field", "body", "kinds"])
 
     pages = cut(plain.mapInPandas(structure, f"i {id_type}, field string, body string, kinds array<string>"))
-    models = spark.sparkContext.broadcast(fit(count_grams(pages, lambda t: stream(t)[0], "field", "body")))
+    grams = cut(count_grams(pages, lambda t: stream(t)[0], "field", "body"))
+    channel, clean = learned_confusions(grams)
+    tables = fit(clean)
+    models = arrays(tables, most_entries)
+    shared = spark.sparkContext.broadcast(models)
     words = _misread_words(pages).withColumnsRenamed({"i": "w_i", "field": "w_field"})
     pages = pages.join(words, F.col("i").eqNullSafe(F.col("w_i")) & (F.col("field") == F.col("w_field")), "left").drop("w_i", "w_field")
+    if models is None:
+        # The model is too large to be broadcast: every text asks for the n-grams it needs, and the answers are joined.
+        ask = F.pandas_udf(_asked(channel), "array<long>").asNondeterministic()
+        pages = cut(pages.withColumn("k", F.xxhash64("body", "field")))
+        needed = pages.dropDuplicates(["k"]).select("k", F.col("field").alias("lang"), F.explode(ask("body")).alias("gram"))
+        needed = cut(needed)
+        told = needed.join(look_up(needed, tables), ["lang", "gram"]).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("gram", "p"))).alias("known"))
+        pages = pages.join(told, "k", "left").drop("k")
+    else:
+        pages = pages.withColumn("known", F.lit(None).cast("map<bigint,double>"))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for pdf in sub_batches(batch, "body", 300_000):
                 bodies, kinds, meant = list(pdf["body"]), [set(k) for k in pdf["kinds"]], [dict(m) if m is not None else {} for m in pdf["meant"]]
+                changes: list[dict[int, str]] = [{} for _ in bodies]
                 for field in ("text", "chapter_title"):
                     mine = [k for k, f in enumerate(pdf["field"]) if f == field and bodies[k]]
-                    if not mine or field not in models.value:
-                        continue
-                    for k, changes in zip(mine, correct_characters(models.value[field], [bodies[k] for k in mine])):
-                        b = bodies[k]
-                        edits = [(a, a + 1, c) for a, c in changes.items()] + correct_words(b, None, meant[k])
-                        if edits:
-                            kinds[k].add("ocr_char")
-                            for a, z, c in sorted(edits, reverse=True):
-                                b = b[:a] + c + b[z:]
-                            bodies[k] = b
+                    if shared.value is None:
+                        for k in mine:
+                            changes[k] = correct_characters(Scorer(known=dict(pdf["known"].iloc[k] or {})), [bodies[k]], channel)[0]
+                    elif mine and field in shared.value:
+                        for k, found in zip(mine, correct_characters(Scorer(shared.value[field]), [bodies[k] for k in mine], channel)):
+                            changes[k] = found
+                for k, b in enumerate(bodies):
+                    edits = [(a, a + 1, c) for a, c in changes[k].items()] + (replaced_words(b, meant[k]) if b else [])
+                    if edits:
+                        kinds[k].add("ocr_char")
+                        for a, z, c in sorted(edits, reverse=True):
+                            b = b[:a] + c + b[z:]
+                        bodies[k] = b
                 yield pd.DataFrame({"i": pdf["i"], "field_name": pdf["field"], "repaired": bodies, "kinds": [sorted(k) for k in kinds]})
 
     out = pages.mapInPandas(decode, f"i {id_type}, field_name string, repaired string, kinds array<string>")
     return out.withColumnRenamed("i", row_id)
+
+
+def _asked(channel: dict[str, dict[str, float]]):
+    """The n-grams that decoding each text of a batch needs."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            out = []
+            for t in s:
+                scorer = Scorer()
+                if t:
+                    correct_characters(scorer, [t], channel)
+                out.append(sorted(scorer.asked))
+            yield pd.Series(out, dtype=object)
+
+    return run
