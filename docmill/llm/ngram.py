@@ -82,16 +82,23 @@ class KneserNey:
         return at, keys[at] == wanted
 
     def probability(self, gram: np.ndarray, upto: int = ORDER) -> np.ndarray:
-        """Of the last character of each n-gram after the ones before it, using n-grams of at most ``upto``."""
-        p = np.full(len(gram), FLOOR)
-        for n in range(1, upto + 1):
-            g = gram & np.uint64((1 << (_BITS * n)) - 1) if n < 4 else gram
-            at, hit = self._find(self.keys[n - 1], g)
-            c_at, c_hit = self._find(self.contexts[n - 1], g >> np.uint64(_BITS))
-            left = np.where(c_hit, self.leftovers[n - 1][c_at] if len(self.leftovers[n - 1]) else 1.0, 1.0)
-            stored = self.probs[n - 1][at] if len(self.probs[n - 1]) else np.zeros(len(at))
-            p = np.where(hit, stored, left * p)
-        return np.maximum(p, 1e-12)
+        """Of the last character of each n-gram after the ones before it, using n-grams of at most ``upto``.
+
+        A stored probability already holds the shorter n-grams, so only those that aren't stored are backed off.
+        """
+        if not upto:
+            return np.full(len(gram), FLOOR)
+        g = gram & np.uint64((1 << (_BITS * upto)) - 1) if upto < ORDER else gram
+        at, hit = self._find(self.keys[upto - 1], g)
+        p = np.empty(len(gram))
+        p[hit] = self.probs[upto - 1][at[hit]]
+        rest = np.flatnonzero(~hit)
+        if len(rest):
+            c_at, known = self._find(self.contexts[upto - 1], g[rest] >> np.uint64(_BITS))
+            left = np.ones(len(rest))
+            left[known] = self.leftovers[upto - 1][c_at[known]]
+            p[rest] = left * self.probability(gram[rest], upto - 1)
+        return np.maximum(p, 1e-12) if upto == ORDER else p
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:

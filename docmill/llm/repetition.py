@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,20 +39,70 @@ FUNCTION_WORDS = {
 SCRIPTS = ((0x3040, 0x30FF, "ja"), (0xAC00, 0xD7A3, "ko"), (0x0400, 0x052F, "ru"), (0x0370, 0x03FF, "el"), (0x0590, 0x05FF, "he"), (0x0600, 0x06FF, "ar"), (0x0900, 0x097F, "hi"), (0x0E00, 0x0E7F, "th"), (0x3400, 0x9FFF, "zh"))
 
 
+@lru_cache(maxsize=1)
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every code point: what is shown of it (0 for spaces), its kind (1 letter, 0 other), and its script (see SCRIPTS; 0 none, 1 another)."""
+    codes = np.arange(0x110000)
+    table = folded_table()
+    digit = (table >= 48) & (table <= 57)
+    letter = (table > 0) & ~digit
+    shown = np.where(table > 0, table, codes).astype(np.uint32)
+    shown[digit] = 48
+    shown[:33] = shown[0x3000] = shown[0xA0] = 0
+    script = letter.astype(np.int8)
+    for k, (lo, hi, _) in enumerate(SCRIPTS, 2):
+        script[lo : hi + 1] = np.where(letter[lo : hi + 1], k, 0)
+    return shown, letter.astype(np.int8), script
+
+
 def content(text: str, frame: re.Pattern | None = FRAME) -> tuple[np.ndarray, np.ndarray]:
     """(characters, kind) of a text without its frame and without spaces: letters folded, each digit as 0.
 
     kind is 1 for letters and 0 for digits and punctuation.
     """
-    codes = code_points(frame.sub(" ", text) if frame else text)
-    table = folded_table()[codes]
-    digit = (table >= 48) & (table <= 57)
-    letter = (table > 0) & ~digit
-    shown = np.where(table > 0, table, codes)
-    space = (codes <= 32) | (codes == 0x3000) | (codes == 0xA0)
-    keep = ~space
-    shown = np.where(digit, 48, shown)
-    return shown[keep].astype(np.uint32), letter[keep].astype(np.int8)
+    return read_text(text, frame)[1:]
+
+
+def read_text(text: str, frame: re.Pattern | None = FRAME) -> tuple[str, np.ndarray, np.ndarray]:
+    """(language, characters, kind) of a text."""
+    plain = frame.sub(" ", text) if frame else text
+    codes = code_points(plain)
+    shown, letter, script = _classes()
+    out = shown[codes]
+    keep = out > 0
+    return _language(plain, script[codes]), out[keep], letter[codes][keep]
+
+
+def language(text: str) -> str:
+    """The language of a text: by its script, and by frequent words for the Latin script (``latin`` if it has none)."""
+    return read_text(text, None)[0]
+
+
+def _language(text: str, scripts: np.ndarray) -> str:
+    counts = np.bincount(scripts, minlength=len(SCRIPTS) + 2)[1:]
+    if not (total := counts.sum()):
+        return "none"
+    if counts[1] >= 0.1 * total:  # kana stand among ideographs
+        return SCRIPTS[0][2]
+    best = int(counts[1:].argmax())
+    if counts[1 + best] >= 0.3 * total:
+        return SCRIPTS[best][2]
+    words = Counter(re.findall(r"[^\W\d_]+", text.lower()))
+    found = {name: sum(words[w] for w in known) for name, known in FUNCTION_WORDS.items()}
+    top = max(found, key=lambda k: found[k])
+    return top if found[top] else "latin"
+
+
+def _grouped(hashes: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the order of hash and place, hashes in that order). Where places fit into ``most_bits`` they are packed below the hash,
+    as sorting single numbers is many times faster than finding their order; the hash then has as many bits fewer."""
+    bits = max(1, int(len(hashes) - 1).bit_length()) if len(hashes) else 1
+    if bits > most_bits:
+        order = np.argsort(hashes, kind="stable")
+        return order, hashes[order]
+    low = np.uint64((1 << bits) - 1)
+    packed_ = np.sort((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64))
+    return (packed_ & low).astype(np.int64), packed_ & ~low
 
 
 def _covered(codes: np.ndarray, length: int) -> np.ndarray:
@@ -59,8 +110,7 @@ def _covered(codes: np.ndarray, length: int) -> np.ndarray:
     h = windows(codes, length)
     if not len(h):
         return np.zeros(len(codes), dtype=bool)
-    order = np.argsort(h, kind="stable")
-    s = h[order]
+    order, s = _grouped(h, 12)
     again = order[1:][s[1:] == s[:-1]]
     n = len(codes) + 1
     return np.cumsum(np.bincount(again, minlength=n)[:n] - np.bincount(again + length, minlength=n)[:n])[:-1] > 0
@@ -93,8 +143,7 @@ def share_of(codes: np.ndarray, kind: np.ndarray, span: int = SPAN) -> float:
 
 def _rank(keys: np.ndarray) -> np.ndarray:
     """How many equal keys stand before each."""
-    order = np.argsort(keys, kind="stable")
-    s = keys[order]
+    order, s = _grouped(keys, 20)
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
     start = np.repeat(first, np.diff(np.concatenate([first, [len(s)]])))
     out = np.empty(len(s), dtype=np.int64)
@@ -145,25 +194,6 @@ def foreseen(contents: list[tuple[np.ndarray, np.ndarray]], row: np.ndarray, at:
     return p, known
 
 
-def language(text: str) -> str:
-    """The language of a text: by its script, and by frequent words for the Latin script (``latin`` if it has none)."""
-    codes = code_points(text)
-    letters = codes[folded_table()[codes] >= 0x41]
-    if not len(letters):
-        return "none"
-    shares = {name: float(((letters >= lo) & (letters <= hi)).mean()) for lo, hi, name in SCRIPTS}
-    if shares["ja"] >= 0.1:
-        return "ja"
-    best = max(shares, key=lambda k: shares[k])
-    if shares[best] >= 0.3:
-        return best
-    words = re.findall(r"[^\W\d_]+", text.lower())
-    counts = Counter(words)
-    found = {name: sum(counts[w] for w in known) for name, known in FUNCTION_WORDS.items()}
-    top = max(found, key=lambda k: found[k])
-    return top if found[top] else "latin"
-
-
 def repetition(df: DataFrame, row_id: str, text: str, frame: re.Pattern | None = FRAME) -> DataFrame:
     """(row_id, lang, n_chars, log_ppl, memory_log_ppl, lower, upper, band, repeated_share) of every text.
 
@@ -184,7 +214,7 @@ def repetition(df: DataFrame, row_id: str, text: str, frame: re.Pattern | None =
     plain = spread(df.select(F.col(row_id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")), "i")
 
     def language_and_stream(t: str) -> tuple[str, np.ndarray]:
-        return language(frame.sub(" ", t) if frame else t), content(t, frame)[0]
+        return read_text(t, frame)[:2]
 
     table = fit(count_grams(plain.where("t <> ''"), language_and_stream, None, "t"))[-1]
     known_grams, complete = frequent(table)
@@ -192,8 +222,8 @@ def repetition(df: DataFrame, row_id: str, text: str, frame: re.Pattern | None =
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in (part for batch in batches for part in sub_batches(batch, "t")):
-            contents = [content(t, frame) for t in pdf["t"]]
-            langs = np.array([language(frame.sub(" ", t) if frame else t) for t in pdf["t"]], dtype=object)
+            read = [read_text(t, frame) for t in pdf["t"]]
+            contents, langs = [x[1:] for x in read], np.array([x[0] for x in read], dtype=object)
             streams = [codes for codes, _ in contents]
             row, at, gram = packed(streams)
             p, found = np.full(len(gram), FLOOR), np.zeros(len(gram), dtype=bool)

@@ -212,28 +212,18 @@ class Scorer:
 
     def __init__(self, model: KneserNey | None = None, known: dict[int, float] | None = None) -> None:
         self.model, self.known, self.asked = model, known, set()
+        self.asking = model is None and known is None
 
     def log(self, grams: np.ndarray) -> np.ndarray:
         if self.model is not None:
             return np.log(self.model.probability(grams))
         keys = grams.view(np.int64).tolist()
-        if self.known is None:
+        if self.asking:
             self.asked.update(keys)
             return np.zeros(len(keys))
         return np.log(np.array([self.known[k] for k in keys], dtype=float))
 
 
-def _clusters(places: list[int], row: np.ndarray) -> list[list[int]]:
-    """Places that share an n-gram, of one text, stand together."""
-    out: list[list[int]] = []
-    for p in places:
-        if out and row[out[-1][-1]] == row[p] and p - out[-1][-1] < ORDER:
-            out[-1].append(p)
-        else:
-            out.append([p])
-    return out
-
-
 def viterbi(scorer: Scorer, codes: np.ndarray, options: dict[int, list[tuple[int, float]]], start: int, stop: int) -> list[int]:
     """The likeliest characters at start..stop-1 given candidates, each with the log odds of its misreading (the first was read)."""
     history = [0] * max(0, ORDER - 1 - start) + codes[max(0, start - ORDER + 1) : start].tolist()
@@ -251,11 +241,17 @@ def viterbi(scorer: Scorer, codes: np.ndarray, options: dict[int, list[tuple[int
     return max(states.values(), key=lambda x: x[0])[1]
 
 
+def _log_odds(channel: dict[str, dict[str, float]]) -> dict[int, list[tuple[int, float]]]:
+    """read -> (meant, log odds of the misreading), by code point."""
+    return {ord(x): [(ord(m), float(np.log(c / (1 - c)))) for m, c in ys.items()] for x, ys in channel.items()}
+
+
 def correct_characters(scorer: Scorer, texts: list[str], channel: dict[str, dict[str, float]]) -> list[dict[int, str]]:
     """For each text the offsets to change and the characters to put there.
 
-    Candidates of a line that share no n-gram are independent, so each cluster of them is decoded alone. A cluster is left out
-    only if no reading can win: if its n-grams as they stand are likelier together than the least unlikely misreading.
+    Candidates of a line that share no n-gram are independent, so each cluster of them is decoded alone: a single place by
+    comparing its candidates, several by Viterbi. A cluster is left out only if no other reading can win: no single candidate does,
+    and its n-grams as they stand are likelier together than the two least unlikely misreadings.
     """
     pairs = [stream(t) for t in texts]
     row, _, grams = packed([s for s, _ in pairs])
@@ -263,34 +259,56 @@ def correct_characters(scorer: Scorer, texts: list[str], channel: dict[str, dict
     if not len(grams):
         return found
     last = (grams & np.uint64(0xFFFF)).astype(np.uint32)
-    places = np.flatnonzero(np.isin(last, np.array([ord(c) for c in channel], dtype=np.uint32)))
-    clusters = _clusters(places.tolist(), row)
-    if not clusters:
+    odds = _log_odds(channel)
+    places = np.flatnonzero(np.isin(last, np.array(sorted(odds), dtype=np.uint32)))
+    if not len(places):
         return found
     starts = np.cumsum([0, *(len(s) for s, _ in pairs)])
-    lo = np.array([c[0] for c in clusters])
-    hi = np.minimum(np.array([c[-1] for c in clusters]) + ORDER, starts[row[lo] + 1])
-    if scorer.known is not None or scorer.model is not None:
-        touched = np.zeros(len(grams) + 1, dtype=np.int64)
-        np.add.at(touched, lo, 1)
-        np.add.at(touched, hi, -1)
-        inside = np.flatnonzero(np.cumsum(touched)[:-1] > 0)
-        surprise = np.zeros(len(grams) + 1)
-        surprise[inside + 1] = -scorer.log(grams[inside])
-        sums = np.cumsum(surprise)
-        least = {ord(c): min(-np.log(p / (1 - p)) for p in to.values()) for c, to in channel.items()}
-        needed = np.array([min(least[int(last[p])] for p in c) for c in clusters])
-        live = np.flatnonzero(sums[hi] - sums[lo] > needed)
-    else:
-        live = np.arange(len(clusters))
-        scorer.log(grams[np.unique(np.concatenate([np.arange(a, z) for a, z in zip(lo, hi)]))])
-    for k in live.tolist():
-        r = int(row[lo[k]])
+    ends = np.minimum(places + ORDER, starts[row[places] + 1])
+    touched = np.zeros(len(grams) + 1, dtype=np.int64)
+    np.add.at(touched, places, 1)
+    np.add.at(touched, ends, -1)
+    inside = np.flatnonzero(np.cumsum(touched)[:-1] > 0)
+    logs = np.zeros(len(grams) + 1)
+    logs[inside] = scorer.log(grams[inside])
+    sums = np.concatenate([[0.0], np.cumsum(-logs[:-1])])
+    # Each candidate by itself: by how much the n-grams round its place are likelier with it.
+    gain: dict[int, list[tuple[float, int]]] = {}
+    for x, meant in odds.items():
+        mine = np.flatnonzero(last[places] == x)
+        for m, o in meant if len(mine) else ():
+            hopeful = mine[sums[ends[mine]] - sums[places[mine]] + o > 0] if not scorer.asking else mine
+            if not len(hopeful):
+                continue
+            total = np.full(len(hopeful), o)
+            for shift in range(ORDER):
+                at = places[hopeful] + shift
+                ok = np.flatnonzero(at < ends[hopeful])
+                changed = grams[at[ok]] ^ (np.uint64(x ^ m) << np.uint64(16 * shift))
+                total[ok] += scorer.log(changed) - logs[at[ok]]
+            for p, g in zip(places[hopeful].tolist(), total.tolist()):
+                gain.setdefault(p, []).append((g, m))
+    # Places that share an n-gram, of one text, stand together.
+    apart = (np.diff(places) >= ORDER) | (np.diff(row[places]) != 0)
+    edges = np.concatenate([[0], np.flatnonzero(apart) + 1, [len(places)]])
+    sizes = np.diff(edges)
+    for k in np.flatnonzero(sizes == 1) if not scorer.asking else ():
+        p = int(places[edges[k]])
+        g, m = max(gain.get(p, [(0.0, 0)]))
+        if g > 0:
+            r = int(row[p])
+            found[r][int(pairs[r][1][p - starts[r]])] = chr(m)
+    for k in np.flatnonzero(sizes > 1):
+        group = places[edges[k] : edges[k + 1]].tolist()
+        a, z = group[0], int(ends[edges[k + 1] - 1])
+        cheapest = sorted(max(o for _, o in odds[int(last[p])]) for p in group)[-2:]
+        if not scorer.asking and sums[z] - sums[a] + sum(cheapest) <= 0 and not any(g > 0 for p in group for g, _ in gain.get(p, ())):
+            continue
+        r = int(row[a])
         base = int(starts[r])
         unit = last[base : starts[r + 1]]
-        options = {p - base: [(int(last[p]), 0.0), *((ord(m), float(np.log(c / (1 - c)))) for m, c in channel[chr(last[p])].items())] for p in clusters[k]}
-        a, z = int(lo[k]) - base, int(hi[k]) - base
-        for i, c in zip(range(a, z), viterbi(scorer, unit, options, a, z)):
+        options = {p - base: [(int(last[p]), 0.0), *odds[int(last[p])]] for p in group}
+        for i, c in zip(range(a - base, z - base), viterbi(scorer, unit, options, a - base, z - base)):
             if c != unit[i]:
                 found[r][int(pairs[r][1][i])] = chr(c)
     return found
