@@ -55,3 +55,29 @@ def manifest(units: DataFrame, features: DataFrame, screening: DataFrame, routed
     # Each part is one row.
     one = reduce(lambda a, b: a.join(F.broadcast(b), F.lit(True)), parts)
     return one.withColumn("pending", F.greatest(F.lit(0), F.col("routed") - F.col("completed") - F.col("failed"))).withColumn("complete", (F.col("routed") == F.col("completed")) & (F.col("failed") == 0) & (F.col("screen_failed") == 0))
+
+
+def method_counts(method: str, units: DataFrame, screening: DataFrame | None = None) -> DataFrame:
+    """One row of what counts for one method: its candidates, its units, or how its screening went."""
+    if method == "keyword":
+        return units.agg(F.count(F.lit(1)).alias("N_keyword_candidate"))
+    if method == "full_llm":
+        return units.agg(F.count(F.lit(1)).alias("N_full_units"))
+    if screening is None:
+        return units.sparkSession.range(1).select(*[F.lit(0).alias(c) for c in ("N_llm_related", "N_llm_uncertain", "N_stage1_failed")])
+    told = F.lower("relevance")
+    return screening.agg(F.count_if(told == "related").alias("N_llm_related"), F.count_if(told == "uncertain").alias("N_llm_uncertain"), F.count_if(F.upper("stage1_status") == "ERROR").alias("N_stage1_failed"))
+
+
+def described(counts: DataFrame, method: str, year: str, inputs: dict[str, str], outputs: dict[str, str], models: dict[str, str | None], missing: int = 0, **more: str) -> DataFrame:
+    """A manifest's one row of counts with what it was made of: an id, the method and year, paths, models, when, and further settings.
+
+    ``missing`` is the number of required paths that don't exist; with any the run isn't complete.
+    """
+    paths = lambda d: F.create_map(*[x for k, v in sorted(d.items()) for x in (F.lit(k), F.lit(v))]) if d else F.create_map().cast("map<string,string>")
+    now = F.current_timestamp()
+    out = counts.withColumns({
+        "workflow_id": F.concat_ws("_", F.lit(method), F.lit(year), F.date_format(F.to_utc_timestamp(now, F.current_timezone()), "yyyyMMdd'T'HHmmss'Z'")), "method": F.lit(method), "year": F.lit(year), "input_paths": paths(inputs), "output_paths": paths(outputs), "created_at": now,
+        **{f"model_{k}": F.lit(v) for k, v in models.items()}, **{k: F.lit(v) for k, v in more.items()},
+    })
+    return out.withColumn("complete", F.col("complete") & F.lit(missing == 0)) if "complete" in counts.columns else out.withColumn("complete", F.lit(missing == 0))

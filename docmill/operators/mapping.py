@@ -33,7 +33,7 @@ def versions(dictionary: DataFrame, exact: bool = True) -> DataFrame:
     parsed = standard_code(code, exact)
     rows = dictionary.select(
         parsed["base"].alias("base"), full_year(parsed["version"]).alias("version"), code.cast("string").alias("code"), optional(F.col(pick(dictionary, INTERNATIONAL))).alias("international"),
-        optional(F.col(pick(dictionary, ADOPTION))).alias("adoption"), lenient_date(get(EFFECTIVE)).alias("effective"), lenient_date(get(EXPIRY)).alias("expiry"), get(STATE).alias("state"), get(QUALITY).alias("quality"),
+        optional(F.col(pick(dictionary, ADOPTION))).alias("adoption"), lenient_date(get(EFFECTIVE), strict=True).alias("effective"), lenient_date(get(EXPIRY), strict=True).alias("expiry"), get(STATE).alias("state"), get(QUALITY).alias("quality"),
     )
     return rows.where("base is not null")
 

@@ -32,9 +32,9 @@ def screen_units(units: DataFrame, system: str, provider: Provider, features: Da
     """One screening row of every unit: kept from ``done`` unless it was an error, decided by keyword, or asked of the model.
 
     The anti-joins come before the model is called. Replies without a relevance, and calls that failed, become ERROR rows;
-    none is lost. Repeated units are asked once. The new replies are written to the shared folder before they are used.
+    none is lost. Repeated units are asked once, with the greatest of their texts. The new replies are written to the shared folder before they are used.
     """
-    todo = units.select("text_unit_id", "text").dropDuplicates(["text_unit_id"])
+    todo = last_by_id(units.select("text_unit_id", "text"), "text_unit_id", "text")
     parts = []
     if done is not None:
         kept = last_by_id(done.where("stage1_status <> 'ERROR'").select(*SCREEN_COLUMNS), "text_unit_id", "stage1_status").join(units.select("text_unit_id").distinct(), "text_unit_id", "left_semi")
@@ -55,6 +55,12 @@ def screen_units(units: DataFrame, system: str, provider: Provider, features: Da
     return fresh
 
 
+def screening_failures(screened: DataFrame) -> DataFrame:
+    """One record of every unit whose screening failed: when, where and why."""
+    bad = screened.where("stage1_status = 'ERROR'")
+    return bad.select(F.current_timestamp().alias("created_at"), F.lit("stage1").alias("stage"), "text_unit_id", F.when(F.col("stage1_error").contains(":"), F.substring_index("stage1_error", ":", 1)).otherwise("ParseError").alias("error_type"), F.col("stage1_error").alias("error"), F.col("reason").alias("raw_response"))
+
+
 def one_screening(screening: DataFrame) -> DataFrame:
     """One row a unit: usable ones before errors, then the greatest score; relevance in lower case."""
     ranked = screening.select("text_unit_id", F.when(F.col("stage1_status") == "ERROR", 0).otherwise(1).alias("usable"), F.coalesce("confidence_score", F.lit(-1.0)).alias("score"), F.lower(F.trim("relevance")).alias("relevance"), "confidence_score")

@@ -89,7 +89,7 @@ def compared(finals: dict[str, DataFrame]) -> DataFrame:
 
 
 def write_run(run: Run, path: str) -> None:
-    """The stages as Parquet, failures and audit as JSON lines, the manifest as JSON."""
+    """The stages as Parquet, failures and audit as JSON lines, the manifest as JSON. What the run has cut can be dropped afterwards (session.drop_cuts)."""
     for name in STAGES:
         if name in run.tables:
             run.tables[name].write.mode("overwrite").parquet(f"{path}/{name}")

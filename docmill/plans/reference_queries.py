@@ -10,7 +10,7 @@ from docmill.functions import norm as N
 from docmill.functions.anchors import ANCHOR_TERMS
 from docmill.operators import cleaner, extraction, indicators, keywords, lineblocks, mapping, provider, replies, review, screening
 from docmill.operators.asof import asof_valid
-from docmill.session import read
+from docmill.session import cut, read
 
 #: A small dictionary for the queries; real runs read theirs from a file.
 TERMS = ["ISO", "IEC", "GB/T", "CE", "质量管理体系", "认证证书", "Quality Management System", "合规审查", "Accreditation"]
@@ -35,13 +35,13 @@ def stock_codes(spark, d):
 
 
 def standard_codes(spark, d):
-    p = N.standard_code(F.col("entity"), exact=False)
+    p = N.standard_code(F.col("entity"))
     e = read(spark, d, "stage2_result").where("type = 'TYPE_B'").select("entity").distinct()
     return e.select("entity", p["base"].alias("base"), p["version"].alias("version"), N.full_year(p["version"]).alias("version_year"))
 
 
 def report_years(spark, d):
-    return read(spark, d, "text_units").select("year").distinct().select("year", N.report_year(F.col("year"), exact=False).alias("y"))
+    return read(spark, d, "text_units").select("year").distinct().select("year", N.report_year(F.col("year")).alias("y"))
 
 
 def tolerant_bools(spark, d):
@@ -211,7 +211,7 @@ def seeded_missing(spark, d):
 
 
 def _mapped(spark, d):
-    return mapping.mapped_entities(extraction.successful_rows(read(spark, d, "stage2_result")), read(spark, d, "gb_dict"), exact=False)
+    return mapping.mapped_entities(extraction.successful_rows(read(spark, d, "stage2_result")), read(spark, d, "gb_dict"))
 
 
 def mapped_entities(spark, d):
@@ -223,10 +223,13 @@ def firm_years(spark, d):
 
 
 def _finals(spark, d):
-    units, mapped = _units(spark, d), _mapped(spark, d)
+    """The four methods over units, features and entities that are made once."""
+    slim = cut(_units(spark, d).select("text_unit_id", "stock_code", "company_name", "year", L.has_term(F.col("text"), TERMS).alias("keyword_candidate")))
+    units, features = slim.drop("keyword_candidate"), slim.select("text_unit_id", "keyword_candidate", F.lit("").alias("matched_terms"))
+    mapped, screened = cut(_mapped(spark, d).select("text_unit_id", "stock_code", "year", "entity", "status", "output")), read(spark, d, "stage1_relevance")
     out = {}
     for m in indicators.METHODS:
-        u = _routed(spark, d) if m == "main" else screening.variant_units(m, units, _features(spark, d), read(spark, d, "stage1_relevance"))
+        u = screening.route_units(units, features, screened) if m == "main" else screening.variant_units(m, units, features, screened)
         out[m] = indicators.firm_years(u, mapped.join(u.select("text_unit_id"), "text_unit_id", "left_semi"))
     return out
 
@@ -238,7 +241,9 @@ def compared_methods(spark, d):
 def run_counts(spark, d):
     final = indicators.firm_years(read(spark, d, "text_units"), _mapped(spark, d))
     queue = read(spark, d, "recovery_audit").where("final_disposition = 'failed'").select("text_unit_id")
-    return indicators.manifest(_units(spark, d), _features(spark, d), read(spark, d, "stage1_relevance"), _routed(spark, d), read(spark, d, "stage2_result"), queue, final)
+    slim = cut(_units(spark, d).select("text_unit_id", L.has_term(F.col("text"), TERMS).alias("keyword_candidate")))
+    features, screened = slim.withColumn("matched_terms", F.lit("")), read(spark, d, "stage1_relevance")
+    return indicators.manifest(slim, features, screened, screening.route_units(slim.select("text_unit_id"), features, screened), read(spark, d, "stage2_result"), queue, final)
 
 
 def sampled_units(spark, d):

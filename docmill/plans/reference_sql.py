@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from docmill.functions.anchors import ANCHOR_TERMS
-from docmill.functions.lines import CELL_LINE, COMPANY_LINE, DATE_LINE, FALSE_TITLE_HINTS, LEADERS, PURE_VALUE, RATIO_LINE, SHORT_LINE, SHORT_NUMERIC, TITLE_LINE
+from docmill.functions.lines import CELL_LINE, COMPANY_LINE, DATE_LINE, FALSE_TITLE_HINTS, LEADERS, PURE_VALUE, QUOTED_TITLE, RATIO_LINE, SHORT_LINE, SHORT_NUMERIC, TITLE_LINE
 from docmill.functions.norm import _ASCII, _WIDE, SPACE
 from docmill.plans.core_found import _sql_date
 
@@ -28,8 +28,7 @@ def statements(terms: list[str]) -> dict[str, str]:
     page = lambda x: has(strip(x), "^[0-9]{1,4}$")
     report = lambda x: f"(contains({compact(x)}, '年度报告') and {n(x)} <= {TITLE_LINE})"
     company = lambda x: f"({n(x)} <= {COMPANY_LINE} and suffix({compact(x)}, '有限公司'))"
-    quoted = r"(管理层讨论与分析|重要事项|公司治理|环境和社会责任)[”\"']?[之中]"
-    probable = lambda x: f"({n(title(x))} between 1 and {TITLE_LINE} and not {leader(x)} and not {has(title(x), '[。；;，,：:之]')} and not {has(title(x), '|'.join(FALSE_TITLE_HINTS))} and not {has(title(x), quoted)})"
+    probable = lambda x: f"({n(title(x))} between 1 and {TITLE_LINE} and not {leader(x)} and not {has(title(x), '[。；;，,：:之]')} and not {has(title(x), '|'.join(FALSE_TITLE_HINTS))} and not {has(title(x), QUOTED_TITLE)})"
     ratio = lambda x: f"(length(regexp_replace({compact(x)}, '[^0-9]', '', 'g')) / greatest({n(x)}, 1))"
     sentence = lambda x: has(strip(x), "[。！？!?；;]")
     score = lambda x: (
@@ -71,10 +70,11 @@ def statements(terms: list[str]) -> dict[str, str]:
         four = f"regexp_extract({s}, '(^|[^\\p{{L}}\\p{{N}}_])([0-9]{{4}})([^\\p{{L}}\\p{{N}}_]|$)', 2)"
         return f"case when {four} <> '' then cast({four} as int) when {has(s, '^[0-9]{2}$')} then {full(s)} end"
 
+    strict = lambda x: f"case when not regexp_matches({x}, '[年月日]') and {_sql_date(x)} between date '1677-09-22' and date '2262-04-10' then {_sql_date(x)} end"
     option = lambda x: f"nullif({strip(x)}, '')"
     mapped = f"""
         v as (select base, version, code, international, adoption, effective, expiry, state, quality from (select {base('"标准号"')} as base, {full(version('"标准号"'))} as version, "标准号" as code, {option('"国际标准编号"')} as international, {option('"采标类型"')} as adoption,
-            {_sql_date('"生效日期"')} as effective, {_sql_date('"失效日期"')} as expiry, {option('"当前状态"')} as state, {option('"时间数据质量"')} as quality from gb_dict) where base is not null),
+            {strict('"生效日期"')} as effective, {strict('"失效日期"')} as expiry, {option('"当前状态"')} as state, {option('"时间数据质量"')} as quality from gb_dict) where base is not null),
         probe as (select distinct entity, year, {base('entity')} as base, {version('entity')} as asked, {year('year')} as y from stage2_result where type = 'TYPE_B' and not {failure}),
         best as (select probe.entity, probe.year, code, international, adoption, asked, (y is null or (version <= y and coalesce(effective <= make_date(y, 12, 31), true))) as in_time from probe join v using (base)
             where (asked is not null and version = {full('asked')}) or (asked is null and (y is null or (version > 0 and version <= y and not coalesce(contains(quality, 'LEGACY_ONLY_NO_TEMPORAL_METADATA'), false)

@@ -2,6 +2,8 @@ import json
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docmill.operators import extraction, indicators, mapping, replies, review, screening
@@ -50,16 +52,25 @@ def test_replies():
     assert replies.parse_reply(good.replace('"entity": "e"', '"entity"：3'))["method"] == "none"
     assert replies.parse_reply('{"standards": [{"entity": "a "b" c"}]}')["method"] == "none"
     assert replies.parse_reply(None)["errors"] == ["empty"]
-    assert replies.payload_errors({"standards": [{"entity": 1, "type": "X", "status": "NO", "more": 1}]}) == ["item 0: unexpected key more", "item 0: entity is not a string", "item 0: type is X", "item 0: evidence is missing"]
+    assert replies.payload_errors({"standards": [{"entity": 1, "type": "X", "status": "NO", "more": 1}]}) == ["reply.standards[0]: unexpected more", "reply.standards[0]: evidence is missing", "reply.standards[0].entity: int instead of str", "reply.standards[0].type: X is unknown"]
+    assert replies.payload_errors([]) == ["reply: list instead of dict"] and replies.payload_errors({"more": 1}) == ["reply: unexpected more", "reply: standards is missing"]
+    assert replies.json_schema()["properties"]["standards"]["items"]["properties"]["status"] == {"type": "string", "enum": ["ADOPTED", "PENDING", "NO"]}
     assert replies.lenient_items('noise {"standards": []} tail') == [replies.NOTHING]
     assert replies.lenient_items('{"standards": [{"type": "type_b", "status": "?"}]}') == [{"entity": "无", "type": "TYPE_B", "status": "NO", "evidence": "未发现相关描述"}]
     assert replies.lenient_items("nothing") is None and replies.lenient_items("") is None
 
 
 def test_degeneration(spark):
-    df = spark.createDataFrame([(1, "项" * 100), (2, "abc"), (3, None), (4, "甲乙丙丁" * 25 * 6)], "i int, raw string")
+    df = spark.createDataFrame([(1, "项" * 100), (2, "abc"), (3, None), (4, "甲乙丙丁" * 25 * 6), (5, "".join(chr(0x4E00 + i * 7 % 499) for i in range(499)) * 6)], "i int, raw string")
     got = {r["i"]: r["f"] for r in df.select("i", replies.degeneration_flags(F.col("raw")).alias("f")).collect()}
-    assert got[1] == ["single_char_repeat"] and got[2] == [] and got[3] == [] and "long_segment_repeat" in got[4]
+    assert got[1] == ["single_char_repeat"] and got[2] == [] and got[3] == [] and "long_segment_repeat" in got[4] and "long_segment_repeat" in got[5]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab\n", min_size=1, max_size=200), st.integers(1, 8), st.text(alphabet="ab\n", max_size=100))
+def test_long_segments_as_by_pattern(segment, times, rest):
+    text = rest + segment * times + rest
+    assert replies.long_segment_repeats(text, 20, 5) == bool(re.search(r"(.{20,}?)\1{4,}", text))
 
 
 def test_screening_reply(spark):
