@@ -182,9 +182,9 @@ def _filter_words(keys: DataFrame) -> np.ndarray:
     """A bit for every hash, in at most 2^(FILTER_BITS - 6) words, which is all that the driver ever sees of the items."""
     word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit((1 << (FILTER_BITS - 6)) - 1)).cast("int")
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    rows = keys.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("x")).toPandas()
+    rows = keys.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("x")).toArrow()
     words = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
-    words[rows["w"].to_numpy(dtype=np.int64)] = rows["x"].to_numpy(dtype=np.int64).view(np.uint64)
+    words[rows["w"].to_numpy()] = rows["x"].to_numpy().view(np.uint64)
     return words
 
 

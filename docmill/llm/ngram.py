@@ -147,8 +147,8 @@ def arrays(tables: list[DataFrame], most: int | None = None) -> dict[str, Kneser
     for table in tables:
         for lang in sorted(r["lang"] for r in table.select("lang").distinct().collect()):
             # One language and order at a time is all that the driver holds beside the models.
-            rows = table.where(F.col("lang") == lang).select("gram", F.col("p").cast("float"), F.col("left").cast("float")).toPandas()
-            keys = rows["gram"].to_numpy(dtype=np.int64).view(np.uint64)
+            rows = table.where(F.col("lang") == lang).select("gram", F.col("p").cast("float"), F.col("left").cast("float")).toArrow()
+            keys = rows["gram"].to_numpy().view(np.uint64)
             order = np.argsort(keys)
             keys = keys[order]
             contexts, first = np.unique(keys >> np.uint64(_BITS), return_index=True)
@@ -156,7 +156,7 @@ def arrays(tables: list[DataFrame], most: int | None = None) -> dict[str, Kneser
             model.keys.append(keys)
             model.probs.append(rows["p"].to_numpy()[order])
             model.contexts.append(contexts)
-            model.leftovers.append(rows["left"].to_numpy()[order][first])
+            model.leftovers.append(rows["left"].to_numpy()[order[first]])
     return models
 
 
@@ -172,12 +172,13 @@ def frequent(table: DataFrame, most: int | None = None) -> tuple[dict[str, tuple
             complete = False
             break
         least = r["b"]
-    rows = table.where(level >= least).select("lang", "gram", F.col("p").cast("float")).toPandas()
+    chosen = cut(table.where(level >= least).select("lang", "gram", F.col("p").cast("float")))
     found = {}
-    for lang, part in rows.groupby("lang"):
-        keys = part["gram"].to_numpy(dtype=np.int64).view(np.uint64)
+    for lang in sorted(r["lang"] for r in chosen.select("lang").distinct().collect()):
+        rows = chosen.where(F.col("lang") == lang).select("gram", "p").toArrow()
+        keys = rows["gram"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        found[lang] = (keys[order], part["p"].to_numpy()[order])
+        found[lang] = (keys[order], rows["p"].to_numpy()[order])
     return found, complete
 
 

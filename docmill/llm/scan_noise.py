@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -49,6 +50,7 @@ def _squeezed(s: str) -> str:
     return re.sub(r"\s+", "", s).translate(SAME_SHAPE)
 
 
+@lru_cache(maxsize=4096)
 def company_names(company: str | None, source_file: str | None) -> list[str]:
     """Full names of the company, as the row and the file name spell it, without spaces and misread characters."""
     found = []
@@ -68,6 +70,8 @@ def _is_name(s: str, names: list[str]) -> bool:
 
 def is_running_header(line: str, before: str, names: list[str], chapter: str) -> bool:
     """A line that is the company's name, the report's title, both, or the chapter's title with or without the name."""
+    if len(line) > 200:  # no such line has more than 60 characters besides spaces
+        return False
     s = _squeezed(line)
     if not s or len(s) > 60:
         return False
@@ -91,6 +95,12 @@ def clean_title(title: str | None, names: list[str]) -> tuple[str, set[str]]:
     """A chapter title without page number, company name and report title, and the kinds of noise it had."""
     if not title:
         return title or "", set()
+    s, kinds = _clean_title(title, tuple(names))
+    return s, set(kinds)
+
+
+@lru_cache(maxsize=65536)
+def _clean_title(title: str, names: tuple[str, ...]) -> tuple[str, frozenset[str]]:
     kinds, s = set(), title.strip()
     if m := _TITLE_PAGE.search(s):
         if re.search("[一-鿿A-Za-z]", s[: m.start()]):
@@ -110,7 +120,7 @@ def clean_title(title: str | None, names: list[str]) -> tuple[str, set[str]]:
             s = (s[: m.start()] + " " + s[m.end() :]).strip()
     if m := re.match(r"^[一-鿿()（）]{2,16}(?:股份|集团)有限公司(?=.*第.{1,4}[章节])", _squeezed(s)):
         kinds.add("running_header")
-    return s.strip(_SPACE + "·|-—_"), kinds
+    return s.strip(_SPACE + "·|-—_"), frozenset(kinds)
 
 
 def is_page_number(lines: list[str], at: int) -> bool:
@@ -391,10 +401,12 @@ def repair_scans(df: DataFrame, row_id: str, text: str, title: str, company: str
     channel, clean = learned_confusions(grams)
     tables = fit(clean)
     models = arrays(tables, most_entries)
+    whole = models is not None
     shared = spark.sparkContext.broadcast(models)
+    del models
     words = _misread_words(pages).withColumnsRenamed({"i": "w_i", "field": "w_field"})
     pages = pages.join(words, F.col("i").eqNullSafe(F.col("w_i")) & (F.col("field") == F.col("w_field")), "left").drop("w_i", "w_field")
-    if models is None:
+    if not whole:
         # The model is too large to be broadcast: every text asks for the n-grams it needs, and the answers are joined.
         ask = F.pandas_udf(_asked(channel), "array<long>").asNondeterministic()
         pages = cut(pages.withColumn("k", F.xxhash64("body", "field")))
