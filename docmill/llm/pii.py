@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from datetime import date
 
@@ -11,13 +12,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.session import cut, spread
+from docmill.session import cut, free_name, spread
 
 KINDS = ("name", "email", "phone", "id_number", "address")
-#: Vote patterns that the driver sees: at most 3 ^ labelers * kinds, whatever the data.
+#: Each labeler votes 1, -1, or 0 where it abstains.
 LABELERS = ("regex", "structure", "gazetteer", "context", "against")
-#: Names that the gazetteer learned from the corpus holds at most: the most frequent ones.
-MAX_NAMES = 200_000
+#: What the classifier sees of a span beside the votes: its form, and the classes of the characters on both sides. With the votes these make a
+#: bounded number of patterns, whatever the data, and only their counts come to the driver.
+FEATURES = ("shape", "before", "after")
+#: Bits of the filter of learned names (2^23 bits, 1 MB), however many names there are.
+NAME_BITS = 23
 
 _WIDE = str.maketrans("０１２３４５６７８９＋－（）＠．　／", "0123456789+-()@. /")
 # Frequent Chinese surnames, double surnames first.
@@ -28,14 +32,18 @@ _SURNAME = f"(?:{'|'.join(SURNAMES_2)}|[{SURNAMES_1}])"
 ROLES = "联系人|负责人|经办人|审核员|评审员|投资者|董事会秘书|证券事务代表|法定代表人|收件人|登记人|证人|组长|经理|客户|股东|秘书|总监|主任|代表|姓名|签字人|申请人|当事人|委托人"
 TITLES = "先生|女士|小姐|同志|教授|博士|老师"
 _ZH_AFTER = f"(?:{TITLES}|签字|收(?=[。，；]|$)|担任|来信|来电|致电|任(?=[^务何意])|的办公地点|的住址|的电话|[（(][^）)]{{0,24}}\\d|，电话|，身份证|，住|、电话)"
+# What persons do, right after their name.
+_ZH_SPOKE = "到会|出席|发言|表示|指出|介绍|认为|说[，：]|称[，：]|回忆|告诉"
 _ZH_NAMES = (
     re.compile(f"(?:{ROLES})[：:为是 ]{{0,2}}(?P<v>{_SURNAME}[一-鿿]{{1,2}}?)(?={_ZH_AFTER}|[，。；：、（）()\\s]|$)"),
     re.compile(f"由(?P<v>{_SURNAME}[一-鿿]{{1,2}}?)(?=担任|负责|主持|签字)"),
     re.compile(f"(?<![一-鿿])(?P<v>{_SURNAME}[一-鿿]{{1,2}}?)(?={TITLES}|签字|来信|致电)"),
     re.compile(f"(?P<v>{_SURNAME}[一-鿿]{{1,2}}?)(?={TITLES})"),
+    re.compile(f"(?<![一-鿿])(?P<v>{_SURNAME}[一-鿿]{{2}})(?={_ZH_SPOKE})"),
 )
-_WORD = r"[A-Z][a-zà-ÿ]+(?:[-'’][A-Z][a-zà-ÿ]+)?"
+_WORD = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:[-'’][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)?"
 _EN_NAMES = (
+    re.compile(rf"\b(?:[Mm]y name is|[Ii] am|Herr|Frau|Monsieur|Madame|Señora?|Signora?) +(?P<v>{_WORD}(?: {_WORD}){{1,2}})"),
     re.compile(rf"\b(?:Mr|Mrs|Ms|Dr|Miss|Prof)\.? +(?P<v>{_WORD}(?: {_WORD}){{1,2}})"),
     re.compile(rf"\b(?:(?:[Ww]rite to|[Cc]ontact|[Aa]ttention|[Ss]igned by|[Rr]eleased by)[:：]?|[Ww]itness[,:：]|[Nn]ame[:：]) *(?<=[ :：])(?!(?:Mr|Mrs|Ms|Dr|Miss|Prof)\b)(?P<v>{_WORD}(?: {_WORD}){{1,2}})(?= at\b|,| \(|\.|;|[ \r]*(?:\n|$))"),
     re.compile(rf"\b(?P<v>{_WORD} {_WORD})(?= \(ID|, lives at|(?:,| \() ?(?:[Tt]el|[Pp]hone)\b)"),
@@ -49,6 +57,7 @@ _PHONE = re.compile(
     r"|1[3-9]\d(?:[ -]?\d{4}){2}"  # mobile
     r"|0\d{2,3}[ -]\d{7,8}"  # area code and number
     r"|\d{3}[ -]\d{3}[ -]\d{4}|\d{3}-\d{4}"
+    r"|0\d{2,4} \d{3,4} \d{3,4}"  # trunk code and two groups
     r"|(?:\+\d{1,3}[ .-])?(?:(?:\d{3}\.|\(\d{3}\)[ .]?)\d{3}\.\d{4}|1[3-9]\d\.\d{4}\.\d{4})(?!\.\d)"  # dotted
     r")(?![\d]|[A-Za-z]|-\d)"
 )
@@ -134,20 +143,60 @@ def label_spans(text: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
 _CJK = re.compile("[一-鿿]")
 _LATIN = re.compile("[A-Z][a-z]")
 _DIGITS = re.compile(r"\d")
+#: What a name may look like wherever it stands; the learned names decide.
+_MAYBE_NAME = re.compile(f"(?=(?P<h>{_SURNAME}[一-鿿]{{1,2}}))|\\b(?P<l>{_WORD}(?: {_WORD}){{1,2}})")
 
 
-def estimate(patterns: dict[tuple[str, tuple[int, ...]], int], rounds: int = 50) -> dict[tuple[str, tuple[int, ...]], float]:
-    """The probability that spans with a vote pattern are real, for every kind and pattern.
+def neighbour(c: str) -> str:
+    """The class of a character beside a span."""
+    return "edge" if not c else "han" if _CJK.match(c) else "letter" if c.isalpha() else "digit" if c.isdigit() else "space" if c.isspace() else "colon" if c in ":：" else "mark"
 
-    Expectation-maximisation over pattern counts: each labeler of a kind has the probabilities of its votes given
-    real and given not; spans start from the majority of votes. On the probabilities so found a logistic
-    classifier of kind, votes and their pairs is fitted (all patterns with their counts), which smooths
-    patterns that are rare.
+
+def shape(kind: str, value: str) -> str:
+    """The form of a value: its script and words for names and addresses, its punctuation and digits for the others."""
+    if kind == "name":
+        return f"han{len(value)}" if _CJK.search(value) else f"words{len(value.split())}"
+    if kind == "address":
+        return ("han" if _CJK.search(value) else "latin") + ("-placed" if re.search("[省市区县,]", value) else "")
+    if kind == "email":
+        return "sign" if "@" in value or "＠" in value else "word"
+    digits = sum(c.isdigit() for c in value)
+    marks = "".join(sorted({c for c in value if not c.isalnum()}))
+    return f"{'plus' if value[:1] in '+＋' else 'zero' if value[:1] in '0０' else 'plain'}-{min(digits, 19)}-{marks[:4]}"
+
+
+def described(text: str, kind: str, start: int, stop: int) -> tuple[str, str, str]:
+    """FEATURES of a span."""
+    return shape(kind, text[start:stop]), neighbour(text[start - 1 : start] if start else ""), neighbour(text[stop : stop + 1])
+
+
+def _logistic(features: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic classifier of soft targets, by Newton steps with a penalty on large weights."""
+    w = np.zeros(features.shape[1])
+    weight = weight / weight.sum()
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
+        slope = features.T @ (weight * (target - q)) - ridge * w
+        curve = (features * (weight * np.maximum(q * (1 - q), 1e-6))[:, None]).T @ features + ridge * np.eye(len(w))
+        step = np.linalg.solve(curve, slope)
+        w += step / max(1.0, np.abs(step).max() / 2)
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def estimate(patterns: dict[tuple, int], rounds: int = 50) -> dict[tuple, float]:
+    """The probability that spans with a pattern (kind, votes, features...) are real.
+
+    Expectation-maximisation over the counts of vote patterns: each labeler of a kind has the probabilities of its votes given
+    real and given not; spans start from the majority of votes. What it finds is the soft label of a logistic classifier of each kind
+    whose features are the votes, pairs of votes, and the span's form and neighbours; its output is the
+    probability. Votes alone give a pattern without features.
     """
-    result: dict[tuple[str, tuple[int, ...]], float] = {}
-    for kind in {k for k, _ in patterns}:
-        items = [(v, n) for (k, v), n in sorted(patterns.items()) if k == kind]
-        votes, counts = np.array([v for v, _ in items]), np.array([n for _, n in items], dtype=float)
+    result: dict[tuple, float] = {}
+    for kind in sorted({k[0] for k in patterns}):
+        items = sorted(((k[1], k[2:], n) for k, n in patterns.items() if k[0] == kind), key=str)
+        votes, counts = np.array([v for v, _, _ in items]), np.array([n for _, _, n in items], dtype=float)
         onehot = np.stack([votes == x for x in (-1, 0, 1)], axis=2).astype(float)
         p = np.clip(0.5 + votes.sum(axis=1) / (2.0 * votes.shape[1]), 0.05, 0.95)
         for _ in range(rounds):
@@ -159,53 +208,75 @@ def estimate(patterns: dict[tuple[str, tuple[int, ...]], int], rounds: int = 50)
             base = (w1.sum() + 2) / (counts.sum() + 4)
             odds = np.log(base / (1 - base)) + np.einsum("ijk,jk->i", onehot, np.log(given1) - np.log(given0))
             p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        features = np.concatenate([np.ones((len(votes), 1)), votes, np.abs(votes)], axis=1).astype(float)
-        weights, scale = np.zeros(features.shape[1]), counts / counts.sum()
-        for _ in range(400):
-            q = 1 / (1 + np.exp(-np.clip(features @ weights, -30, 30)))
-            weights += 4.0 * (features.T @ (scale * (p - q)) - 1e-4 * weights)
-        q = 1 / (1 + np.exp(-np.clip(features @ weights, -30, 30)))
-        for (v, _), a, b in zip(items, p, q):
-            result[kind, v] = float((a + b) / 2)
+        pairs = [votes[:, a] * votes[:, b] for a in range(votes.shape[1]) for b in range(a)]
+        known = sorted({(i, x) for _, f, _ in items for i, x in enumerate(f)})
+        traits = np.array([[float(f[i] == x) for i, x in known] for _, f, _ in items]).reshape(len(items), len(known))
+        features = np.concatenate([np.ones((len(items), 1)), votes, np.abs(votes), np.array(pairs, dtype=float).T.reshape(len(items), len(pairs)), traits], axis=1)
+        q = 1 / (1 + np.exp(-np.clip(features @ _logistic(features, p, counts), -30, 30)))
+        for (v, f, _), b in zip(items, q):
+            result[(kind, v, *f)] = float(b)
     return result
 
 
+def _name_hash(value: str) -> int:
+    return zlib.crc32(value.encode()) & ((1 << NAME_BITS) - 1)
+
+
 def pii_spans(df: DataFrame, doc_id: str, text: str, threshold: float = 0.5) -> DataFrame:
     """The personal values in a text column: doc_id, kind, start, stop, value, probability.
 
-    Every labeler votes on every proposed span over all whole texts. Names that several documents
-    have in a clear context form the gazetteer that votes on the rest. The counts of vote patterns, of which there
-    are few whatever the data, go to the driver, where expectation-maximisation estimates the labelers' reliabilities and the
-    final classifier is fitted. Of overlapping spans the more probable, then the longer one stays.
+    Every labeler votes on every proposed span over all whole texts, or abstains. Spans are proposed by patterns, and by the gazetteer: names that
+    stand in a clear context at least twice are learned, and a second scan proposes them wherever else they stand, by a filter of
+    bounded size and a join by name, however many there are. The counts of patterns of votes and features, of which there
+    is a bounded number whatever the data, go to the driver, where expectation-maximisation estimates the labelers' reliabilities and
+    trains the final classifier of spans. Of overlapping spans the more probable, then the longer one stays.
 
-    start and stop are code point offsets, and value is exactly text[start:stop]. Null and empty texts have no spans.
-    Repeated rows come out as often as they stand; repeated texts under two ids come out under both. Empty tables give none.
+    start and stop are code point offsets, and value is exactly text[start:stop]. Null and empty texts, and null ids, have no spans.
+    The spans of rows with the same id and text come out once; repeated texts under two ids come out under both. Empty tables give none.
     """
+    spark = df.sparkSession
     id_type = df.schema[doc_id].dataType.simpleString()
-    n = len(LABELERS)
+    votes, traits = [f"{x} int" for x in LABELERS], [f"{x} string" for x in FEATURES]
+    schema = f"i {id_type}, kind string, start int, stop int, value string, {', '.join(votes + traits)}"
+    columns = ["i", "kind", "start", "stop", "value", *LABELERS, *FEATURES]
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, k, a, b, t[a:b], *v, *described(t, k, a, b)) for i, t in zip(pdf["i"], pdf["t"]) if t for k, a, b, v in label_spans(t)]
+            yield pd.DataFrame(rows, columns=columns)
+
+    texts = spread(df.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).where("i is not null and t is not null"), "i")
+    raw = cut(texts.mapInPandas(label, schema))
+    learned = cut(raw.where("kind = 'name' and context = 1 and structure = 1").groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(F.col("value").alias("known")))
+    # At most 2^NAME_BITS numbers, whatever the names.
+    bits = np.zeros(1 << NAME_BITS, dtype=bool)
+    slots = learned.select((F.crc32(F.encode("known", "UTF-8")) % (1 << NAME_BITS)).cast("int").alias("h")).distinct().toArrow()
+    bits[slots["h"].to_numpy()] = True
+    shared = spark.sparkContext.broadcast(np.packbits(bits))
+
+    def bare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        inside = np.unpackbits(shared.value).view(bool)
         for pdf in batches:
             rows = []
             for i, t in zip(pdf["i"], pdf["t"]):
-                if t:
-                    rows += [(i, k, a, b, t[a:b], *v) for k, a, b, v in label_spans(t)]
-            yield pd.DataFrame(rows, columns=["i", "kind", "start", "stop", "value", *LABELERS])
-
-    votes = [f"{x} int" for x in LABELERS]
-    raw = cut(spread(df.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).where("t is not null"), "i").mapInPandas(label, f"i {id_type}, kind string, start int, stop int, value string, {', '.join(votes)}"))
-    clear = raw.where("kind = 'name' and context = 1 and structure = 1").groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    # Bounded by MAX_NAMES, hence broadcast.
-    names = F.broadcast(clear.orderBy(F.desc("n"), "value").limit(MAX_NAMES).select(F.col("value").alias("known")))
-    seen = raw.join(names, (F.col("kind") == "name") & (F.col("value") == F.col("known")), "left")
-    seen = seen.withColumn("gazetteer", F.when(F.col("known").isNotNull(), 1).otherwise(F.col("gazetteer"))).drop("known")
-    counted = seen.groupBy("kind", *LABELERS).agg(F.count(F.lit(1)).alias("n")).collect()
-    model = estimate({(r["kind"], tuple(r[x] for x in LABELERS)): r["n"] for r in counted})
-    rows = [(k, *v, p) for (k, v), p in sorted(model.items())]
-    table = df.sparkSession.createDataFrame(rows, f"kind string, {', '.join(votes)}, probability double") if rows else None
-    if table is None:
+                for m in _MAYBE_NAME.finditer(t) if t else ():
+                    a, whole = m.start(), m["h"] or m["l"]
+                    for value in {whole, whole[:-1]} if m["h"] else {whole}:
+                        if len(value) > 1 and inside[_name_hash(value)]:
+                            rows.append((i, "name", a, a + len(value), value, 0, 0, 1, 1 if _FOR["name"].search(t[max(0, a - 18) : a] + "\n" + t[a + len(value) : a + len(value) + 8]) else 0, 0, *described(t, "name", a, a + len(value))))
+            yield pd.DataFrame(rows, columns=columns)
+
+    found = texts.mapInPandas(bare, schema) if bits.any() else raw.limit(0)
+    proposed = found.join(learned, F.col("value") == F.col("known"), "left_semi").join(raw.select("i", "kind", "start", "stop").distinct(), ["i", "kind", "start", "stop"], "left_anti")
+    seen = raw.join(learned, (F.col("kind") == "name") & (F.col("value") == F.col("known")), "left").withColumn("gazetteer", F.when(F.col("known").isNotNull(), 1).otherwise(F.col("gazetteer"))).drop("known")
+    seen = cut(seen.unionByName(proposed.select(*columns)))
+    pattern = ["kind", *LABELERS, *FEATURES]
+    counted = seen.groupBy(*pattern).agg(F.count(F.lit(1)).alias("n")).collect()
+    model = estimate({(r["kind"], tuple(r[x] for x in LABELERS), *(r[x] for x in FEATURES)): r["n"] for r in counted})
+    if not model:
         return raw.select(F.col("i").alias(doc_id), "kind", "start", "stop", "value", F.lit(0.0).alias("probability"))
-    scored = seen.join(F.broadcast(table), ["kind", *LABELERS]).where(F.col("probability") >= threshold)
+    table = spark.createDataFrame([(k[0], *k[1], *k[2:], p) for k, p in sorted(model.items(), key=str)], f"kind string, {', '.join(votes + traits)}, probability double")
+    scored = seen.join(F.broadcast(table), pattern).where(F.col("probability") >= threshold)
 
     # Few spans stand in one document, so the overlaps are settled in an array of each document.
     spans = scored.groupBy("i").agg(F.array_sort(F.collect_set(F.struct((-F.col("probability")).alias("p"), (F.col("start") - F.col("stop")).alias("len"), "start", "stop", "kind", "value"))).alias("s"))
@@ -218,8 +289,9 @@ def redacted(df: DataFrame, doc_id: str, text: str, spans: DataFrame) -> DataFra
 
     doc_id must be unique. Nulls stay null; rows without spans stay unchanged.
     """
-    per = spans.groupBy(F.col(doc_id).alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kind"))).alias("__spans"))
-    joined = df.join(per, F.col(doc_id) == F.col("__id"), "left").drop("__id")
+    key, found = free_name("key", df), free_name("spans", df)
+    per = spans.groupBy(F.col(doc_id).alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kind"))).alias(found))
+    joined = df.join(per, F.col(doc_id) == F.col(key), "left").drop(key)
 
     def replace(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, lists in batches:
@@ -231,4 +303,4 @@ def redacted(df: DataFrame, doc_id: str, text: str, spans: DataFrame) -> DataFra
             yield pd.Series(out)
 
     clean = F.pandas_udf(replace, "string")
-    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(clean(F.col(text), F.col("__spans")))).drop("__spans")
+    return joined.withColumn(text, F.when(F.col(found).isNull(), F.col(text)).otherwise(clean(F.col(text), F.col(found)))).drop(found)

@@ -36,7 +36,8 @@ _SPACE = " \t　\xa0"
 _PAGE = re.compile(r"^[{0}]*(?:[-—–][{0}]*\d{{1,4}}[{0}]*[-—–]|\d{{1,4}}|第[{0}]*\d{{1,4}}[{0}]*页(?:[{0}]*[,，/]?[{0}]*共[{0}]*\d{{1,4}}[{0}]*页)?|(?:Page|PAGE|page|P\.?|p\.)[{0}]*\d{{1,4}}(?:[{0}]*(?:of|/)[{0}]*\d{{1,4}})?|\d{{1,4}}[{0}]*/[{0}]*\d{{1,4}}|[〔\[(（【][{0}]*\d{{1,4}}[{0}]*[〕\])）】])[{0}]*$".format(_SPACE))
 _DIVIDED = re.compile(rf"([A-Za-z]{{2,}})[-‐\xad¬][{_SPACE}]*\n[{_SPACE}]*([a-z]{{1,}})")
 _REPORT = r"(?:(?:19|20)\d{2})年?(?:度)?(?:半?年度报告|年度报告|年报)(?:全文|摘要|正文)?"
-_REPORT_ONLY = re.compile(rf"^{_REPORT}$")
+# How an English report names itself, with the year on either side.
+_ENGLISH_REPORT = re.compile(r"^(?:[A-Z][\w.&-]*(?: [A-Z&][\w.&-]*){0,7} )?(?:(?:19|20)\d{2} )?(?:(?:Semi-?|Half-?|Interim )?Annual|Interim|Half-Year|Quarterly|ANNUAL|INTERIM) (?:Report|REPORT)(?:[ ,/-]+(?:19|20)\d{2})?$")
 _TITLE_PAGE = re.compile(rf"(?:[.…·•_]{{2,}}[{_SPACE}]*\d{{1,4}}|[{_SPACE}]+[-—–]?[{_SPACE}]*\d{{1,4}}[{_SPACE}]*[-—–]?|[-—–][{_SPACE}]*\d{{1,4}}[{_SPACE}]*[-—–]|[{_SPACE}]*第[{_SPACE}]*\d{{1,4}}[{_SPACE}]*页(?:[{_SPACE}]*共[{_SPACE}]*\d{{1,4}}[{_SPACE}]*页)?|[{_SPACE}]*(?:Page|P\.)[{_SPACE}]*\d{{1,4}}(?:[{_SPACE}]*(?:of|/)[{_SPACE}]*\d{{1,4}})?|[{_SPACE}]*[〔\[(（【]\d{{1,4}}[〕\])）】]|(?<=[一-鿿])\d{{1,4}}(?:[{_SPACE}]*/[{_SPACE}]*\d{{1,4}})?)[{_SPACE}]*$")
 _MARKER = re.compile(r"^第[一二三四五六七八九十百\d]+[章节]")
 _TABLE = re.compile(r"\S[ \t]{2,}[-\d,.]+[ \t]{2,}|^单位：|□|√")
@@ -72,6 +73,9 @@ def is_running_header(line: str, before: str, names: list[str], chapter: str) ->
     """A line that is the company's name, the report's title, both, or the chapter's title with or without the name."""
     if len(line) > 200:  # no such line has more than 60 characters besides spaces
         return False
+    plain = " ".join(line.split())
+    if "EPORT" in plain.upper() and _ENGLISH_REPORT.match(plain) and re.search(r"\d{4}", plain):
+        return True
     s = _squeezed(line)
     if not s or len(s) > 60:
         return False

@@ -88,6 +88,27 @@ def test_estimation_finds_the_unreliable_labeler():
     assert p["phone", good] > 0.9 and p["phone", bad] < 0.5
 
 
+def test_forms_that_no_table_of_the_project_has():
+    proposed = lambda t: {(k, t[a:b]) for k, a, b, _ in pii.label_spans(t)}
+    assert ("name", "王小明") in proposed("昨日，王小明到会发言") and ("phone", "020 7946 0018") in proposed("Call 020 7946 0018 now")
+    assert ("name", "John Smith") in proposed("My name is John Smith") and ("name", "Anna Weiß") in proposed("Frau Anna Weiß, Tel. +49 30 1234567")
+
+
+def test_learned_names_are_found_where_they_stand_bare(spark):
+    clear = [(i, f"联系人：欧阳宛白，电话：0919-5550838{i}。Mr Alden Pellow signed.") for i in range(6)]
+    bare = [(90, "随后欧阳宛白与各方讨论了样品。"), (91, "Later on Alden Pellow left the room."), (92, "与会各方讨论了样品。")]
+    spans = pii.pii_spans(spark.createDataFrame(clear + bare, "doc long, text string"), "doc", "text")
+    got = {(r["doc"], r["value"]) for r in spans.collect() if r["doc"] >= 90}
+    assert got == {(90, "欧阳宛白"), (91, "Alden Pellow")}
+
+
+def test_classifier_learns_from_form_and_neighbours():
+    votes = (1, 0, 0, 0, 0)
+    patterns = {("phone", (1, 1, 0, 1, 0), "plain-11-", "colon", "mark"): 500, ("phone", (1, -1, 0, -1, -1), "plain-8-", "letter", "letter"): 500, ("phone", votes, "plain-11-", "colon", "mark"): 5, ("phone", votes, "plain-8-", "letter", "letter"): 5}
+    p = pii.estimate(patterns)
+    assert p["phone", votes, "plain-11-", "colon", "mark"] > p["phone", votes, "plain-8-", "letter", "letter"] + 0.05
+
+
 def test_names_after_a_colon_and_dotted_numbers_are_proposed():
     proposed = lambda t: {(k, t[a:b]) for k, a, b, _ in pii.label_spans(t)}
     assert proposed("Contact: Lina Sellick, tel. +1 (555) 010-0192") == {("name", "Lina Sellick"), ("phone", "+1 (555) 010-0192")}

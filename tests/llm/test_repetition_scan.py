@@ -123,6 +123,12 @@ def test_page_structure():
     assert scan_noise.page_structure(clean, NAMES, "")[1] == set()
 
 
+def test_headers_of_english_reports():
+    header = lambda x: scan_noise.is_running_header(x, "", NAMES, "")
+    assert all(header(x) for x in ("Company Annual Report 2025", "  Jitu Electronics Co. 2019 Annual Report", "ANNUAL REPORT 2020"))
+    assert not any(header(x) for x in ("The Annual Report 2025 was published in March.", "Annual Report", "see Annual Report 2020 for details"))
+
+
 def test_titles():
     t = lambda s: scan_noise.clean_title(s, NAMES)
     assert t("第四节 公司治理......180") == ("第四节 公司治理", {"page_number"}) and t("第四节 公司治理 - 6 -")[1] == {"page_number"} and t("第四节 公司治理 第24页")[1] == {"page_number"}
