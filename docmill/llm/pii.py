@@ -100,7 +100,7 @@ def label_spans(text: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
     corpus' own names are voted on later), context (words around that speak for the kind) and against (words
     before that speak for another kind of number).
     """
-    s = text.translate(_WIDE)
+    s = text.translate(_WIDE) if _HAS_WIDE.search(text) else text
     spans: dict[tuple[str, int, int], list[int]] = {}
 
     def add(kind: str, a: int, b: int, regex: int = 1, structure: int = 0, gazetteer: int = 0) -> None:
@@ -120,7 +120,7 @@ def label_spans(text: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
         for m in _PHONE.finditer(s):
             n = sum(c.isdigit() for c in m[0])
             add("phone", *m.span(), structure=1 if 7 <= n <= 15 else -1)
-        if "号" in s:
+        if _NUMBERED.search(s):
             for m in _ZH_ADDRESS.finditer(s):
                 a = m.start()
                 if lead := _LEAD.match(s[a : m.end()]):
@@ -130,7 +130,8 @@ def label_spans(text: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
                 add("address", a, m.end(), structure=1 if re.search("[市省区县]", places) else -1, gazetteer=1)
         for m in _EN_ADDRESS.finditer(s):
             add("address", *m.span(), structure=1 if "," in m[0] else -1, gazetteer=1)
-    for pattern in _ZH_NAMES if _CJK.search(s) else ():
+    near = _NAME_NEAR.search(s) is not None
+    for pattern in (_ZH_NAMES if near else _ZH_NAMES[:2]) if _CJK.search(s) else ():
         for m in pattern.finditer(s):
             add("name", *m.span("v"), structure=1 if len(m["v"]) <= 4 else -1, gazetteer=1)
     if _LATIN.search(s):
@@ -143,6 +144,8 @@ def label_spans(text: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
 _CJK = re.compile("[一-鿿]")
 _LATIN = re.compile("[A-Z][a-z]")
 _DIGITS = re.compile(r"\d")
+# What must stand somewhere in a text before its slower patterns are tried: wide forms, a numbered house, words after a name.
+_HAS_WIDE, _NUMBERED, _NAME_NEAR = re.compile("[０-９＋－（）＠．　／]"), re.compile(r"\d号"), re.compile(f"{TITLES}|签字|来信|致电|{_ZH_SPOKE}")
 #: What a name may look like wherever it stands; the learned names decide.
 _MAYBE_NAME = re.compile(f"(?=(?P<h>{_SURNAME}[一-鿿]{{1,2}}))|\\b(?P<l>{_WORD}(?: {_WORD}){{1,2}})")
 
@@ -245,8 +248,8 @@ def pii_spans(df: DataFrame, doc_id: str, text: str, threshold: float = 0.5) ->
             rows = [(i, k, a, b, t[a:b], *v, *described(t, k, a, b)) for i, t in zip(pdf["i"], pdf["t"]) if t for k, a, b, v in label_spans(t)]
             yield pd.DataFrame(rows, columns=columns)
 
-    texts = spread(df.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).where("i is not null and t is not null"), "i")
-    raw = cut(texts.mapInPandas(label, schema))
+    texts = df.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
+    raw = cut(spread(texts, "i").mapInPandas(label, schema))
     learned = cut(raw.where("kind = 'name' and context = 1 and structure = 1").groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(F.col("value").alias("known")))
     # At most 2^NAME_BITS numbers, whatever the names.
     bits = np.zeros(1 << NAME_BITS, dtype=bool)
