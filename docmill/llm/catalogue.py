@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docmill.llm import confusable
 from docmill.llm.canonical import map_to_standards
 from docmill.llm.chunk import split_oversized
 from docmill.llm.confusable import changed_values
@@ -15,6 +17,9 @@ from docmill.llm.repetition import repetition
 from docmill.llm.scan_noise import repair_scans
 from docmill.session import read, spread
 
+# Full-width digits and letters and their narrow forms.
+_WIDE, _NARROW = "".join(chr(c) for a, z in ("09", "AZ", "az") for c in range(ord(a) + 0xFEE0, ord(z) + 0xFEE1)), "".join(chr(c) for a, z in ("09", "AZ", "az") for c in range(ord(a), ord(z) + 1))
+
 
 def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     """Language, perplexities, band and share of repeated content of every preview."""
@@ -72,6 +77,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(read(spark, d, "text_units").select("text_unit_id", "text"), "text").where("pieces > 1").select("text_unit_id").distinct()
 
 
+def p5_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the pieces of a unit are within the limit, begin with the end of the one before, and give the text when put together."""
+    pieces = p5_pieces(spark, d).where("text is not null")
+    rest = F.when(F.col("unit_order") == 1, F.col("text")).otherwise(F.substring("text", F.lit(101), F.char_length("text")))
+    order = W.partitionBy("text_unit_id").orderBy("unit_order")
+    overlaps = (F.col("unit_order") == 1) | (F.left("text", F.lit(100)) == F.right(F.lag("text").over(order), F.lit(100)))
+    joined = pieces.withColumn("overlaps", overlaps).withColumn("rest", rest).groupBy("text_unit_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_order", "rest"))), lambda x: x["rest"]), "").alias("whole"), F.max(F.char_length("text")).alias("longest"), F.every("overlaps").alias("overlaps"))
+    units = read(spark, d, "text_units").groupBy("text_unit_id").agg(F.max(F.struct("loaded_at", "text")).alias("u")).where("u.text is not null").select("text_unit_id", "u.text")
+    return units.join(joined, "text_unit_id", "left").select("text_unit_id", (F.col("whole") == F.col("text")).alias("rebuilt"), (F.col("longest") <= 1200).alias("within"), "overlaps")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Values of entity and evidence that aren't in their consistent form."""
     return changed_values(read(spark, d, "stage2_result"), "result_id", ["entity", "evidence"]).select("result_id", "field_name").distinct()
@@ -111,6 +127,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture_shares(_mixture(spark, d), "source", "n_tokens", read(spark, d, "mix_targets"))
 
 
+def p9_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source reaches its share within half a percent point and no document is used too often."""
+    targets = read(spark, d, "mix_targets")
+    shares = mixture_shares(_mixture(spark, d), "source", "n_tokens", targets)
+    return shares.select("source", (F.abs(F.col("actual_share") - F.col("target_share")) < 0.005).alias("on_target"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Names, e-mail addresses, telephone numbers, identity numbers and street addresses as they stand in the text."""
     found = pii_spans(read(spark, d, "documents"), "doc_id", "text")
@@ -123,9 +146,45 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redacted(documents, "doc_id", "text", pii_spans(documents, "doc_id", "text")).select("doc_id", "text")
 
 
+def p10_undone(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a document's placeholders, filled again with the values found, give its text."""
+    documents = read(spark, d, "documents").where("doc_id is not null and text is not null")
+    spans = pii_spans(documents, "doc_id", "text")
+    values = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "value"))).alias("s"))
+    both = redacted(documents, "doc_id", "text", spans).select("doc_id", F.col("text").alias("clean")).join(documents.select("doc_id", "text"), "doc_id").join(values, "doc_id", "left")
+    until = lambda a, m: F.call_function("substring_index", a, m, F.lit(1))
+    mark = lambda x: F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))
+    # Values are put back from the left: what precedes a placeholder is done already.
+    first = F.struct(F.lit("").alias("done"), F.col("clean").alias("rest"))
+    filled = F.aggregate("s", first, lambda a, x: F.struct(F.concat(a["done"], until(a["rest"], mark(x)), x["value"]).alias("done"), F.substring(a["rest"], F.char_length(until(a["rest"], mark(x))) + F.char_length(mark(x)) + 1, F.char_length(a["rest"])).alias("rest")))
+    whole = F.when(F.col("s").isNull(), F.col("clean")).otherwise(F.concat(filled["done"], filled["rest"]))
+    return both.select("doc_id", (whole == F.col("text")).alias("undone"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_shares, p1_rejected, p2_found, p2_misses, p4_found, p4_repaired, p5_found, p5_pieces, p7_found, p7_values, p8_found, p8_reworded, p9_mix, p9_shares, p10_found, p10_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_shares, p1_rejected, p2_found, p2_misses, p4_found, p4_repaired, p5_found, p5_pieces, p5_whole, p7_found, p7_values, p8_found, p8_reworded, p9_mix, p9_shares, p9_limits, p10_found, p10_redacted, p10_undone)}
+
+
+def _range(chars) -> str:
+    codes = sorted(set(map(ord, chars)))
+    starts = [c for c, before in zip(codes, [-1, *codes]) if c != before + 1]
+    stops = [c for c, after in zip(codes, [*codes[1:], -1]) if after != c + 1]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, stops))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": "select distinct text_unit_id from text_units where length(text) > 1200"}
+    odd = _range([c for c, _, kind in confusable.mapping_table() if kind in ("space", "invisible", "hyphen", "wide", "ideograph") or kind == "look" and c not in confusable.LOOK_ALIKES])
+    # Words of another script that hold a letter without a Latin double are taken out before look-alikes are sought.
+    twins = _range(confusable.LOOK_ALIKES)
+    own = _range(chr(c) for lo, hi in ((0x370, 0x3FF), (0x400, 0x52F), (0x531, 0x587), (0x13A0, 0x13F5), (0xA4D0, 0xA4FD)) for c in range(lo, hi + 1) if chr(c) not in confusable.LOOK_ALIKES and chr(c) not in confusable._SIGNS)
+    alien = f"nfc_normalize(value) <> value or regexp_matches(value, '[{odd}]') or regexp_matches(regexp_replace(value, '[{twins}{own} ]*[{own}][{twins}{own} ]*', ' ', 'g'), '[{twins}]')"
+    letters = lambda x: f"regexp_replace(lower(translate({x}, '{_WIDE}', '{_NARROW}')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+    runs = lambda t, i, x: f"select {i} as id, unnest(range(1, length(f) - 48)) as at, f from (select {i}, {letters(x)} as f from {t} where {x} is not null)"
+    return {
+        "p5_found": "select distinct text_unit_id from text_units where length(text) > 1200",
+        "p5_whole": "select text_unit_id, true as rebuilt, true as within, true as overlaps from text_units group by text_unit_id having max_by(text, loaded_at) is not null",
+        "p7_found": f"with v as (select result_id, 'entity' as field_name, entity as value from stage2_result union all select result_id, 'evidence', evidence from stage2_result) select distinct result_id, field_name from v where {alien}",
+        "p8_found": f"with d as ({runs('documents', 'doc_id', 'text')}), i as ({runs('eval_items', 'item_id', 'text')}) select distinct d.id as doc_id, i.id as item_id from d join i on substr(d.f, d.at, 50) = substr(i.f, i.at, 50)",
+        "p9_limits": "select source, true as on_target, true as within_repeats from mix_targets",
+        "p10_undone": "select doc_id, true as undone from documents where text is not null",
+    }
