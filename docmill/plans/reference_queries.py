@@ -101,6 +101,22 @@ def packed_units(spark, d):
     return docs.select("doc_id", F.posexplode("u").alias("unit_no", "unit"))
 
 
+def packed_units_whole(spark, d):
+    """Whether a document's units hold all of its text but white space, none is empty, and none is over what a unit may grow to."""
+    settings = cleaner.UnitSettings()
+    docs = read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("*", cleaner.chunk_text(F.col("text"), settings).alias("u"))
+    whole = N.compact(F.array_join("u", "")) == N.compact(N.nfkc(F.col("text")))
+    return docs.select("doc_id", whole.alias("whole"), F.forall("u", lambda x: F.char_length(x).between(1, settings.overflow)).alias("in_bounds"))
+
+
+def report_units_numbered(spark, d):
+    """Whether the units of a report are numbered from 1 without a gap, under ids of their own."""
+    u = report_units(spark, d)
+    per = u.groupBy(F.col("source_file").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"), F.min("unit_order").alias("first"), F.max("unit_order").alias("last"), F.count_distinct("text_unit_id").alias("ids"), F.min(F.char_length("text")).alias("least"))
+    docs = read(spark, d, "documents").select("doc_id").distinct().join(per, "doc_id", "left")
+    return docs.select("doc_id", F.coalesce((F.col("first") == 1) & (F.col("last") == F.col("n")) & (F.col("ids") == F.col("n")) & (F.col("least") > 0), F.lit(True)).alias("numbered"))
+
+
 def report_units(spark, d):
     """All documents as reports: chapters, cleaning and text units; those without a stock_code have ids that begin with NA."""
     reports = read(spark, d, "documents").select("stock_code", F.col("source").alias("company_name"), F.year("published_at").cast("string").alias("year"), F.col("doc_id").cast("string").alias("source_file"), "text")
@@ -112,6 +128,12 @@ def noise_audit(spark, d):
     return cleaner.noise_audit(_units(spark, d))
 
 
+def noise_audit_lengths(spark, d):
+    """Scores, lengths and previews of the dry run, and whether the clean-up only removes."""
+    a = cleaner.noise_audit(_units(spark, d))
+    return a.select("text_unit_id", "table_noise_score", "raw_text_len", "raw_preview", (F.col("filtered_text_len") <= F.col("raw_text_len") + 1).alias("shorter"), F.col("removed_ratio").between(0, 1).alias("in_range"))
+
+
 def screening_normalised(spark, d):
     raw = F.to_json(F.struct("relevance", "confidence_score", "reason"))
     r = replies.screening_reply(raw)
@@ -173,6 +195,18 @@ def reply_outcomes(spark, d):
     return r.select("audit_id", "r.method", F.coalesce(F.size("r.items"), F.lit(-1)).alias("n_items"), F.array_join("r.errors", "; ").alias("errors"), F.array_join("r.actions", ",").alias("actions"))
 
 
+def reply_strict(spark, d):
+    """Whether every audited reply is one whole object by the rules, and how many items it has."""
+    r = read(spark, d, "recovery_audit").select("audit_id", replies.strict_reply(F.col("raw_response_preview")).alias("r"))
+    return r.select("audit_id", (F.col("r.method") == "strict").alias("strict"), F.when(F.col("r.method") == "strict", F.size("r.items")).alias("n_items"))
+
+
+def reply_char_repeats(spark, d):
+    """Whether one ideograph stands 30 times in a row in a reply."""
+    flags = replies.degeneration_flags(F.col("raw_response_preview"))
+    return read(spark, d, "recovery_audit").select("audit_id", F.array_contains(flags, "single_char_repeat").alias("repeats"))
+
+
 def reply_degeneration(spark, d):
     return read(spark, d, "recovery_audit").select("audit_id", F.array_join(replies.degeneration_flags(F.col("raw_response_preview")), ",").alias("flags"))
 
@@ -276,8 +310,8 @@ def event_asof(spark, d):
 
 
 _QUERIES = (
-    unit_lines, stock_codes, standard_codes, report_years, tolerant_bools, line_flags, line_scores, noise_scores, dropped_lines, table_blocks, anchored_lines, keyword_flags, keyword_terms, anchor_flags, fixed_slices, packed_units, report_units, noise_audit,
-    screening_normalised, screening_rescued, screening_once, screening_resumed, routed_units, reply_items, reply_outcomes, reply_degeneration, reply_audit, grounded_results, failure_rows, extraction_status, pending_units, seeded_results, seeded_missing,
+    unit_lines, stock_codes, standard_codes, report_years, tolerant_bools, line_flags, line_scores, noise_scores, dropped_lines, table_blocks, anchored_lines, keyword_flags, keyword_terms, anchor_flags, fixed_slices, packed_units, packed_units_whole, report_units, report_units_numbered, noise_audit, noise_audit_lengths,
+    screening_normalised, screening_rescued, screening_once, screening_resumed, routed_units, reply_items, reply_outcomes, reply_degeneration, reply_strict, reply_char_repeats, reply_audit, grounded_results, failure_rows, extraction_status, pending_units, seeded_results, seeded_missing,
     mapped_entities, firm_years, compared_methods, run_counts, sampled_units, text_lengths, reviewed_results, recovery_check, duplicate_contents, event_asof,
 )
 

