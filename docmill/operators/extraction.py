@@ -126,7 +126,7 @@ def extract_units(units: DataFrame, system: str, provider: Provider, done: DataF
         failed, looping = asked.where("items is null"), F.size("flags") > 0
         again = (looping & F.lit(recovery.retry_on_repetition)) | (~looping & F.lit(recovery.retry_on_parse_failure))
         given_up = failed if attempt == attempts else failed.where(~again)
-        records = failure_records(given_up, "stage2", type(provider).__name__, attempt)
+        records = failure_records(given_up, "stage2", type(provider).__name__, attempts)
         failures = records if failures is None else failures.unionByName(records)
         open_ = failed.where(again).select(*open_.columns).withColumn("prompt", F.concat("prompt", F.lit(RETRY_SUFFIX if attempt == 1 else "")))
     return results, failures, audit

@@ -29,6 +29,11 @@ def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 42
     return first.withColumn("_n", F.row_number().over(far)).where(F.col("_n") <= n).drop("_n", "_rank", "_part")
 
 
+def sample_reports(reports: DataFrame, n: int, codes: str | None = None, seed: int = 42) -> DataFrame:
+    """n report files of each year, of the given stock codes only if there are any; the draw goes by the file's name."""
+    return sample_per_group(with_codes(reports, codes), "year", "source_file", n, seed)
+
+
 def length_summary(df: DataFrame, text: str, short: int = 1000) -> DataFrame:
     """One row: texts, those under ``short``, and the median, least and greatest length."""
     n = F.char_length(text)
@@ -75,6 +80,14 @@ def recovery_report(before: DataFrame, after: DataFrame) -> DataFrame:
     return ids.join(F.broadcast(changed), F.lit(True)).join(F.broadcast(repeated), F.lit(True))  # one row each
 
 
+def recovery_units(before: DataFrame, after: DataFrame) -> DataFrame:
+    """text_unit_id and what became of it between two runs: lost, new or changed; unchanged units have no row."""
+    a, b = completed_ids(before), completed_ids(after)
+    x, y = unit_digests(before.join(a, "text_unit_id", "left_semi")), unit_digests(after.join(b, "text_unit_id", "left_semi")).withColumnRenamed("digest", "d2")
+    kind = F.when(F.col("d2").isNull(), "lost").when(F.col("digest").isNull(), "new").when(F.col("digest") != F.col("d2"), "changed")
+    return x.join(y, "text_unit_id", "full_outer").select("text_unit_id", kind.alias("kind")).where("kind is not null")
+
+
 def duplicate_rows(results: DataFrame) -> DataFrame:
     """Contents that stand more than once in a unit, with how often."""
     keys = ["text_unit_id", "entity", "type", "evidence"]

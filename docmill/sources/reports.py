@@ -59,6 +59,13 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return named.where("m is not null").select("m.*", "source_file", decoded(F.col("content")).alias("text"))
 
 
+def list_reports(spark: SparkSession, root: str) -> DataFrame:
+    """path, source_file, stock_code, company_name and year of all .txt reports below a folder; texts aren't read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,TXT}").option("recursiveFileLookup", "true").load(root).select("path")
+    named = files.withColumn("source_file", F.url_decode(F.element_at(F.split("path", "/"), -1))).withColumn("m", file_parts(F.col("source_file")))
+    return named.where("m is not null").select("path", "source_file", "m.*")
+
+
 def read_terms(spark: SparkSession, path: str) -> list[str]:
     """Terms of a file with one a line, longest first; blank lines and lines with # are left out. An error if none is left.
 

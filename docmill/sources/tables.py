@@ -33,9 +33,12 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     return spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=True, encoding="UTF-8", enforceSchema=True)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV files with a header, minimal quoting and doubled quotes; arrays joined by ;."""
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", mark: bool = True) -> None:
+    """A folder of CSV files with a header, minimal quoting and doubled quotes; arrays joined by ;. With ``mark`` every file begins with a
+    byte order mark, as spreadsheets want."""
     flat = df.select(*[F.array_join(F.col(f"`{n}`").cast("array<string>"), ";").alias(n) if t.startswith("array") else F.col(f"`{n}`") for n, t in df.dtypes])
+    if mark and flat.columns:
+        flat = flat.withColumnRenamed(flat.columns[0], "\ufeff" + flat.columns[0])
     flat.write.mode(mode).csv(path, header=True, escape='"', emptyValue="", encoding="UTF-8")
 
 
