@@ -62,6 +62,7 @@ class DeleteIndex:
     query_deletes: int
     by_key: dict[str, list[int]]
     terms: list[tuple[str, str, int]]
+    longest: int
 
     @classmethod
     def of(cls, terms: list[tuple[str, str, int]], most: int, query_deletes: int) -> DeleteIndex:
@@ -70,11 +71,11 @@ class DeleteIndex:
         for i, (term, _, _) in enumerate(terms):
             for key in deletes(term, most):
                 by_key[key].append(i)
-        return cls(most, query_deletes, dict(by_key), terms)
+        return cls(most, query_deletes, dict(by_key), terms, max((len(t) for t, _, _ in terms), default=0))
 
     def find(self, query: str) -> list[tuple[int, float, int, str]]:
         """(edits, weight, -frequency, code) of every term within ``most`` edits, best first."""
-        if not query:
+        if not query or len(query) > self.longest + self.most:  # no term is near a query so long
             return []
         hits = {i for key in deletes(query, self.query_deletes) for i in self.by_key.get(key, ())}
         ranked = []
@@ -208,7 +209,7 @@ def _mapped(df: DataFrame, value: str, terms: DataFrame, fields: tuple[Field, ..
 
     listed = cut(terms.mapInPandas(spelled, "f string, term string, code string, n long").groupBy("f", "term", "code").agg(F.sum("n").alias("n")))
     size, most = F.char_length("term"), F.when(F.col("f") == fields[0].by, fields[0].most).otherwise(fields[-1].most)
-    n_keys = listed.agg(F.coalesce(F.sum(1 + size + F.when(most > 1, size * (size - 1) / 2).otherwise(0)), F.lit(0))).head()[0]
+    n_keys, longest = listed.agg(F.coalesce(F.sum(1 + size + F.when(most > 1, size * (size - 1) / 2).otherwise(0)), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).head()
     if n_keys <= most_keys:
         rows: dict[str, list] = defaultdict(list)
         for r in listed.collect():
@@ -234,7 +235,7 @@ def _mapped(df: DataFrame, value: str, terms: DataFrame, fields: tuple[Field, ..
     def keyed_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for k in range(0, len(pdf), 500):
-                yield pd.DataFrame([(f, key, v, q) for v in pdf["v"].iloc[k : k + 500] for f, q in queries_of(v) for key in deletes(q, 0 if rule[f].lacking else rule[f].most)], columns=["f", "k", "v", "q"])
+                yield pd.DataFrame([(f, key, v, q) for v in pdf["v"].iloc[k : k + 500] for f, q in queries_of(v) if len(q) <= longest + rule[f].most for key in deletes(q, 0 if rule[f].lacking else rule[f].most)], columns=["f", "k", "v", "q"])
 
     def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
