@@ -13,7 +13,7 @@ from docmill.llm.confusable import changed_values
 from docmill.llm.leak import leaked_items
 from docmill.llm.mixing import mix_sources, mixture_shares, token_counts
 from docmill.llm.pii import pii_spans, redacted
-from docmill.llm.repetition import repetition
+from docmill.llm.repetition import FRAME, repetition
 from docmill.llm.scan_noise import repair_scans
 from docmill.session import read, spread
 
@@ -23,18 +23,18 @@ _WIDE, _NARROW = "".join(chr(c) for a, z in ("09", "AZ", "az") for c in range(or
 
 def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     """Language, perplexities, band and share of repeated content of every preview."""
-    return repetition(read(spark, d, "recovery_audit"), "audit_id", "raw_response_preview").select("audit_id", "lang", "n_chars", "band", "repeated_share")
+    return repetition(read(spark, d, "recovery_audit"), "audit_id", "raw_response_preview", FRAME).select("audit_id", "lang", "n_chars", "band", "repeated_share")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Entries that a perplexity band of their language rejects and that are mostly repeated text by the exact share."""
-    measured = repetition(read(spark, d, "recovery_audit"), "audit_id", "raw_response_preview")
+    measured = repetition(read(spark, d, "recovery_audit"), "audit_id", "raw_response_preview", FRAME)
     return measured.where("band in ('low', 'high') and repeated_share > 0.5").select("audit_id").distinct()
 
 
 def p1_rejected(spark: SparkSession, d: str) -> DataFrame:
     """Entries that the lower or the upper band of their language rejects."""
-    return repetition(read(spark, d, "recovery_audit"), "audit_id", "raw_response_preview").where("band in ('low', 'high')").select("audit_id", "lang", "band")
+    return repetition(read(spark, d, "recovery_audit"), "audit_id", "raw_response_preview", FRAME).where("band in ('low', 'high')").select("audit_id", "lang", "band")
 
 
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
@@ -178,12 +178,21 @@ def oracle_sql() -> dict[str, str]:
     twins = _range(confusable.LOOK_ALIKES)
     own = _range(chr(c) for lo, hi in ((0x370, 0x3FF), (0x400, 0x52F), (0x531, 0x587), (0x13A0, 0x13F5), (0xA4D0, 0xA4FD)) for c in range(lo, hi + 1) if chr(c) not in confusable.LOOK_ALIKES and chr(c) not in confusable._SIGNS)
     alien = f"nfc_normalize(value) <> value or regexp_matches(value, '[{odd}]') or regexp_matches(regexp_replace(value, '[{twins}{own} ]*[{own}][{twins}{own} ]*', ' ', 'g'), '[{twins}]')"
+    single = [(c, to, kind) for c, to, kind in confusable.mapping_table() if kind in ("space", "hyphen", "wide", "ideograph", "look") and len(to) == 1]
+    quoted = lambda x: x.replace("'", "''")
+    gone = "".join(confusable.INVISIBLE)
+    # Characters to drop come last, where nothing stands for them.
+    plain = lambda kinds: f"nfc_normalize(translate(value, '{quoted(''.join(c for c, _, k in single if k in kinds) + gone)}', '{quoted(''.join(to for _, to, k in single if k in kinds))}'))"
+    genuine = f"regexp_matches(value, '[{twins}{own} ]*[{own}][{twins}{own} ]*')"
+    form = f"case when {genuine} then {plain(('space', 'hyphen', 'wide', 'ideograph'))} else {plain(('space', 'hyphen', 'wide', 'ideograph', 'look'))} end"
+    values = "v as (select result_id, 'entity' as field_name, entity as value from stage2_result union all select result_id, 'evidence', evidence from stage2_result)"
     letters = lambda x: f"regexp_replace(lower(translate({x}, '{_WIDE}', '{_NARROW}')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
     runs = lambda t, i, x: f"select {i} as id, unnest(range(1, length(f) - 48)) as at, f from (select {i}, {letters(x)} as f from {t} where {x} is not null)"
     return {
         "p5_found": "select distinct text_unit_id from text_units where length(text) > 1200",
         "p5_whole": "select text_unit_id, true as rebuilt, true as within, true as overlaps from text_units group by text_unit_id having max_by(text, loaded_at) is not null",
-        "p7_found": f"with v as (select result_id, 'entity' as field_name, entity as value from stage2_result union all select result_id, 'evidence', evidence from stage2_result) select distinct result_id, field_name from v where {alien}",
+        "p7_found": f"with {values} select distinct result_id, field_name from v where {alien}",
+        "p7_values": f"with {values}, f as (select *, {form} as form from v) select result_id, field_name, value, form from f where form <> value",
         "p8_found": f"with d as ({runs('documents', 'doc_id', 'text')}), i as ({runs('eval_items', 'item_id', 'text')}) select distinct d.id as doc_id, i.id as item_id from d join i on substr(d.f, d.at, 50) = substr(i.f, i.at, 50)",
         "p9_limits": "select source, true as on_target, true as within_repeats from mix_targets",
         "p10_undone": "select doc_id, true as undone from documents where text is not null",

@@ -194,7 +194,7 @@ def foreseen(contents: list[tuple[np.ndarray, np.ndarray]], row: np.ndarray, at:
     return p, known
 
 
-def repetition(df: DataFrame, row_id: str, text: str, frame: re.Pattern | None = FRAME) -> DataFrame:
+def repetition(df: DataFrame, row_id: str, text: str, frame: re.Pattern | None = None) -> DataFrame:
     """(row_id, lang, n_chars, log_ppl, memory_log_ppl, lower, upper, band, repeated_share) of every text.
 
     Spark counts the character n-grams of all texts and fits a modified Kneser-Ney model of each language. The most frequent n-grams
@@ -204,7 +204,7 @@ def repetition(df: DataFrame, row_id: str, text: str, frame: re.Pattern | None =
     Bands of each language follow from all its texts, from the surprise of those characters that their own document's
     memory didn't foresee, as loops would pull down the rest: band is ``low`` (loops) if memory_log_ppl is under ``LOWER``
     times the upper quartile, ``high`` (garbage) if log_ppl is over ``UPPER`` times it, else ``ok``.
-    ``repeated_share`` is measured exactly on every text, of any length.
+    ``repeated_share`` is measured exactly on every text, of any length. What ``frame`` matches (such as FRAME, the frame of a JSON reply) isn't content.
 
     Null and empty texts, and texts without content, have the band ok and the share 0. Repeated rows come out as often as they
     stand. An empty table gives no rows. Other columns are ignored.

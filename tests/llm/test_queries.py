@@ -8,13 +8,18 @@ COLUMNS = {
     "p7_found": ["result_id", "field_name"], "p8_found": ["doc_id", "item_id"], "p10_found": ["doc_id", "pii_kind", "pii_value"],
 }
 
+#: The smallest tables hold no item with other figures.
+MAY_BE_EMPTY = {"p8_reworded"}
+
 
 @pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query_runs(spark, name):
     df = catalogue.queries()[name](spark, oracle.DATA)
     assert df.columns == COLUMNS.get(name, df.columns)
     n = df.count()
-    assert n == df.distinct().count() if name in COLUMNS else n >= 0
+    assert n > 0 or name in MAY_BE_EMPTY
+    if name in COLUMNS:
+        assert n == df.distinct().count()
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))

@@ -65,7 +65,7 @@ def test_languages():
 def test_rare_grams_are_joined_with_the_same_result(spark, monkeypatch):
     rows = [(i, _reply(NORMAL[i % 4] + NORMAL[(i + 1) % 4] * (1 + i % 3 * 4) + "字" * (i % 5))) for i in range(40)] + [(3, _reply(NORMAL[3] + NORMAL[0] * 5)), (90, None), (91, "")]
     df = spark.createDataFrame(rows, "audit long, p string")
-    run = lambda: sorted((r["audit"], r["lang"], round(r["log_ppl"], 4), round(r["memory_log_ppl"], 4), r["band"], round(r["repeated_share"], 4)) for r in repetition.repetition(df, "audit", "p").collect())
+    run = lambda: sorted((r["audit"], r["lang"], round(r["log_ppl"], 4), round(r["memory_log_ppl"], 4), r["band"], round(r["repeated_share"], 4)) for r in repetition.repetition(df, "audit", "p", repetition.FRAME).collect())
     whole = run()
     monkeypatch.setattr(ngram, "BROADCAST_ENTRIES", 30)
     assert run() == whole and len(whole) == len(rows)
@@ -75,11 +75,11 @@ def test_bands_find_loops(spark):
     normal = [(i, _reply(NORMAL[i % 4] + NORMAL[(i // 4) % 4] * (i % 4 != (i // 4) % 4) + NORMAL[(i // 16) % 4] * (i // 16 % 4 not in (i % 4, i // 4 % 4)) + "编号" + "甲乙丙丁戊己庚辛"[i % 8] + "完成全部整改工作并归档备查，后续安排另行通知。")) for i in range(120)]
     loops = [(500 + i, _reply(NORMAL[i % 4] + NORMAL[(i + 1) % 4] * 15)) for i in range(20)]
     df = spark.createDataFrame(normal + loops + [(900, None), (901, "")], "audit long, p string").withColumn("i", F.lit(1)).withColumn("lang", F.lit("x"))
-    got = {r["audit"]: r for r in repetition.repetition(df, "audit", "p").collect()}
+    got = {r["audit"]: r for r in repetition.repetition(df, "audit", "p", repetition.FRAME).collect()}
     assert len(got) == 142 and got[900]["band"] == got[901]["band"] == "ok"
     assert all(got[i]["band"] == "low" and got[i]["repeated_share"] > 0.5 for i, _ in loops)
     assert all(got[i]["repeated_share"] < 0.5 for i, _ in normal)
-    assert repetition.repetition(df.limit(0), "audit", "p").count() == 0
+    assert repetition.repetition(df.limit(0), "audit", "p", repetition.FRAME).count() == 0
 
 
 def test_loops_with_changed_marks_and_few_copies_are_found(spark, tmp_path):
@@ -92,7 +92,7 @@ def test_loops_with_changed_marks_and_few_copies_are_found(spark, tmp_path):
     df.write.parquet(str(tmp_path / "recovery_audit.parquet"))
     got = {r["audit_id"] for r in catalogue.p1_found(spark, str(tmp_path)).collect()}
     assert got == {i for i, _ in changed + few}
-    measured = {r["i"]: r["band"] for r in repetition.repetition(df.withColumnRenamed("audit_id", "i"), "i", "raw_response_preview").collect()}
+    measured = {r["i"]: r["band"] for r in repetition.repetition(df.withColumnRenamed("audit_id", "i"), "i", "raw_response_preview", repetition.FRAME).collect()}
     assert all(measured[i] == "low" for i, _ in changed)
 
 
