@@ -12,6 +12,7 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docmill.operators import cleaner, extraction, indicators, keywords, mapping, screening
 from docmill.operators.indicators import DUMMY, described, method_counts
@@ -147,7 +148,7 @@ def _whole(spark: SparkSession, a: argparse.Namespace, s: Settings) -> None:
     out = here(a.command) + ("-new" if a.resume else "")
     write_run(run, out)
     written = read_run(spark, out)
-    counts = written.manifest().crossJoin(method_counts(a.command, written.tables["routed"], written.tables["screening"]))  # one row each
+    counts = written.manifest().join(F.broadcast(method_counts(a.command, written.tables["routed"], written.tables["screening"])), F.lit(True))  # one row each
     names = {"stage1": getattr(models.screen, "model", type(models.screen).__name__), "stage2": getattr(models.extract, "model", type(models.extract).__name__)}
     described(counts, a.command, a.year, {"reports": a.reports or "", "terms": a.terms or "", "dictionary": a.dictionary, "settings": a.settings or ""}, {"run": out}, names, prompt_stage1=a.screen_prompt, prompt_stage2=a.extract_prompt).write.mode("overwrite").json(f"{out}/manifest")
 
