@@ -105,13 +105,15 @@ def _grouped(hashes: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray
     return (packed_ & low).astype(np.int64), packed_ & ~low
 
 
-def _covered(codes: np.ndarray, length: int) -> np.ndarray:
-    """Which characters lie in a window that stands earlier too."""
-    h = windows(codes, length)
-    if not len(h):
+def _covered(codes: np.ndarray, length: int, where: np.ndarray | None = None) -> np.ndarray:
+    """Which characters lie in a window that stands earlier too; ``where`` gives the beginnings of the windows that count."""
+    if len(codes) < length or where is not None and not len(where):
         return np.zeros(len(codes), dtype=bool)
-    order, s = _grouped(h, 12)
+    h = windows(codes, length)
+    order, s = _grouped(h if where is None else h[where], 12)
     again = order[1:][s[1:] == s[:-1]]
+    if where is not None:
+        again = where[again]
     n = len(codes) + 1
     return np.cumsum(np.bincount(again, minlength=n)[:n] - np.bincount(again + length, minlength=n)[:n])[:-1] > 0
 
@@ -136,8 +138,9 @@ def share_of(codes: np.ndarray, kind: np.ndarray, span: int = SPAN) -> float:
         before = np.searchsorted(letters, np.arange(len(codes)), "right") - 1
         after = np.minimum(before + 1, len(letters) - 1)
         hit |= (kind == 0) & (before >= 0) & hit[letters[np.maximum(before, 0)]] & hit[letters[after]]
-    # Only stretches without letters: what holds letters has been judged on the letters.
-    hit |= (kind == 0) & _covered(codes, span)
+    # Only windows without letters: what holds letters has been judged on the letters.
+    before = np.concatenate([[0], np.cumsum(kind, dtype=np.int64)])
+    hit |= _covered(codes, span, np.flatnonzero(before[span:] == before[:-span]) if len(codes) >= span else None)
     return float(hit.mean())
 
 
