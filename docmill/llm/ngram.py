@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -121,12 +122,12 @@ def fit(grams: DataFrame) -> list[DataFrame]:
         suffix = F.col("gram").bitwiseAND(F.lit((1 << (_BITS * n)) - 1))
         orders.insert(0, cut(orders[0].groupBy("lang", suffix.alias("gram")).agg(F.count(F.lit(1)).alias("n"))))
     tables: list[DataFrame] = []
+    # At most five rows a language and order.
+    of_counts: dict[int, dict[str, dict[int, int]]] = {n: {} for n in range(1, ORDER + 1)}
+    for r in reduce(DataFrame.unionByName, [t.groupBy("lang", F.least("n", F.lit(5)).alias("k")).agg(F.count(F.lit(1)).alias("c")).withColumn("o", F.lit(n)) for n, t in enumerate(orders, 1)]).collect():
+        of_counts[r["o"]].setdefault(r["lang"], {})[r["k"]] = r["c"]
     for n, table in enumerate(orders, 1):
-        # At most five rows a language.
-        of_counts: dict[str, dict[int, int]] = {}
-        for r in table.groupBy("lang", F.least("n", F.lit(5)).alias("k")).agg(F.count(F.lit(1)).alias("c")).collect():
-            of_counts.setdefault(r["lang"], {})[r["k"]] = r["c"]
-        rows = [(lang, *discounts(*(c.get(k, 0) for k in (1, 2, 3, 4))), 1.0 / (sum(c.values()) + 1)) for lang, c in sorted(of_counts.items())]
+        rows = [(lang, *discounts(*(c.get(k, 0) for k in (1, 2, 3, 4))), 1.0 / (sum(c.values()) + 1)) for lang, c in sorted(of_counts[n].items())]
         steps = F.broadcast(table.sparkSession.createDataFrame(rows, "lang string, d1 double, d2 double, d3 double, even double"))
         own = table.join(steps, "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))).withColumn("h", F.shiftrightunsigned("gram", _BITS))
         totals = own.groupBy("lang", "h").agg(F.sum("n").alias("total"), F.sum("d").alias("lost"))
@@ -141,11 +142,12 @@ def fit(grams: DataFrame) -> list[DataFrame]:
 
 def arrays(tables: list[DataFrame], most: int | None = None) -> dict[str, KneserNey] | None:
     """The model of each language in sorted arrays, or null if it has too many entries to be broadcast."""
-    if sum(t.count() for t in tables) > (BROADCAST_ENTRIES if most is None else most):
+    sizes = reduce(DataFrame.unionByName, [t.groupBy("lang").agg(F.count(F.lit(1)).alias("n")) for t in tables]).groupBy("lang").agg(F.sum("n").alias("n")).collect()  # a row a language
+    if sum(r["n"] for r in sizes) > (BROADCAST_ENTRIES if most is None else most):
         return None
     models: dict[str, KneserNey] = {}
     for table in tables:
-        for lang in sorted(r["lang"] for r in table.select("lang").distinct().collect()):
+        for lang in sorted(r["lang"] for r in sizes):
             # One language and order at a time is all that the driver holds beside the models.
             rows = table.where(F.col("lang") == lang).select("gram", F.col("p").cast("float"), F.col("left").cast("float")).toArrow()
             keys = rows["gram"].to_numpy().view(np.uint64)
