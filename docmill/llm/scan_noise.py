@@ -34,14 +34,14 @@ KINDS = ("hyphen_break", "ocr_char", "running_header", "page_number")
 
 _SPACE = " \t　\xa0"
 _PAGE = re.compile(r"^[{0}]*(?:[-—–][{0}]*\d{{1,4}}[{0}]*[-—–]|\d{{1,4}}|第[{0}]*\d{{1,4}}[{0}]*页(?:[{0}]*[,，/]?[{0}]*共[{0}]*\d{{1,4}}[{0}]*页)?|(?:Page|PAGE|page|P\.?|p\.)[{0}]*\d{{1,4}}(?:[{0}]*(?:of|/)[{0}]*\d{{1,4}})?|\d{{1,4}}[{0}]*/[{0}]*\d{{1,4}}|[〔\[(（【][{0}]*\d{{1,4}}[{0}]*[〕\])）】])[{0}]*$".format(_SPACE))
-_DIVIDED = re.compile(rf"([A-Za-z]{{2,}})[-‐\xad¬][{_SPACE}]*\n[{_SPACE}]*([a-z]{{1,}})")
+_DIVIDED = re.compile(rf"([A-Za-z]{{2,}})[-‐\xad¬][{_SPACE}]*\n[{_SPACE}]*([a-z]++)(?!-)")
 _REPORT = r"(?:(?:19|20)\d{2})年?(?:度)?(?:半?年度报告|年度报告|年报)(?:全文|摘要|正文)?"
 # How an English report names itself, with the year on either side.
 _ENGLISH_REPORT = re.compile(r"^(?:[A-Z][\w.&-]*(?: [A-Z&][\w.&-]*){0,7} )?(?:(?:19|20)\d{2} )?(?:(?:Semi-?|Half-?|Interim )?Annual|Interim|Half-Year|Quarterly|ANNUAL|INTERIM) (?:Report|REPORT)(?:[ ,/-]+(?:19|20)\d{2})?$")
 _TITLE_PAGE = re.compile(rf"(?:[.…·•_]{{2,}}[{_SPACE}]*\d{{1,4}}|[{_SPACE}]+[-—–]?[{_SPACE}]*\d{{1,4}}[{_SPACE}]*[-—–]?|[-—–][{_SPACE}]*\d{{1,4}}[{_SPACE}]*[-—–]|[{_SPACE}]*第[{_SPACE}]*\d{{1,4}}[{_SPACE}]*页(?:[{_SPACE}]*共[{_SPACE}]*\d{{1,4}}[{_SPACE}]*页)?|[{_SPACE}]*(?:Page|P\.)[{_SPACE}]*\d{{1,4}}(?:[{_SPACE}]*(?:of|/)[{_SPACE}]*\d{{1,4}})?|[{_SPACE}]*[〔\[(（【]\d{{1,4}}[〕\])）】]|(?<=[一-鿿])\d{{1,4}}(?:[{_SPACE}]*/[{_SPACE}]*\d{{1,4}})?)[{_SPACE}]*$")
 _MARKER = re.compile(r"^第[一二三四五六七八九十百\d]+[章节]")
 _TABLE = re.compile(r"\S[ \t]{2,}[-\d,.]+[ \t]{2,}|^单位：|□|√")
-_ENDS = re.compile(r"[。！？；!?;：:.][”’」』）)\"']*$")
+_STOPS, _CLOSERS = tuple("。！？；!?;：:."), "”’」』）)\"'"
 _HEADING = re.compile(r"^(?:[（(][一二三四五六七八九十\d]+[)）]|[一二三四五六七八九十\d]+[、.．]|[-•·] |第.{1,4}[章节])")
 _VALUE = re.compile(rf"^[{_SPACE}]*[-+]?\d[\d,./]*[%％]?[{_SPACE}]*$")
 _LATIN_WORD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{2,}(?![A-Za-z0-9])")
@@ -129,10 +129,9 @@ def _clean_title(title: str, names: tuple[str, ...]) -> tuple[str, frozenset[str
 
 def is_page_number(lines: list[str], at: int) -> bool:
     """A page number on a line of its own. A bare figure or fraction isn't one in a column of bare values, nor is a year."""
-    line = lines[at]
-    if not _PAGE.match(line):
+    s = lines[at].strip(_SPACE)
+    if len(s) > 40 or not _PAGE.match(s):
         return False
-    s = line.strip(_SPACE)
     if not re.fullmatch(r"\d{1,4}|\d{1,4}\s*/\s*\d{1,4}", s):
         return True
     if re.fullmatch(r"(?:19|20)\d\d", s):
@@ -159,14 +158,17 @@ def page_structure(text: str, names: list[str], chapter: str) -> tuple[str, set[
     if n:
         kinds.add("hyphen_break")
     out: list[str] = []
+    goes_on = False  # whether the last line may continue: neither ended nor a heading nor a line of a table
     for line in body.split("\n"):
         s = line.strip(_SPACE)
-        last = out[-1] if out else ""
-        if s and last and not _ENDS.search(last) and not any(p.search(x) for p in (_TABLE, _HEADING) for x in (s, last)):
+        own = bool(s) and not _HEADING.search(s) and not _TABLE.search(s)
+        if own and goes_on:
+            last = out[-1]
             gap = " " if last[-1].isascii() and s[0].isascii() and (last[-1].isalnum() or last[-1] in ",.;)") and s[0].isalnum() else ""
             out[-1] = last + gap + s
         else:
             out.append(s)
+        goes_on = own and s.rstrip(_CLOSERS)[-1:] not in _STOPS
     return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip("\n"), kinds
 
 

@@ -120,6 +120,7 @@ def test_page_structure():
     assert kinds == {"hyphen_break", "running_header", "page_number"}
     assert body.startswith("公司引入Quality Management System，用于规范来料检验。相关情况详见公司2019年年度报告全文第4页。\n\n（一）质量管理\n单位：万元\n轨道扣件")
     clean = "State-of-the-art equipment。\n产量为\n12吨。"
+    assert scan_noise.page_structure("State-\nof-the-art equipment.", NAMES, "")[1] == set()  # a compound, not a divided word
     assert scan_noise.page_structure(clean, NAMES, "")[1] == set()
 
 
