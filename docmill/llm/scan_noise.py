@@ -128,7 +128,7 @@ def _clean_title(title: str, names: tuple[str, ...]) -> tuple[str, frozenset[str
 
 
 def is_page_number(lines: list[str], at: int) -> bool:
-    """A page number on a line of its own. A bare figure or fraction isn't one in a column of bare values, nor is a year."""
+    """A page number on a line of its own. A bare figure or fraction isn't one in a column of three and more bare values, nor is a year."""
     s = lines[at].strip(_SPACE)
     if len(s) > 40 or not _PAGE.match(s):
         return False
@@ -136,9 +136,15 @@ def is_page_number(lines: list[str], at: int) -> bool:
         return True
     if re.fullmatch(r"(?:19|20)\d\d", s):
         return False
-    before = next((x for x in reversed(lines[:at]) if x.strip(_SPACE)), "")
-    after = next((x for x in lines[at + 1 :] if x.strip(_SPACE)), "")
-    return not _VALUE.match(before) and not _VALUE.match(after)
+    beside = 0
+    for side in (reversed(lines[:at]), lines[at + 1 :]):
+        for x in side:
+            if x.strip(_SPACE) and not _VALUE.match(x):
+                break
+            beside += bool(x.strip(_SPACE))
+            if beside > 1:
+                return False
+    return True
 
 
 def page_structure(text: str, names: list[str], chapter: str) -> tuple[str, set[str]]:
